@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import mixing
+from .pii import op1_pii
 from .simhash import op4_simhash
 from .toxicity import op5_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op4_simhash": op4_simhash,
     "op5_toxicity": op5_toxicity,
     "op9_mixing": mixing.op9_mixing,
