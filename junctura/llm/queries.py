@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import mixing
+from .pieces import op8_sentencepiece
 from .pii import op1_pii
 from .simhash import op4_simhash
 from .toxicity import op5_toxicity
@@ -15,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op4_simhash": op4_simhash,
     "op5_toxicity": op5_toxicity,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_mixing": mixing.op9_mixing,
 }
 
