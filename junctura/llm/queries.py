@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import mixing, quality, urls
 from .pieces import op8_sentencepiece
 from .pii import op1_pii
 from .simhash import op4_simhash
@@ -16,10 +16,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op4_simhash": op4_simhash,
     "op5_toxicity": op5_toxicity,
+    "op6_quality_rules": quality.op6_quality_rules,
+    "op7_url_filters": urls.op7_url_filters,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_mixing": mixing.op9_mixing,
 }
 
 SQL: dict[str, str] = {
+    "op6_quality_rules": quality.SQL,
+    "op7_url_filters": urls.sql(),
     "op9_mixing": mixing.SQL,
 }
