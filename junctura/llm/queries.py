@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality, urls
+from . import ann, mixing, quality, urls
 from .pieces import op8_sentencepiece
 from .pii import op1_pii
 from .simhash import op4_simhash
@@ -14,6 +14,7 @@ from .toxicity import op5_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
+    "op2_nearest": ann.op2_nearest,
     "op4_simhash": op4_simhash,
     "op5_toxicity": op5_toxicity,
     "op6_quality_rules": quality.op6_quality_rules,
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op2_nearest": ann.SQL,
     "op6_quality_rules": quality.SQL,
     "op7_url_filters": urls.sql(),
     "op9_mixing": mixing.SQL,
