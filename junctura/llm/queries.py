@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, mixing, quality, urls
+from . import ann, licenses, mixing, quality, urls, warc
 from .pieces import op8_sentencepiece
 from .pii import op1_pii
 from .simhash import op4_simhash
@@ -15,12 +15,14 @@ from .toxicity import op5_toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_nearest": ann.op2_nearest,
+    "op3_licenses": licenses.op3_licenses,
     "op4_simhash": op4_simhash,
     "op5_toxicity": op5_toxicity,
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_url_filters": urls.op7_url_filters,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_mixing": mixing.op9_mixing,
+    "op10_warc": warc.op10_warc,
 }
 
 SQL: dict[str, str] = {
@@ -28,4 +30,5 @@ SQL: dict[str, str] = {
     "op6_quality_rules": quality.SQL,
     "op7_url_filters": urls.sql(),
     "op9_mixing": mixing.SQL,
+    "op10_warc": warc.SQL,
 }
