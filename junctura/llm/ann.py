@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, ship, table
+from .common import durable, lean, ship, table
 
 #: Rows of a block of candidates and of a block of queries, about.
 CANDIDATES, QUERIES = 8192, 2048
@@ -129,7 +129,7 @@ def nearest(vectors: DataFrame, queries, k: int = 20, id_col: str = "vec_id", ve
             m = len(heap)
             yield pa.RecordBatch.from_pydict({"query_id": pa.array([q] * m, pa.int64()), "rank": pa.array(range(1, m + 1), pa.int32()), "vec_id": pa.array([-c for _, c in heap], pa.int64()), "score": pa.array([s for s, _ in heap], pa.float64())})
 
-    return durable(tops).repartition("query_id").mapInArrow(merge, "query_id long, rank int, vec_id long, score double")
+    return durable(tops).repartition("query_id").mapInArrow(lean(merge), "query_id long, rank int, vec_id long, score double")
 
 
 def op2_nearest(spark, sf_dir: str) -> DataFrame:

@@ -47,3 +47,25 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(_PACKAGE.parent))
     spark.sparkContext.addPyFile(str(path))
     _shipped[app] = str(path)
+
+
+def lean(run):
+    """A function over batches that gives memory back to the system when its task ends, as Python workers live on between tasks."""
+
+    def wrapped(batches):
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return wrapped

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, table
+from .common import lean, ship, table
 
 # Short notices and the operative text of common public licences.
 TEMPLATES = {
@@ -158,7 +158,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, kind)], names=["doc_id", "found"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, found array<struct<start: int, end: int, license: string, coverage: double>>")
+    return rows.mapInArrow(lean(run), "doc_id long, found array<struct<start: int, end: int, license: string, coverage: double>>")
 
 
 def op3_licenses(spark, sf_dir: str) -> DataFrame:

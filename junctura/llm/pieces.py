@@ -25,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, table
+from .common import lean, ship, table
 
 SPACE = "▁"
 _UNITS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Characters of text that are worked on at once, and units whose ids are remembered.
-SLICE, REMEMBERED = 5_000_000, 500_000
+SLICE, REMEMBERED = 1_500_000, 250_000
 
 
 def default_model() -> str:
@@ -366,7 +366,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
                 yield pa.RecordBatch.from_pydict(columns)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, round_trip boolean" + ", ids array<int>" * with_ids
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), schema)
 
 
 def decode(rows: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model_file: str | None = None) -> DataFrame:
@@ -384,7 +384,7 @@ def decode(rows: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model_
                 texts.append(m.decode(flat, np.array([0, len(flat)]))[0].decode("utf-8", "replace"))
             yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "text": pa.array(texts, pa.string())})
 
-    return rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, text string")
+    return rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(lean(run), "doc_id long, text string")
 
 
 def op8_sentencepiece(spark, sf_dir: str) -> DataFrame:

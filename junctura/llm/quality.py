@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, table
+from .common import lean, ship, table
 
 #: Measurements, all whole numbers.
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "dup_line_chars", "n_chars", "n_repeat_words", "n_distinct_words", "n_upper_words", "n_alpha_words")
@@ -112,7 +112,7 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["doc_id", *MEASURES])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return bits(rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES)))
+    return bits(rows.mapInArrow(lean(run), "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES)))
 
 
 def mask(policy: str | tuple[str, ...]) -> int:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, ship
+from .common import durable, lean, ship
 
 
 def fingerprint(text: bytes | None, shingle: int = 4) -> int:
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fps], names=["doc_id", "text_hash", "fp"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
+    return rows.mapInArrow(lean(run), "doc_id long, text_hash long, fp long")
 
 
 def _links_of(flat: np.ndarray, offsets: np.ndarray, most: int, small: int = 32) -> tuple[np.ndarray, np.ndarray]:
@@ -125,7 +125,7 @@ def links(classes: DataFrame, max_distance: int = 4, blocks: int = 6, cell: int
     dealt = keyed.join(hot, "key", "left").select("fp", "key", own.alias("own"), F.explode(F.sequence(F.lit(0), cells - 1)).alias("other"))
     at = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
     groups = dealt.groupBy(at.alias("at")).agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select("fps")
-    return groups.mapInArrow(run, "a long, b long").distinct()
+    return groups.mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, table
+from .common import lean, ship, table
 
 SPAN, DECAY, BUCKETS, WIDTH = 6, 0.75, 1 << 16, 24
 #: Largest token values that a text is judged by.
@@ -86,8 +86,8 @@ def decide(words: list[str], model: dict) -> np.ndarray:
     """The machine's value of each word."""
     out = np.empty(len(words), np.float32)
     order = sorted(range(len(words)), key=lambda i: len(words[i]))
-    for at in range(0, len(words), 20000):
-        part = order[at : at + 20000]
+    for at in range(0, len(words), 4000):
+        part = order[at : at + 4000]
         k, w = _features([words[i] for i in part])
         out[part] = (model["weights"][k] * w).sum(1) + model["bias"]
     return out
@@ -235,7 +235,7 @@ def train(docs: DataFrame, labels: DataFrame, usable=None, id_col: str = "doc_id
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(kept, pa.list_(pa.string())), pa.array(list(map(len, found)), pa.int64())], names=["id", "y", "words", "n"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(chosen, "id").select("id", "y", "text")
-    rows = texts.mapInArrow(run, "id long, y int, words array<string>, n long").toArrow().to_pylist()
+    rows = texts.mapInArrow(lean(run), "id long, y int, words array<string>, n long").toArrow().to_pylist()
     rows.sort(key=lambda r: (r["id"], r["y"], r["words"]))
     return fit([(r["y"], r["words"], r["n"], hash_of(f"kept {r['id']}") % 4 == 0) for r in rows], **how)
 
@@ -247,7 +247,7 @@ def scorer(model: dict):
     def run(texts: list[str | None]) -> np.ndarray:
         sets = [tokens(t) for t in texts]
         new = list(set().union(*sets).difference(known))
-        if len(known) + len(new) > 400_000:
+        if len(known) + len(new) > 150_000:
             known.clear()
             new = list(set().union(*sets))
         known.update(zip(new, decide(new, model).tolist(), strict=True))
@@ -277,7 +277,7 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
             scores = np.concatenate([of(x) for x in _slices(b.column(1))] or [np.zeros(0)])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), "doc_id long, score double")
 
 
 def held_out(ident):
@@ -294,7 +294,7 @@ def keep_harmless(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, te
             scores = np.concatenate([of(x) for x in _slices(b.column(at))] or [np.zeros(0)])
             yield b.filter(pa.array(scores < threshold, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, shared_dir, ship, table
+from .common import durable, lean, shared_dir, ship, table
 
 SEGMENT, CHUNK, LEAST, PER_FILE = 16_384, 4_096, 100, 20_000
 _DATE = "2024-01-01T00:00:00Z"
@@ -117,7 +117,7 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
                     made, size = [], 0
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["value"])
 
-    lines = dealt.mapInArrow(run, "value binary").select(F.col("value").cast("string"))
+    lines = dealt.mapInArrow(lean(run), "value binary").select(F.col("value").cast("string"))
     lines.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", per_file).text(path)
 
 
@@ -245,10 +245,10 @@ def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame
                 good = numbers == list(range(1, len(found) + 1)) and total == len(message)
                 yield _batch([cut((head["record_id"], head["record_type"], head["url"], head["refers_to"], *_result(message if good else None, head["digest"], with_payload)))], names, types)
 
-    pieces = files.mapInArrow(segments, _FIELDS + ", block binary")
+    pieces = files.mapInArrow(lean(segments), _FIELDS + ", block binary")
     one = F.struct("segment", "record_id", "record_type", "url", "refers_to", "digest", "total", "block")
-    joined = pieces.groupBy("origin").agg(F.sort_array(F.collect_list(one)).alias("parts")).select("parts").mapInArrow(reassemble, schema)
-    return files.mapInArrow(whole, schema).union(joined)
+    joined = pieces.groupBy("origin").agg(F.sort_array(F.collect_list(one)).alias("parts")).select("parts").mapInArrow(lean(reassemble), schema)
+    return files.mapInArrow(lean(whole), schema).union(joined)
 
 
 def op10_warc(spark, sf_dir: str) -> DataFrame:
