@@ -1,0 +1 @@
+"""Read support over reads that arrive as a stream."""
