@@ -30,7 +30,7 @@ from .common import lean, ship, table
 SPACE = "▁"
 _UNITS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Characters of text that are worked on at once, and units whose ids are remembered.
-SLICE, REMEMBERED = 1_500_000, 250_000
+SLICE, REMEMBERED = 700_000, 120_000
 
 
 def default_model() -> str:
@@ -121,7 +121,7 @@ class Matcher:
         # Runs of spaces of all lengths up to one have one score, and BPE grows them from the left: only full ones are left of others.
         runs = np.array([len(p) if not p.strip(SPACE) else 0 for p in v["pieces"]], np.int64)
         self.runs, self.full = runs, int(runs.max(initial=0))
-        self.known, self.valid = np.full(1 << 21, -1, np.int64), np.zeros(1 << 21, bool)
+        self.known, self.valid = np.full(1 << 19, -1, np.int64), np.zeros(1 << 19, bool)
         self.flat_bytes = np.frombuffer(b"".join(v["bytes"]), np.uint8)
         self.byte_lens = np.array([len(b) for b in v["bytes"]], np.int64)
         self.byte_at = np.cumsum(self.byte_lens) - self.byte_lens
@@ -159,7 +159,7 @@ class Matcher:
     def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """``_apart``, remembered in a table of fixed size."""
         key = a * self.n + b
-        slot = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(43)).astype(np.int64)
+        slot = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(45)).astype(np.int64)
         new = self.known[slot] != key
         out = self.valid[slot]
         if new.any():
@@ -228,7 +228,7 @@ class Matcher:
         counts = np.concatenate(([0], np.cumsum(np.bincount(levels[-1][1], minlength=len(levels[-1][0])))))
         first, many = counts[low], np.maximum(counts[np.maximum(high, low)] - counts[low], 0)
         where = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
-        return suffixes[where], np.repeat(self.long[usable], many)
+        return suffixes[where].astype(np.int32), np.repeat(self.long[usable].astype(np.int32), many)
 
     def _encode_units(self, units: list[str]) -> None:
         """Appends the ids of new units to the remembered ones."""
@@ -240,7 +240,7 @@ class Matcher:
         last = np.array([self.single.get(int(c), int(u)) for c, u in zip(alphabet, unknown, strict=True)], np.int64)[back]
         ones = last.copy()
         start, rank = self.edges(text)
-        end = start + self.lengths[rank]
+        end = start + self.lengths[rank].astype(np.int32)
         # Places that no edge crosses part the text into segments that do not act on each other.
         crossed = np.bincount(start + 1, minlength=n + 2) - np.bincount(end, minlength=n + 2)
         cut = np.flatnonzero(np.cumsum(crossed)[:n] == 0)
@@ -248,16 +248,17 @@ class Matcher:
         segment[cut] = cut
         segment = np.maximum.accumulate(segment)
         # Single characters are edges too; where one is the whole segment it stands already.
-        inside = np.flatnonzero((segment[:n] != np.arange(n)) & (ones < self.n))
-        start, rank, end = np.concatenate([start, inside]), np.concatenate([rank, ones[inside]]), np.concatenate([end, inside + 1])
-        offset = end - segment[start]
+        inside = np.flatnonzero((segment[:n] != np.arange(n)) & (ones < self.n)).astype(np.int32)
+        start, rank = np.concatenate([start, inside]), np.concatenate([rank, ones[inside].astype(np.int32)])
+        offset = np.concatenate([end, inside + 1]) - segment[start].astype(np.int32)
+        del end
         furthest = int(offset.max(initial=0))
         order = np.argsort(offset.astype(np.uint16) if furthest < 1 << 16 else offset, kind="stable")
         start, rank = start[order], rank[order]
         bounds = np.concatenate(([0], np.cumsum(np.bincount(offset, minlength=furthest + 1)[1:])))
         for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
             if lo < hi:
-                s, r = start[lo:hi], rank[lo:hi]
+                s, r = start[lo:hi], rank[lo:hi].astype(np.int64)
                 first = segment[s] == s
                 ok = first.copy()
                 rest = ~first
