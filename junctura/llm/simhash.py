@@ -157,13 +157,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``docs`` without all but one row of each component: the smallest (id, text hash) stays; all columns are kept.
+    """``docs`` without all but one row of each component: the smallest (id, text hash), null ids last, stays; all columns are
+    kept.
 
     A component without any id keeps one row too.
     """
     found = near_duplicates(docs, id_col, text_col, **how)
     group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fp")))
-    first = F.min(F.struct(F.coalesce("doc_id", F.lit(-1)), F.col("doc_id"), F.col("text_hash"))).alias("first")
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_hash"))).alias("first")
     kept = durable(found.groupBy(group.alias("g")).agg(first).select(F.col("first.doc_id").alias("kept_id"), F.col("first.text_hash").alias("kept_hash")))
     names = docs.columns
     wide = docs.toDF(*[f"c{i}" for i in range(len(names))])
