@@ -326,7 +326,7 @@ def primary_split(spark, d):
     return S.primary_split(rows).select("query", "rn", "is_primary")
 
 
-_UNIQUE = "SELECT CAST(floor(l_orderkey / 3) AS BIGINT) AS query, l_orderkey * 100 + rn AS seg_id, CASE WHEN rn > 1 THEN 256 ELSE 0 END AS flag, CAST(l_suppkey % 5 AS INT) AS mapq, CASE WHEN l_partkey % 3 = 0 THEN '10S90M' WHEN l_partkey % 3 = 1 THEN '50M4D50M' ELSE '60M3I37M' END AS cigar, CAST(l_quantity / 3 AS INT) AS nm FROM items WHERE l_orderkey % 3 = 0"
+_UNIQUE = "SELECT CAST(floor(l_orderkey / 3) AS BIGINT) AS query, l_orderkey * 100 + rn AS seg_id, CASE WHEN rn > 1 THEN 256 ELSE 0 END AS flag, CAST(l_suppkey % 5 AS INT) AS mapq, CASE WHEN l_partkey % 3 = 0 THEN '10S90M' WHEN l_partkey % 3 = 1 THEN '50M4D50M' ELSE '60M3I37M' END AS cigar, CAST(floor(l_quantity / 3) AS INT) AS nm FROM items WHERE l_orderkey % 3 = 0"
 
 
 @query(

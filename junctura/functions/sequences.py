@@ -127,11 +127,15 @@ def translate_codons(seq: Column, frame: int = 0) -> Column:
     return F.when(whole > 0, F.array_join(F.transform(starts, codon), "")).otherwise("")
 
 
+def _stretch(strand: str, frame: int):
+    return lambda p: F.struct((-F.length(p)).alias("order"), F.lit(strand).alias("strand"), F.lit(frame).alias("frame"), p.alias("aa"))
+
+
 def open_frames(seq: Column, least: int = 2) -> Column:
     """Stop-free stretches of amino acids in all six frames, longest first, then by strand and frame."""
     found = []
     for strand, s in (("+", seq), ("-", reverse_complement(seq))):
         for frame in range(3):
             parts = F.split(translate_codons(s, frame), r"\*")
-            found.append(F.transform(parts, lambda p, strand=strand, frame=frame: F.struct((-F.length(p)).alias("order"), F.lit(strand).alias("strand"), F.lit(frame).alias("frame"), p.alias("aa"))))
+            found.append(F.transform(parts, _stretch(strand, frame)))
     return F.transform(F.array_sort(F.filter(F.concat(*found), lambda x: x["order"] <= -least)), lambda x: x.dropFields("order"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequences import AMINO_ACIDS, is_homopolymer, is_homopolymer_fragment, repeat_unit
+from ..lineage import cut
 from .intervals import overlap_join
 
 
@@ -153,7 +155,7 @@ def combine(genome: DataFrame, transcripts: DataFrame, within: int = 100) -> Dat
         return rows.iloc[kept]
 
     ranked = pairs.groupBy("query").applyInPandas(lambda r: run(r.sort_values(["other", "far", "t", "g"])), pairs.schema)  # a contig's few events
-    both = ranked.select("g", "t")
+    both = cut(ranked.select("g", "t"))
     t_rows = transcripts.join(both.select(F.col("t").alias("event_id"), F.lit(True).alias("_both")), "event_id", "left")
     t_rows = t_rows.withColumn("found_in", F.when(F.col("_both"), "both").otherwise("transcripts")).select(*transcripts.columns, "found_in")
     g_rows = genome.join(both.select(F.col("g").alias("event_id")), "event_id", "left_anti").withColumn("found_in", F.lit("genome"))
@@ -212,8 +214,6 @@ def in_frame(seq: str, cb1: int, cb2: int, upstream: str, downstream: str, ancho
 
 def frames(events: DataFrame) -> DataFrame:
     """Adds in_frame to events (seq, cb1, cb2, cds5, cds3): whether the contig reads on from the upstream protein into the downstream one."""
-    import pandas as pd
-
     @F.pandas_udf("boolean")
     def check(seq: pd.Series, cb1: pd.Series, cb2: pd.Series, cds5: pd.Series, cds3: pd.Series) -> pd.Series:
         def one(s, a, b, u, d):
@@ -238,8 +238,6 @@ def shift_to_end(cds: str, start: int, unit: int = 3) -> int:
 
 def shifted_repeats(events: DataFrame) -> DataFrame:
     """Moves in-frame duplications of amino acid repeats to the 3' end of their run: adds shift to events (cds, cds_break)."""
-    import pandas as pd
-
     @F.pandas_udf("int")
     def check(cds: pd.Series, at: pd.Series) -> pd.Series:
         return pd.Series([shift_to_end(c, int(p) - 1) if c and p == p and p is not None and (int(p) - 1) % 3 == 0 else 0 for c, p in zip(cds, at, strict=True)], dtype="int32")

@@ -136,8 +136,8 @@ def paths(segments: DataFrame, longest: int = 3, from_edge: float = 0.02, least:
     over = F.aggregate(F.sequence(F.lit(1), F.greatest(F.size("path") - 1, F.lit(1))), F.lit(0).cast("bigint"), lambda a, k: a + F.coalesce(F.greatest(F.lit(0), F.get("path", k - 1)["qend"] - F.get("path", k)["qstart"] + 1), F.lit(0)))
     total = F.aggregate("path", F.lit(0).cast("bigint"), lambda a, p: a + p["qend"] - p["qstart"] + 1)
     ids = F.transform("path", lambda p: p["seg_id"])
-    out = found.select("query", ids.alias("path"), F.array_sort(F.array_distinct(F.transform("path", lambda p: p["target"]))).alias("targets"), over.alias("overlapped"), (total - over).alias("covered"),
-                       ((F.element_at("path", -1)["qend"] - F.get("path", F.lit(0))["qstart"] + 1) / F.col("query_len")).alias("share"))
+    out = found.select("query", ids.alias("_ids"), F.array_sort(F.array_distinct(F.transform("path", lambda p: p["target"]))).alias("targets"), over.alias("overlapped"), (total - over).alias("covered"),
+                       ((F.element_at("path", -1)["qend"] - F.get("path", F.lit(0))["qstart"] + 1) / F.col("query_len")).alias("share")).withColumnRenamed("_ids", "path")
     if least is not None:
         out = out.where(F.col("share") >= least)
     nth = F.row_number().over(Window.partitionBy("query").orderBy("path"))
