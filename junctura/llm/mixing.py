@@ -79,7 +79,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget: float =
     entries = durable(entries.select("doc_id", "text_hash", "key", "nth", "source", "size", "epoch", "finish", slot.alias("slot")))
     ordered = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     starts = entries.groupBy("slot").agg(F.sum("size").alias("n")).select("slot", F.coalesce(F.sum("n").over(ordered), F.lit(0)).alias("start"))
-    starts = starts.join(total, F.lit(True)).where("start < all")  # one row of totals
+    starts = durable(starts.join(total, F.lit(True)).where("start < all"))  # one row of totals
+    last = starts.agg(F.max("slot")).head()[0]  # starts grow with the slots, so later slots lie wholly beyond the cut
+    entries = entries.where(F.col("slot") <= F.lit(last))
     within = Window.partitionBy("slot").orderBy("finish", F.col("source").asc_nulls_last(), "key", "doc_id", "size", "text_hash", "nth", "epoch").rowsBetween(Window.unboundedPreceding, 0)
     served = entries.join(starts, "slot").withColumn("sent", F.col("start") + F.sum("size").over(within)).where("sent <= all")
     taken = served.groupBy(*ENTRY).agg(F.count("*").cast("int").alias("epochs"))
