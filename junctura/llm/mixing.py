@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import WORD, durable, table
 
 #: Rows that one range holds, about.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 4_000
 ENTRY = ("doc_id", "source", "text_hash", "size", "nth")
 
 
