@@ -100,3 +100,28 @@ def write(records: DataFrame, path: str, head: list[str]) -> None:
     spark = records.sparkSession
     first = spark.range(1, numPartitions=1).select(F.explode(F.array(*[F.lit(h) for h in head])).alias("value"))
     first.union(ordered).write.text(path)
+
+
+def variant_records(variants: DataFrame, events: DataFrame, threshold: int = 100) -> DataFrame:
+    """Records of variants (variant_id, event, chrom, pos, adj_ids) from the columns of their adjacencies that ``breakends``, ``symbolic`` and ``indels`` read.
+
+    Two adjacencies that make an inversion or a large insertion are one symbolic record with the contigs of both and the smaller
+    support; two reciprocal translocations are four breakends that name each other. Any other adjacency is a record of its own:
+    breakends for a translocation, spelled-out alleles for insertions and deletions of up to ``threshold`` bases whose sequence is there, else symbolic.
+    """
+    each = variants.select("variant_id", "event", F.col("chrom").alias("_chrom"), F.col("pos").alias("_pos"), "adj_ids", F.posexplode("adj_ids").alias("_nth", "adj_id"))
+    rows = each.join(events, "adj_id").withColumn("_pair", F.size("adj_ids") == 2)
+    one = rows.where(F.col("_pair") & F.col("event").isin("INV", "INS"))
+    both = one.groupBy("variant_id").agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.split("contigs", ","))))), ",").alias("contigs"), F.min("spanning").alias("spanning"), F.min("flanking").alias("flanking"))
+    one = one.where("_nth = 0").drop("contigs", "spanning", "flanking").join(both, "variant_id")
+    inserted = F.col("event") == "INS"
+    second = inserted & (F.col("_chrom") == F.col("chrom2")) & (F.col("_pos") == F.col("break2"))
+    one = one.withColumns({"ref1": F.when(second, F.col("ref2")).otherwise(F.col("ref1")), "chrom1": F.when(inserted, F.col("_chrom")).otherwise(F.col("chrom1")), "break1": F.when(inserted, F.col("_pos")).otherwise(F.col("break1")), "rearrangement": F.lower("event")})
+    rest = rows.where(~F.col("_pair") | ~F.col("event").isin("INV", "INS"))
+    linked = F.col("_pair") & (F.col("event") == "TRL")
+    ends = rest.where("rearrangement = 'trl'").withColumns({"partner_id": F.when(linked, F.element_at("adj_ids", F.lit(2) - F.col("_nth"))), "event_name": F.when(linked, F.concat("event", "variant_id"))})
+    short = F.col("rearrangement").isin("ins", "del") & (F.col("size") <= threshold) & F.when(F.col("rearrangement") == "del", F.col("ref_seq").isNotNull()).otherwise(F.col("novel_seq").isNotNull())
+    short = F.coalesce(short, F.lit(False))
+    alone = rest.where("rearrangement <> 'trl'")
+    by_adjacency = alone.where(~short).withColumn("variant_id", F.col("adj_id").cast("string"))
+    return breakends(ends).unionByName(symbolic(one)).unionByName(symbolic(by_adjacency)).unionByName(indels(alone.where(short)))

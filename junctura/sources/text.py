@@ -66,6 +66,13 @@ def vcf(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("info", F.expr("str_to_map(info, ';', '=')"))
 
 
+def calls(records: DataFrame) -> DataFrame:
+    """(vchrom, vpos, ref, alt, ad, dp) of VCF records of one sample: the reads with the first alternative allele and all; null where not given."""
+    of = F.map_from_arrays(F.split("format", ":"), F.split("sample", ":"))
+    value = lambda k: F.try_element_at(of, F.lit(k))
+    return records.select(F.col("chrom").alias("vchrom"), F.col("pos").alias("vpos"), "ref", "alt", F.try_element_at(F.split(value("AD"), ","), F.lit(2)).alias("ad"), value("DP").alias("dp"))
+
+
 def bed(spark: SparkSession, path: str) -> DataFrame:
     rows = _table(spark, path, "chrom string, start bigint, end bigint, name string")
     return rows.where(~F.col("chrom").rlike("^(?:track|browser)")).withColumn("start", F.col("start") + 1)
