@@ -104,6 +104,26 @@ class _Index(dict):
         return n
 
 
+def _search(levels: list, grid: np.ndarray, bits: int, per: int, rows: np.ndarray, start: int, length: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ranges of ranks at ``level`` of what starts with characters start to start + length of the pieces ``grid[rows]``."""
+    keys, _, size = levels[level]
+    if level == 0:
+        low = np.zeros(len(rows), np.int64)
+        for i in range(per):
+            low = (low << bits) | np.where(i < length, grid[rows, min(start + i, grid.shape[1] - 1)], 0)
+        free = (np.int64(1) << (bits * (per - np.minimum(length, per)))) - 1
+        return np.searchsorted(keys, low), np.searchsorted(keys, low + free, side="right")
+    half = per << (level - 1)
+    low, high = _search(levels, grid, bits, per, rows, start, np.minimum(length, half), level - 1)
+    first, last = low * size, (high - 1) * size + size - 1
+    far = length > half
+    if far.any():
+        l2, h2 = _search(levels, grid, bits, per, rows[far], start + half, length[far] - half, level - 1)
+        none = (high[far] <= low[far]) | (h2 <= l2)
+        first[far], last[far] = low[far] * size + l2 + 1, np.where(none, -1, low[far] * size + h2)
+    return np.searchsorted(keys, first), np.searchsorted(keys, last, side="right")
+
+
 class Matcher:
     """Encodes and decodes with one vocabulary; it lives in a task."""
 
@@ -205,26 +225,7 @@ class Matcher:
         grid = np.zeros((len(usable), -(-self.longest // per) * per), np.int64)
         grid[:, : self.longest] = letters[usable]
 
-        def search(rows: np.ndarray, start: int, length: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-            """Ranges of ranks at ``level`` of what starts with characters start to start + length of these pieces."""
-            keys, _, size = levels[level]
-            if level == 0:
-                low = np.zeros(len(rows), np.int64)
-                for i in range(per):
-                    low = (low << bits) | np.where(i < length, grid[rows, min(start + i, grid.shape[1] - 1)], 0)
-                free = (np.int64(1) << (bits * (per - np.minimum(length, per)))) - 1
-                return np.searchsorted(keys, low), np.searchsorted(keys, low + free, side="right")
-            half = per << (level - 1)
-            low, high = search(rows, start, np.minimum(length, half), level - 1)
-            first, last = low * size, (high - 1) * size + size - 1
-            far = length > half
-            if far.any():
-                l2, h2 = search(rows[far], start + half, length[far] - half, level - 1)
-                none = (high[far] <= low[far]) | (h2 <= l2)
-                first[far], last[far] = low[far] * size + l2 + 1, np.where(none, -1, low[far] * size + h2)
-            return np.searchsorted(keys, first), np.searchsorted(keys, last, side="right")
-
-        low, high = search(np.arange(len(usable)), 0, lens, len(levels) - 1)
+        low, high = _search(levels, grid, bits, per, np.arange(len(usable)), 0, lens, len(levels) - 1)
         counts = np.concatenate(([0], np.cumsum(np.bincount(levels[-1][1], minlength=len(levels[-1][0])))))
         first, many = counts[low], np.maximum(counts[np.maximum(high, low)] - counts[low], 0)
         where = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
