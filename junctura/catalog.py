@@ -595,16 +595,15 @@ def filter_fasta(spark, d):
 
 @query()
 def frame_by_orf(spark, d):
-    rows = spark_view(spark, d, "sequences").where("length(seq) between 120 and 3000")
+    rows = spark_view(spark, d, "sequences")
     mid = (F.length("seq") / 2).cast("int")
-    parts = rows.select("name", F.col("seq"), mid.alias("cb1"), (mid + 1).alias("cb2"), F.left("seq", mid + 30).alias("cds5"), F.substr("seq", mid - 30).alias("cds3"))
+    parts = rows.select("name", F.col("seq"), mid.alias("cb1"), (mid + 1).alias("cb2"), F.left("seq", mid + 30).alias("cds5"), F.substr("seq", F.greatest(mid - 30, F.lit(1))).alias("cds3"))
     return U.frames(parts).select("name", "in_frame")
 
 
 @query()
 def open_reading_frames(spark, d):
-    rows = spark_view(spark, d, "sequences").select("name", Q.open_frames(F.left("seq", F.lit(300)), 10).alias("o"))
-    return rows.select("name", F.size("o").alias("n"), F.get("o", F.lit(0))["aa"].alias("longest"))
+    return U.open_reading_frames(spark_view(spark, d, "sequences"), 10)
 
 
 _REF = "translate(substr(md5(CAST(adj_id AS STRING)), 1, 2), '0123456789abcdef', 'ACGTACGTACGTACGT')"

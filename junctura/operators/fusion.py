@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import codons
 from ..functions.sequences import AMINO_ACIDS, is_homopolymer, is_homopolymer_fragment, repeat_unit
 from ..lineage import cut
 from .intervals import overlap_join
@@ -191,24 +195,18 @@ _CODE = {a + b + c: AMINO_ACIDS[16 * i + 4 * j + k] for i, a in enumerate("TCAG"
 
 
 def _stretches(seq: str) -> list[str]:
-    out = []
-    for s in (seq, seq[::-1].translate(str.maketrans("ACGT", "TGCA"))):
-        for f in range(3):
-            out += "".join(_CODE.get(s[i : i + 3], "X") for i in range(f, len(s) - 2, 3)).split("*")
-    return [p for p in out if len(p) > 1]
+    return [p for _, _, aa in codons.six_frames(seq) for p in aa.split("*") if len(p) > 1]
 
 
 def in_frame(seq: str, cb1: int, cb2: int, upstream: str, downstream: str, anchor: int = 5) -> bool:
     """Whether one reading frame of the contig crosses the break with ``anchor`` residues of each partner's protein on its side."""
-    seq = seq.upper()
-    for s, a, b in ((seq, cb1, cb2), (seq[::-1].translate(str.maketrans("ACGT", "TGCA")), len(seq) - cb2 + 1, len(seq) - cb1 + 1)):
-        for f in range(3):
-            aa = "".join(_CODE.get(s[i : i + 3], "X") for i in range(f, len(s) - 2, 3))
-            left, right = (a - f) // 3, (b - f + 1) // 3
-            for stop in [i for i, x in enumerate(aa + "*") if x == "*"]:
-                begin = aa.rfind("*", 0, stop) + 1
-                if begin <= left - anchor and right + anchor <= stop and aa[left - anchor : left] in upstream and aa[right : right + anchor] in downstream:
-                    return True
+    for strand, f, aa in codons.six_frames(seq):
+        a, b = (cb1, cb2) if strand == "+" else (len(seq) - cb2 + 1, len(seq) - cb1 + 1)
+        left, right = (a - f) // 3, (b - f + 1) // 3
+        for stop in [i for i, x in enumerate(aa + "*") if x == "*"]:
+            begin = aa.rfind("*", 0, stop) + 1
+            if begin <= left - anchor and right + anchor <= stop and aa[left - anchor : left] in upstream and aa[right : right + anchor] in downstream:
+                return True
     return False
 
 
@@ -219,7 +217,7 @@ def frames(events: DataFrame) -> DataFrame:
         def one(s, a, b, u, d):
             if not (s and u and d):
                 return None
-            proteins = ["|".join(p for p in _stretches(x.upper())) for x in (u, d)]
+            proteins = ["|".join(p for p in _stretches(x)) for x in (u, d)]
             return any(in_frame(s, int(a), int(b), *order) for order in (proteins, proteins[::-1]))
 
         return pd.Series([one(*row) for row in zip(seq, cb1, cb2, cds5, cds3, strict=True)], dtype="object")
@@ -227,6 +225,19 @@ def frames(events: DataFrame) -> DataFrame:
     return events.withColumn("in_frame", check("seq", "cb1", "cb2", "cds5", "cds3"))
 
 
+def open_reading_frames(rows: DataFrame, least: int = 10) -> DataFrame:
+    """(name, n, longest) of rows (name, seq): how many stop-free stretches of at least ``least`` amino acids the whole sequence
+    has in six frames, and the longest of them; nulls give null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seqs = b.column(1)
+            found = [codons.open_frames(s, least) if (s := seqs[i].as_py()) is not None else (None, None) for i in range(len(seqs))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for n, _ in found], pa.int32()), pa.array([x for _, x in found], pa.string())], names=["name", "n", "longest"])
+
+    return rows.select("name", "seq").mapInArrow(run, "name string, n int, longest string")
+
+
 def shift_to_end(cds: str, start: int, unit: int = 3) -> int:
     """How many bases a repeat of whole codons from ``start`` (0-based, in frame) can move to the 3' end of its run of equal amino acids."""
     aa = lambda i: _CODE.get(cds[i : i + unit].upper(), "X")
