@@ -162,7 +162,11 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A component without any id keeps one row too.
     """
-    found = near_duplicates(docs, id_col, text_col, **how)
+    return keep_first(docs, near_duplicates(docs, id_col, text_col, **how), id_col, text_col)
+
+
+def keep_first(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` that come first in their component; ``found`` is what a near_duplicates gives."""
     group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fp")))
     first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_hash"))).alias("first")
     kept = durable(found.groupBy(group.alias("g")).agg(first).select(F.col("first.doc_id").alias("kept_id"), F.col("first.text_hash").alias("kept_hash")))
