@@ -226,7 +226,7 @@ def _with_spans(rows: DataFrame, text: str, model: dict) -> DataFrame:
         rows = rows.withColumn(f"f_{k}", F.expr(f"transform(s_{k}, x -> struct(x.s as s, x.e as e, {seen}))"))
         judged.append(f"coalesce(transform(filter(f_{k}, y -> {total} >= {model['limits'][k]}D), y -> struct(y.s as s, {KINDS.index(k)} as k, y.e as e)), cast(array() as {shape}))")
     rows = rows.withColumn("judged", F.expr(f"array_sort(concat({', '.join(judged)}))"))
-    free = "not exists(base, b -> b.s < x.e and x.s < b.e) and not exists(judged, b -> b.k < x.k and b.s <= x.s and x.e <= b.e)"
+    free = "not exists(base, b -> b.s <= x.s and x.e <= b.e) and not exists(judged, b -> b.k < x.k and b.s <= x.s and x.e <= b.e)"
     return rows.withColumn("added", F.expr(f"filter(judged, x -> {free})"))
 
 
