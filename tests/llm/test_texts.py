@@ -165,12 +165,66 @@ def test_toxicity_on_held_out_texts_and_gapped_insults(spark):
     of = toxicity.scorer(model)
     harmless = " ".join("the re tion an ing" for _ in range(10))
     plain, spelled, inserted = (of([f"{harmless} {a} {b} {c}"])[0] for a, b, c in (("idiot", "moron", "scumbag"), ("i.d.i.o.t", "m-o-r-o-n", "s c u m b a g"), ("idxiot", "morzon", "scumqbag")))
-    assert plain > 0.3 and spelled > 0.3 and inserted > of([harmless])[0]
+    assert plain > 0.3 and spelled > 0.3 and inserted > 0.3 and of([harmless])[0] < 0.3
     kept = toxicity.keep_harmless(docs, labels)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, s in got.items() if s < 0.3}
 
 
+def plain_counts(text):
+    """Weights of the subsequences of three characters that reach over at most SPAN characters."""
+    out, t = {}, f" {text} "
+    for i in range(len(t)):
+        for k in range(i + 2, min(len(t), i + toxicity.SPAN)):
+            for j in range(i + 1, k):
+                u = t[i] + t[j] + t[k]
+                out[u] = out.get(u, 0) + toxicity.DECAY ** (k - i + 1)
+    return out
+
+
+def test_kernel_equals_plain_subsequence_counts():
+    words = ["idiot", "idxiot", "id iot", "dog", "a b c", "x", "tidings of idle iodine"]
+    k, w = toxicity.features(words)
+    dense = np.zeros((len(words), toxicity.BUCKETS))
+    for row, keys, own in zip(dense, k, w, strict=True):
+        np.add.at(row, keys, own)
+    size = lambda t: np.sqrt(sum((b - 1) * toxicity.DECAY ** (2 * b + 2) * max(0, len(t) + 2 - b) for b in range(2, toxicity.SPAN)))
+    for a, x in zip(words, dense, strict=True):
+        for b, y in zip(words, dense, strict=True):
+            one, two = plain_counts(a), plain_counts(b)
+            assert abs(x @ y - sum(v * two.get(u, 0) for u, v in one.items()) / size(a) / size(b)) < 1e-4
+
+
+def test_landmarks_give_back_the_kernel():
+    """On landmarks themselves the whitened map has the kernel's inner products."""
+    words = ["idiot", "idxiot", "moron", "the", "id iot", "harmless"]
+    folded, known = toxicity._landmarks(words)
+    x = toxicity._mapped(words, folded, known).astype(np.float64)
+    k, w = toxicity.features(words)
+    dense = np.zeros((len(words), toxicity.BUCKETS))
+    for row, keys, own in zip(dense, k, w, strict=True):
+        np.add.at(row, keys, own)
+    assert np.allclose(x @ x.T, dense @ dense.T, atol=1e-3)
+
+
+def test_sentence_values_equal_the_best_of_all_runs():
+    r = random.Random(3)
+    model = {"weights": np.random.default_rng(1).normal(size=toxicity.BUCKETS).astype(np.float32), "bias": 0.25}
+    texts = [" ".join("".join(r.choice("abcdé") for _ in range(r.choice([1, 1, 2, 5, 9, 30, 90]))) for _ in range(r.randrange(1, 30))) for _ in range(40)]
+    found = [s for t in texts for s in toxicity.sentences(t)]
+    want = [float(toxicity.decide(toxicity.runs(s), model).max()) for s in found]
+    assert np.allclose(toxicity.values(found, model), want, atol=1e-4)
+    assert len(toxicity.values([], model)) == 0
+
+
+def test_very_long_texts_are_scored_in_parts():
+    model = {"weights": np.random.default_rng(1).normal(size=toxicity.BUCKETS).astype(np.float32), "bias": 0.0}
+    parts = ["ab cd. " * 90_000, "x" * 700_000, "one two " * 90_000]
+    assert toxicity.evidence_of([*parts, None, ""], model).shape == (5, toxicity.TOP + 1)
+    assert toxicity.evidence_of([parts[0]], model)[0, 0] == toxicity.evidence_of(["ab cd."], model)[0, 0]
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     model = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert toxicity.score(docs, model).first().score < 0.3
+    assert toxicity.score(docs.limit(0), model).count() == 0
