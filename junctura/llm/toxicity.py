@@ -177,7 +177,7 @@ def _mapped(strings: list[str], folded: np.ndarray, known: np.ndarray) -> np.nda
     return out
 
 
-def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, steps: int = 6) -> tuple[np.ndarray, float]:
+def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, steps: int = 8) -> tuple[np.ndarray, float]:
     """Squared-hinge linear machine by Newton steps, summed over blocks of rows; the last coefficient is the bias."""
     m = x.shape[1]
     w = np.zeros(m + 1)
@@ -251,7 +251,7 @@ def fit(rows: list[tuple[int, int, str]], landmarks: int = 800, rounds: int = 4,
         chosen = [w for w in sorted(votes, key=lambda w: (-votes[w], w)) if odds[w] > 0] or every[:1]
         plus = {w: float(votes[w]) for w in chosen}
         for w in chosen:
-            new = {v for n in range(min(copies, 4 + votes[w])) for v in altered(w, n) if v not in clean}
+            new = {v for n in range(copies) for v in altered(w, n) if v not in clean}
             for v in new:
                 plus.setdefault(v, votes[w] * 2 / len(new))
         rest = {w: min(clean.get(w, 1), 20.0) for w in dict.fromkeys([*some, *common, *spread, *hard])}
@@ -326,7 +326,7 @@ def evidence_of(texts: list[str | None], model: dict) -> np.ndarray:
     return np.array([evidence(b, n) for b, n in zip(best, count, strict=True)]).reshape(-1, TOP + 1)
 
 
-def train(docs: DataFrame, labels: DataFrame, usable=None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_texts: int = 2500, max_sentences: int = 40_000, planted: float = 0.15, **how) -> dict:
+def train(docs: DataFrame, labels: DataFrame, usable=None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_texts: int = 2500, max_sentences: int = 40_000, planted: float = 0.2, **how) -> dict:
     """Fits on ``docs`` joined with ``labels``; ``usable`` (a column over the id) says which labels may be learnt. A quarter of the
     texts is kept apart for the logistic fit, which also sees those of label 0 with an altered cue word added, as label 1, of ``planted`` times
     the weight of label 1. The machine is fitted in one task, on the bounded sample."""
@@ -358,7 +358,7 @@ def train(docs: DataFrame, labels: DataFrame, usable=None, id_col: str = "doc_id
     sample = [said.where(F.col("y") == y).orderBy(F.xxhash64("sentence", "id"), "id").limit(max_sentences) for y in (0, 1)]
     found = sample[0].union(sample[1]).repartition(1).mapInArrow(lean(learn), "weights binary, bias double, cues array<string>").first()  # 2 * max_sentences rows of 400 characters at most
     if found is None:
-        ones, every = known.agg(F.count_if("y = 1"), F.count("*")).first()
+        ones, every = known.agg(F.count_if(F.col("y") == 1), F.count("*")).first()
         share = (ones / every if every else 0.0) * (1 - 2e-9) + 1e-9
         return {"weights": np.zeros(BUCKETS, np.float32), "bias": 0.0, "logit": np.array([0.0] * (TOP + 1) + [np.log(share / (1 - share))])}
     model = {"weights": np.frombuffer(found.weights, np.float32), "bias": found.bias}
