@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -24,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not path:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="junctura-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(path)
@@ -36,6 +39,19 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` as a table in the shared folder, and its path. For loops: unlike a checkpoint's, its size estimate does not grow with
+    each join of each round."""
+    path = f"{shared_dir(df.sparkSession)}/round-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors once for each application, so that Python workers can import it."""
     app = spark.sparkContext.applicationId

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, lean, ship
+from .common import durable, lean, remove, ship, written
 
 
 def fingerprint(text: bytes | None, shingle: int = 4) -> int:
@@ -60,37 +60,37 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(lean(run), "doc_id long, text_hash long, fp long")
 
 
-def _links_of(flat: np.ndarray, offsets: np.ndarray, most: int, small: int = 32) -> tuple[np.ndarray, np.ndarray]:
-    """Links within each group: for small groups all at once by shifts, for larger ones a search that drops what it has reached."""
+def _links_of(flat: np.ndarray, names: np.ndarray, offsets: np.ndarray, most: int, small: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    """Links (by name) within each group: for small groups all at once by shifts, for larger ones a search that drops what it has
+    reached."""
     left, right = [], []
     sizes = np.diff(offsets)
     group = np.repeat(np.arange(len(sizes)), sizes)
     keep = sizes[group] <= small
-    values, owner = flat[keep], group[keep]
+    values, owner, named = flat[keep], group[keep], names[keep]
     shift = 1
     while shift < len(values):
         same = owner[shift:] == owner[:-shift]
         if not same.any():
             break
-        a, b = values[:-shift][same], values[shift:][same]
-        near = np.bitwise_count(a ^ b) <= most
-        left.append(a[near])
-        right.append(b[near])
+        near = same & (np.bitwise_count(values[:-shift] ^ values[shift:]) <= most)
+        left.append(named[:-shift][near])
+        right.append(named[shift:][near])
         shift += 1
     for g in np.flatnonzero(sizes > small):
-        rest = np.unique(flat[offsets[g] : offsets[g + 1]])
+        order = np.argsort(names[offsets[g] : offsets[g + 1]])  # the same links whatever the order of arrival
+        rest, ids = flat[offsets[g] : offsets[g + 1]][order], names[offsets[g] : offsets[g + 1]][order]
         while len(rest) > 1:
-            frontier, rest = [rest[0]], rest[1:]
+            frontier, rest, ids = [(rest[0], ids[0])], rest[1:], ids[1:]
             while frontier and len(rest):
-                at = frontier.pop()
+                at, name = frontier.pop()
                 near = np.bitwise_count(rest ^ at) <= most
                 if near.any():
-                    hit = rest[near]
-                    left.append(np.full(len(hit), at, rest.dtype))
-                    right.append(hit)
-                    frontier.extend(hit)
-                    rest = rest[~near]
-    none = np.zeros(0, np.uint64)
+                    left.append(np.full(int(near.sum()), name, ids.dtype))
+                    right.append(ids[near])
+                    frontier.extend(zip(rest[near], ids[near], strict=True))
+                    rest, ids = rest[~near], ids[~near]
+    none = np.zeros(0, names.dtype)
     return np.concatenate(left or [none]), np.concatenate(right or [none])
 
 
@@ -106,42 +106,56 @@ def links(classes: DataFrame, max_distance: int = 4, blocks: int = 6, cell: int
     ``max_distance`` bits apart."""
     if blocks <= max_distance:
         raise ValueError("there must be more blocks than differing bits")
-    ship(classes.sparkSession)
+    member = F.struct(F.col("fp").alias("bits"), "fp").alias("member")
+    return grouped_links(classes.select(member, F.explode(_block_keys(F.col("fp"), blocks, blocks - max_distance)).alias("key")), max_distance, cell)
+
+
+def grouped_links(keyed: DataFrame, most: int, cell: int = 4096) -> DataFrame:
+    """Distinct links (a, b), a < b, between members (bits, fp) of one ``key`` whose bits differ in at most ``most`` places; they
+    span what such links connect under a key."""
+    ship(keyed.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lists = b.column(0)
-            flat = np.asarray(lists.flatten()).view(np.uint64)
+            bits, names = (np.asarray(x) for x in lists.flatten().flatten())
             offsets = np.asarray(lists.offsets).astype(np.int64)
-            x, y = _links_of(flat, offsets - offsets[0], max_distance)
-            x, y = x.view(np.int64), y.view(np.int64)
+            x, y = _links_of(bits.view(np.uint64), names, offsets - offsets[0], most)
             pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
-    keyed = classes.select("fp", F.explode(_block_keys(F.col("fp"), blocks, blocks - max_distance)).alias("key"))
-    hot = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > cell).select("key", F.ceil(F.col("n") / cell).cast("int").alias("cells"))
+    # Keys of more than a cell are dealt into cells, and each pair of cells becomes a group.
+    hot = durable(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > cell).select("key", F.ceil(F.col("n") / cell).cast("int").alias("cells")))
     cells = F.coalesce("cells", F.lit(1))
-    own = F.pmod(F.xxhash64("fp"), cells).cast("int")
-    dealt = keyed.join(hot, "key", "left").select("fp", "key", own.alias("own"), F.explode(F.sequence(F.lit(0), cells - 1)).alias("other"))
+    own = F.pmod(F.xxhash64("member.fp"), cells).cast("int")
+    dealt = keyed.join(hot, "key", "left").select("member", "key", own.alias("own"), F.explode(F.sequence(F.lit(0), cells - 1)).alias("other"))
     at = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
-    groups = dealt.groupBy(at.alias("at")).agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select("fps")
+    groups = dealt.groupBy(at.alias("at")).agg(F.collect_list("member").alias("members")).where(F.size("members") > 1).select("members")
     return groups.mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each node of the links (a, b) reaches.
 
-    Each round takes the smallest label among a node's neighbours and then the label of that label, until nothing changes.
+    Each round takes the smallest label among a node's neighbours, for the node and for the node's own label too, and then the
+    label of that label, until nothing changes; so chains end in few rounds as well. A round is a table in the shared folder, and the one before goes.
     """
-    both = durable(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(edges.select("b", "a")))
-    labels = durable(both.groupBy("src").agg(F.min("dst").alias("m")).select(F.col("src").alias("node"), F.least("src", "m").alias("root")))
+    spark = edges.sparkSession
+    way = lambda x, y: F.struct(F.col(x).alias("src"), F.col(y).alias("dst"))
+    both = durable(edges.select(F.explode(F.array(way("a", "b"), way("b", "a"))).alias("e")).select("e.*"))
+    labels, path = written(both.groupBy("src").agg(F.min("dst").alias("m")).select(F.col("src").alias("node"), F.least("src", "m").alias("root")))
     while True:
         seen = both.join(labels.select(F.col("node").alias("dst"), "root"), "dst").groupBy("src").agg(F.min("root").alias("m"))
-        near = labels.join(seen.withColumnRenamed("src", "node"), "node").select("node", F.col("root").alias("was"), F.least("root", "m").alias("via"))
+        near, near_path = written(labels.join(seen.withColumnRenamed("src", "node"), "node").select("node", F.col("root").alias("was"), "m"))
+        lifted = near.groupBy(F.col("was").alias("node")).agg(F.min("m").alias("h"))
+        near = near.join(lifted, "node", "left").select("node", "was", F.least("was", "m", "h").alias("via"))
         jump = labels.select(F.col("node").alias("via"), F.col("root").alias("far"))
-        new = durable(near.join(jump, "via").select("node", "was", F.least("via", "far").alias("root")))
-        labels = new.select("node", "root")
-        if new.where("was <> root").isEmpty():
+        new, new_path = written(near.join(jump, "via").select("node", "was", F.least("via", "far").alias("root")))
+        done = new.where("was <> root").isEmpty()
+        remove(spark, path)
+        remove(spark, near_path)
+        labels, path = new.select("node", "root"), new_path
+        if done:
             return labels
 
 
@@ -150,8 +164,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = durable(fingerprints(docs, id_col, text_col, shingle))
     classes = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
     roots = components(links(classes, max_distance, blocks))
-    rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    rooted = durable(classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root")))
+    ids = durable(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")))  # so that a root of many can be split in the join
     named = durable(rooted.join(ids, "root").select("fp", "component_id"))
     return rows.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id")
 

@@ -36,3 +36,40 @@ def test_edited_copies_go(spark):
     group = plain_components(rows)
     got = sorted(x.doc_id for x in corpus_pipeline.distinct(spark, docs, "").collect())
     assert got == [rows[g][0] for g in sorted(set(group))] and 12 < len(got) < len(rows) - 24
+
+
+def test_cells_of_a_component_lose_no_link(spark):
+    from junctura.llm import shingles
+
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(300)]
+    rows, w = [], [r.choice(words) for _ in range(120)]
+    for n in range(60):  # a chain: each text a few edits from the one before
+        w = list(w)
+        for _ in range(2):
+            w[r.randrange(len(w))] = r.choice(words)
+        rows.append((n, " ".join(w)))
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows] + [(0, rows[0][1], "y")], "doc_id long, text string, root string")
+
+    def groups(**how):
+        return sorted((x.doc_id, x.component_id) for x in shingles.near_duplicates(docs, **how).collect())
+
+    want = sorted([(i, g) for i, g in enumerate(plain_components(rows))] + [(0, 0)])
+    assert groups() == want == groups(cell=500)
+    assert shingles.one_of_each(docs.limit(0)).count() == 0
+
+
+def test_similar_sets_of_all_sizes_share_a_block():
+    import numpy as np
+
+    from junctura.llm import shingles
+
+    rng = np.random.default_rng(2)
+    for n in (4, 5, 6, 7, 9, 12, 15, 20, 33, 64, 100, 257, 1000, 5000):
+        for _ in range(60 if n < 300 else 10):
+            both = rng.integers(0, 2**63, n, np.uint64)
+            spare = int(n * 0.25)  # of a union of n + spare, n are shared: similarity 0.8 at least
+            left = rng.integers(0, spare + 1)
+            a, b = (np.unique(np.concatenate([both, rng.integers(0, 2**63, k, np.uint64)])) for k in (left, spare - left))
+            assert set(shingles.block_keys(a)) & set(shingles.block_keys(b))
+            assert (shingles.fingerprint_of(a) ^ shingles.fingerprint_of(b)).bit_count() <= shingles.FAR
