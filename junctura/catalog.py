@@ -223,11 +223,12 @@ def reverse_complement(spark, d):
     return spark_view(spark, d, "sequences").select("name", Q.reverse_complement(F.col("seq")).alias("rc"))
 
 
-_PIECES = ctes("sequences") + ", p AS (SELECT name, k, substr(seq, k * 3 + 1, 6) AS piece FROM sequences, (SELECT unnest(range(0, 40)) AS k) WHERE length(seq) >= k * 3 + 6)"
+_PIECES = ctes("sequences") + ", p AS (SELECT name, k, substr(seq, k * 3 + 1, 6) AS piece FROM (SELECT name, seq, unnest(range(0, (length(seq) - 3) // 3)) AS k FROM sequences WHERE length(seq) >= 6))"
 
 
 def _pieces(spark, d):
-    rows = spark_view(spark, d, "sequences").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(39)))).where("length(seq) >= k * 3 + 6")
+    """All pieces of six letters that begin at every third, over whole sequences."""
+    rows = spark_view(spark, d, "sequences").where("length(seq) >= 6").withColumn("k", F.explode(F.expr("sequence(0, (length(seq) - 6) div 3)")))
     return rows.select("name", F.col("k").cast("bigint").alias("k"), F.substr("seq", F.col("k") * 3 + 1, F.lit(6)).alias("piece"))
 
 
@@ -256,9 +257,9 @@ def _share(base: str) -> str:
     return f"(length(s) - length(replace(s, '{base}', '')))"
 
 
-@query(ctes("sequences") + f", q AS (SELECT name, substr(seq, 1, 12) AS s FROM sequences) SELECT name, greatest({', '.join(_share(b) for b in ('A', 'G', 'T', 'C', 'AG', 'AT', 'AC', 'GT', 'GC', 'TC'))}) > length(s) * 0.5 AS low FROM q")
+@query(ctes("sequences") + f", q AS (SELECT name, seq AS s FROM sequences) SELECT name, greatest({', '.join(_share(b) for b in ('A', 'G', 'T', 'C', 'AG', 'AT', 'AC', 'GT', 'GC', 'TC'))}) > length(s) * 0.5 AS low FROM q")
 def low_complexity(spark, d):
-    return spark_view(spark, d, "sequences").select("name", Q.is_low_complexity(F.substr("seq", F.lit(1), F.lit(12)), 0.5).alias("low"))
+    return spark_view(spark, d, "sequences").select("name", Q.is_low_complexity(F.col("seq"), 0.5).alias("low"))
 
 
 @query(_PAIRS + ctes("sequences").replace("WITH ", ", ") + "SELECT seg1, upper(substr(seq, greatest(least(cb1, cb2) - 24, 1), least(greatest(cb1, cb2) + 24, length(seq)) - greatest(least(cb1, cb2) - 24, 1) + 1)) AS probe FROM classified JOIN sequences ON query = name WHERE length(seq) >= greatest(cb1, cb2)")
@@ -326,7 +327,7 @@ def primary_split(spark, d):
     return S.primary_split(rows).select("query", "rn", "is_primary")
 
 
-_UNIQUE = "SELECT CAST(floor(l_orderkey / 3) AS BIGINT) AS query, l_orderkey * 100 + rn AS seg_id, CASE WHEN rn > 1 THEN 256 ELSE 0 END AS flag, CAST(l_suppkey % 5 AS INT) AS mapq, CASE WHEN l_partkey % 3 = 0 THEN '10S90M' WHEN l_partkey % 3 = 1 THEN '50M4D50M' ELSE '60M3I37M' END AS cigar, CAST(floor(l_quantity / 3) AS INT) AS nm FROM items WHERE l_orderkey % 3 = 0"
+_UNIQUE = "SELECT l_orderkey AS query, l_orderkey * 100 + rn AS seg_id, CASE WHEN rn > 1 THEN 256 ELSE 0 END AS flag, CAST(l_suppkey % 5 AS INT) AS mapq, CASE WHEN l_partkey % 3 = 0 THEN '10S90M' WHEN l_partkey % 3 = 1 THEN '50M4D50M' ELSE '60M3I37M' END AS cigar, CAST(floor(l_quantity / 3) AS INT) AS nm FROM items"
 
 
 @query(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.coords import is_alternative
 from ..functions.sequences import is_low_complexity
+from ..lineage import cut
 from .intervals import band_join
 
 KEY = ["rearrangement", "chrom1", "break1", "orient1", "chrom2", "break2", "orient2"]
@@ -58,13 +59,13 @@ def merge(events: DataFrame, order: str = "seq_no", extra: list[str] | None = No
 
 def number(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     """Ids 1 to n in the order of the columns: rows are sorted in ranges, and each range is offset by the sizes of those before."""
-    sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    placed = sorted_rows.withColumn("_nth", within)
-    sizes = placed.groupBy("_part").agg(F.max("_nth").alias("_n"))
+    placed = cut(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))  # cut, so that both uses see the same ranges
+    own = Window.partitionBy("_part")
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each range
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select("_part", before.alias("_before"))
-    return placed.join(offsets, "_part").select((F.col("_before") + F.col("_nth")).alias(name), *rows.columns)
+    nth = F.row_number().over(own.orderBy(*order))
+    return placed.withColumn("_nth", nth).join(offsets, "_part").select((F.col("_before") + F.col("_nth")).alias(name), *rows.columns)
 
 
 def pair_neighbours(events: DataFrame, by: list[str], order: list[str], pairable: Column, id_col: str = "adj_id") -> DataFrame:
