@@ -168,20 +168,26 @@ def segment_graph_edges(spark, d):
 
 _PATHS = (
     ctes("segments").replace("WITH ", "WITH RECURSIVE ")
-    + """, e AS (SELECT a.query, a.seg_id AS i, b.seg_id AS j, greatest(0, a.qend - b.qstart + 1) AS o, b.qend AS qe, b.qend - b.qstart + 1 AS len FROM segments a JOIN segments b ON a.query = b.query
+    + """, e AS (SELECT a.query, a.seg_id AS i, b.seg_id AS j, greatest(0, a.qend - b.qstart + 1) AS o, b.qend AS qe, b.target AS target, b.qend - b.qstart + 1 AS len FROM segments a JOIN segments b ON a.query = b.query
     WHERE b.qstart > a.qstart AND b.qend > a.qend AND greatest(0, a.qend - b.qstart + 1) / least(a.qend - a.qstart + 1, b.qend - b.qstart + 1) < 0.2 AND greatest(0, b.qstart - a.qend - 1) / least(a.qend - a.qstart + 1, b.qend - b.qstart + 1) < 0.2),
-w AS (SELECT query, query_len, [seg_id] AS path, seg_id AS at, qstart AS qs, qend AS qe, qend - qstart + 1 AS total, 0::BIGINT AS o FROM segments WHERE qstart <= greatest(1, floor(query_len * 0.02))
-  UNION ALL SELECT w.query, query_len, list_append(path, j), j, qs, e.qe, total + len, w.o + e.o FROM w JOIN e ON w.at = e.i WHERE len(path) < 3),
+w AS (SELECT query, query_len, [seg_id] AS path, [target] AS targets, seg_id AS at, qstart AS qs, qend AS qe, qend - qstart + 1 AS total, 0::BIGINT AS o FROM segments WHERE qstart <= greatest(1, floor(query_len * 0.02))
+  UNION ALL SELECT w.query, query_len, list_append(path, j), list_append(targets, e.target), j, qs, e.qe, total + len, w.o + e.o FROM w JOIN e ON w.at = e.i),
 f AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY path) AS n FROM w WHERE qe >= query_len - greatest(1, floor(query_len * 0.02)) + 1 AND (qe - qs + 1) / query_len >= 0.95)"""
 )
 
 
-@query(_PATHS + "SELECT query, array_to_string(path, '-') AS path, o AS overlapped, total - o AS covered, n FROM f WHERE n <= 5")
+@query(_PATHS + "SELECT query, array_to_string(path, '-') AS path, o AS overlapped, total - o AS covered, n FROM f")
 def segment_paths(spark, d):
     return S.paths(_segments(spark, d)).select("query", F.array_join(F.col("path").cast("array<string>"), "-").alias("path"), "overlapped", "covered", "n")
 
 
-@query()
+@query(
+    _PATHS
+    + """, g AS (SELECT query, n, path, o, total - o AS c, len(list_distinct(targets)) AS k FROM f),
+    b AS (SELECT * FROM g WHERE n = 1 UNION ALL SELECT g.query, g.n, CASE WHEN x.better THEN g.path ELSE b.path END, CASE WHEN x.better THEN g.o ELSE b.o END, CASE WHEN x.better THEN g.c ELSE b.c END, CASE WHEN x.better THEN g.k ELSE b.k END
+      FROM b JOIN g ON g.query = b.query AND g.n = b.n + 1, LATERAL (SELECT g.c > b.c OR g.o < b.o OR g.k < b.k AS better) x)
+    SELECT query, array_to_string(path, '-') AS path, c AS covered, o AS overlapped FROM b QUALIFY row_number() OVER (PARTITION BY query ORDER BY n DESC) = 1"""
+)
 def best_paths(spark, d):
     return S.best_path(S.paths(_segments(spark, d))).select("query", F.array_join(F.col("path").cast("array<string>"), "-").alias("path"), "covered", "overlapped")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cigar as C
 from ..functions.coords import chrom_key, is_alternative
+from ..lineage import cut
 
 
 def primary_split(alignments: DataFrame) -> DataFrame:
@@ -118,19 +119,21 @@ def edges(segments: DataFrame, most_overlap: float = 0.2, most_gap: float = 0.2)
     return a.join(b, (F.col("query") == F.col("_q")) & near).select("query", "i", "j", over.alias("overlap"), gap.alias("gap"))
 
 
-def paths(segments: DataFrame, longest: int = 3, from_edge: float = 0.02, least: float | None = 0.95, most_paths: int = 5) -> DataFrame:
-    """Chains of up to ``longest`` segments from one end of a contig to the other: (query, path, targets, covered, overlapped, n),
-    at most ``most_paths`` of each contig in the order of their segments. A segment that could be both end points counts as the
-    one that it is nearer to, but a single segment is a path of its own."""
+def paths(segments: DataFrame, from_edge: float = 0.02, least: float | None = 0.95) -> DataFrame:
+    """All chains of segments from one end of a contig to the other: (query, path, targets, covered, overlapped, n), numbered in
+    the order of their segments. Chains grow by a segment in each round until none does; as starts ascend, that ends after as
+    many rounds as a contig has segments at most. A single segment can be a path of its own."""
     edge = F.greatest(F.lit(1), F.floor(F.col("query_len") * from_edge))
     rows = segments.withColumns({"_starts": F.col("qstart") <= edge, "_ends": F.col("qend") >= F.col("query_len") - edge + 1})
     node = F.struct("seg_id", "qstart", "qend", "target")
-    links = edges(segments).select("i", "j")
+    links = cut(edges(segments).select("i", "j"))
     step = rows.where("_starts").select("query", "query_len", F.array(node).alias("path"), F.col("seg_id").alias("at"), F.col("_ends").alias("done"))
     found = step
     nodes = rows.select(F.col("seg_id").alias("j"), node.alias("node"), F.col("_ends").alias("done"))
-    for _ in range(longest - 1):
-        step = step.drop("done").join(links, F.col("at") == F.col("i")).join(nodes, "j").select("query", "query_len", F.array_append("path", F.col("node")).alias("path"), F.col("j").alias("at"), "done")
+    while True:
+        step = cut(step.drop("done").join(links, F.col("at") == F.col("i")).join(nodes, "j").select("query", "query_len", F.array_append("path", F.col("node")).alias("path"), F.col("j").alias("at"), "done"))
+        if step.isEmpty():
+            break
         found = found.union(step)
     found = found.where("done")
     over = F.aggregate(F.sequence(F.lit(1), F.greatest(F.size("path") - 1, F.lit(1))), F.lit(0).cast("bigint"), lambda a, k: a + F.coalesce(F.greatest(F.lit(0), F.get("path", k - 1)["qend"] - F.get("path", k)["qstart"] + 1), F.lit(0)))
@@ -141,12 +144,12 @@ def paths(segments: DataFrame, longest: int = 3, from_edge: float = 0.02, least:
     if least is not None:
         out = out.where(F.col("share") >= least)
     nth = F.row_number().over(Window.partitionBy("query").orderBy("path"))
-    return out.withColumn("n", nth).where(F.col("n") <= most_paths)
+    return out.withColumn("n", nth)
 
 
 def best_path(found: DataFrame) -> DataFrame:
     """One path for each contig: scanning in order, a path replaces the best so far if it covers more, overlaps less or has fewer
-    targets. The order matters, as these do not rank paths; the paths of a contig are few (see ``paths``)."""
+    targets. The order matters, as these do not rank paths."""
     one = F.struct("n", "path", "targets", "covered", "overlapped")
     better = lambda a, x: (x["covered"] > a["covered"]) | (x["overlapped"] < a["overlapped"]) | (F.size(x["targets"]) < F.size(a["targets"]))
     rows = found.groupBy("query").agg(F.sort_array(F.collect_list(one)).alias("all"))

@@ -44,7 +44,7 @@ def spanning(spans: DataFrame, reads: DataFrame, buffer: int = 1, width: int = 5
 
     ``reads``: seq_no, name, contig, rstart, rend, strand, whole (fully mapped) and, to compare bases, seq and clip (clipped bases before
     its start). With ``contigs`` (name, seq) a read must equal the contig over the span. The order matters, so a span's reads are
-    folded in order; equal keys and names are dropped before, so a fold holds at most one read for each start and strand.
+    folded in order; reads that cannot change the count are dropped before, which leaves about one for each start and strand.
     """
     wide = spans.select("contig", "span1", "span2", (F.col("span1") - buffer).alias("_s"), (F.col("span2") + buffer).alias("_e")).distinct()
     seen = reads.where("whole").withColumnRenamed("contig", "_contig")
@@ -58,6 +58,12 @@ def spanning(spans: DataFrame, reads: DataFrame, buffer: int = 1, width: int = 5
     rows = pairs.select("contig", "span1", "span2", "seq_no", key.alias("key"), "name")
     # Of one name at one place only the first can be accepted.
     rows = rows.groupBy("contig", "span1", "span2", "key", "name").agg(F.min("seq_no").alias("seq_no"))
+    # A read whose name lies under no other key of its span can be refused only for its key, and once such a read has come, its key
+    # is taken; so all reads of the key after the first such one change nothing and go.
+    own = ["contig", "span1", "span2"]
+    alone = F.count("*").over(Window.partitionBy(*own, "name")) == 1
+    taken = F.min(F.when(F.col("_alone"), F.col("seq_no"))).over(Window.partitionBy(*own, "key"))
+    rows = rows.withColumn("_alone", alone).withColumn("_taken", taken).where("_taken is null or seq_no <= _taken")
     folded = rows.groupBy("contig", "span1", "span2").agg(F.collect_list(F.struct("seq_no", "key", "name")).alias("reads"))
     return folded.select("contig", "span1", "span2", accepted(F.col("reads")).alias("spanning"))
 

@@ -15,6 +15,8 @@ def events(alignments: DataFrame, contigs: DataFrame, least_size: int | None = N
     """Adjacencies, one row for each contig, from split and from gapped alignments; the input of ``operators.adjacency.merge``."""
     segments = S.to_segments(S.primary_split(alignments)).withColumn("seg_id", F.col("seq_no"))
     split = S.chimera_candidates(segments).where("is_primary")
+    whole = S.best_path(S.paths(split)).select("query", F.explode("path").alias("seg_id"))  # from end to end, or the contig says nothing
+    split = split.join(whole, ["query", "seg_id"])
     pairs = S.junction_sequences(S.classify(S.consecutive(split.select("seg_id", "query", "target", "strand", "qstart", "qend", "tstart", "tend"))), contigs)
     single = S.to_segments(S.unique_alignments(alignments)).withColumn("seg_id", F.col("seq_no"))
     gapped = S.gapped_indels(single, contigs)
