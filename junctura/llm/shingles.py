@@ -7,8 +7,9 @@ the smaller one, so with about a block for each ``FILL`` shingles many blocks ar
 on blocks. Sets of a size class have as many blocks, and sets close to the next class are dealt in both ways. ``KEYS`` blocks are used; small
 sets have fewer and are dealt several times. A pair of 0.8 shares no block with a chance of about (1 - 1/e) ** KEYS, 1e-8.
 
-Pairs that meet are verified by the Hamming distance of their 64-bit fingerprints (``FAR`` bits at most, five standard deviations
-beyond what 0.8 gives) and, as components of such links, by the sets themselves, so every link is exact. Equal sets are one class
+Pairs that meet are verified by the Hamming distance of whole fingerprints of 128 bits (``FAR`` at most, five standard deviations
+beyond what 0.8 gives, four below what unrelated texts have) and, within components of such links, again so and by the sets themselves, so
+every link is exact. Equal sets are one class
 before that. Components are split into cells of about ``CELL`` shingles, and each pair of cells is a group of its own, so no group
 holds more than two cells however large a component is.
 
@@ -28,9 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable, lean, ship
-from .simhash import components, grouped_links, keep_first
+from .simhash import _apart, components, grouped_links, keep_first
 
-KEYS, FILL, FAR = 40, 2.5, 25
+KEYS, FILL, FAR = 40, 2.5, 40
 #: Shingles that a cell of a component holds, about.
 CELL = 2_000_000
 
@@ -58,12 +59,19 @@ def _majority(hashes: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return np.packbits(2 * ones > sizes[:, None], axis=1, bitorder="little").view(np.uint64).reshape(-1)
 
 
-def fingerprint_of(hashes: np.ndarray) -> int:
-    """The signed 64-bit fingerprint of a set."""
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 65536):
-        ones += np.unpackbits(hashes[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
+def fingerprint_of(hashes: np.ndarray) -> tuple[int, int]:
+    """The 128-bit fingerprint of a set, as two signed words."""
+    out = []
+    for k in range(2):
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(hashes), 65536):
+            part = hashes[at : at + 65536]
+            if k:
+                part = (part ^ (part >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25)
+                part = part ^ (part >> np.uint64(32))
+            ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+        out.append(int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0]))
+    return out[0], out[1]
 
 
 def _classes(n: int, similarity: float) -> list[int]:
@@ -93,24 +101,30 @@ def block_keys(hashes: np.ndarray, similarity: float = 0.8) -> np.ndarray:
     return np.unique(np.concatenate(out)).view(np.int64) if out else np.zeros(0, np.int64)
 
 
-def linked(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """A spanning forest of the links between sets that are not empty, as places."""
+def linked(sets: list[np.ndarray], bits: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the links between sets that are not empty, as places; ``bits`` are their fingerprints, by which most pairs
+    are ruled out before their sets are compared."""
     sizes = np.array([len(s) for s in sets], np.int64)
     rest, out = np.arange(1, len(sets)), []
-    flat, frontier = np.concatenate(sets[1:] or [np.zeros(0, np.uint64)]), [0]
+    frontier = [0]
     while len(rest):
         if not frontier:
-            frontier, rest, flat = [rest[0]], rest[1:], flat[sizes[rest[0]] :]
+            frontier, rest = [int(rest[0])], rest[1:]
             continue
         at = frontier.pop()
         own, n = sets[at], sizes[rest]
-        place = np.minimum(np.searchsorted(own, flat), len(own) - 1)
-        both = np.add.reduceat((own[place] == flat).astype(np.int64), np.concatenate(([0], np.cumsum(n)[:-1])))
-        near = both >= similarity * (len(own) + n - both) - 1e-9
+        maybe = np.flatnonzero((np.minimum(n, len(own)) >= similarity * np.maximum(n, len(own)) - 1e-9) & (_apart(bits[rest], bits[at]) <= FAR))
+        near = np.zeros(len(rest), bool)
+        for i in maybe.tolist():
+            other = sets[rest[i]]
+            small, large = (own, other) if len(own) <= len(other) else (other, own)
+            both = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+            near[i] = both >= similarity * (len(own) + len(other) - both) - 1e-9
         if near.any():
-            out += [(at, int(x)) for x in rest[near]]
-            frontier += rest[near].tolist()
-            flat, rest = flat[np.repeat(~near, n)], rest[~near]
+            reached = rest[near].tolist()
+            out += [(at, x) for x in reached]
+            frontier += reached
+            rest = rest[~near]
     return out
 
 
@@ -135,34 +149,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 sizes.append(len(own))
                 blocks.append(block_keys(own, similarity))
             fps = pa.array(np.array(names, np.uint64).view(np.int64))
-            columns = [b.column(0), b.column(1), fps, pa.array(bits, pa.int64()), pa.array(sizes, pa.int64()), pa.array(blocks, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "fp", "bits", "size", "blocks"])
+            columns = [b.column(0), b.column(1), fps, pa.array([x for x, _ in bits], pa.int64()), pa.array([x for _, x in bits], pa.int64()), pa.array(sizes, pa.int64()), pa.array(blocks, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "fp", "bits", "more", "size", "blocks"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(3).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([shingle_set(texts[i].as_py(), shingle).tobytes() for i in range(len(texts))], pa.large_binary())], names=["fp", "root", "cells", "hashes"])
+            texts = b.column(5).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array([shingle_set(texts[i].as_py(), shingle).tobytes() for i in range(len(texts))], pa.large_binary())], names=["fp", "root", "cells", "bits", "more", "hashes"])
 
     def search(group: pa.Table) -> pa.Table:
-        found = dict(zip(group.column("fp").to_pylist(), group.column("hashes"), strict=True))
-        names = sorted(found)
-        pairs = linked([np.frombuffer(found[x].as_buffer(), np.uint64) for x in names], similarity)
+        order = np.argsort(group.column("fp").to_numpy())
+        names = group.column("fp").to_numpy()[order]
+        bits = np.stack([group.column(c).to_numpy() for c in ("bits", "more")], axis=1).view(np.uint64)[order]
+        hashes = group.column("hashes")
+        pairs = linked([np.frombuffer(hashes[i].as_buffer(), np.uint64) for i in order.tolist()], bits, similarity)
         return pa.table({"a": pa.array([names[x] for x, _ in pairs], pa.int64()), "b": pa.array([names[y] for _, y in pairs], pa.int64())})
 
-    rows = durable(_texts(docs, id_col, text_col).mapInArrow(lean(keys), "doc_id long, text_hash long, fp long, bits long, size long, blocks array<long>"))
+    rows = durable(_texts(docs, id_col, text_col).mapInArrow(lean(keys), "doc_id long, text_hash long, fp long, bits long, more long, size long, blocks array<long>"))
     first = F.min(F.struct("doc_id", "text_hash")).alias("one")
-    classes = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"), first, F.first("bits").alias("bits"), F.first("size").alias("size"), F.first("blocks").alias("blocks")))
-    keyed = classes.select(F.struct("bits", "fp").alias("member"), F.explode("blocks").alias("key"))
+    classes = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"), first, F.first("bits").alias("bits"), F.first("more").alias("more"), F.first("size").alias("size"), F.first("blocks").alias("blocks")))
+    keyed = classes.select(F.struct("bits", "more", "fp").alias("member"), F.explode("blocks").alias("key"))
     roots = durable(components(grouped_links(keyed, FAR)).select(F.col("node").alias("fp"), "root"))
-    known = classes.select("fp", "size", F.col("one.doc_id").alias("one_id"), F.col("one.text_hash").alias("one_hash"))
+    known = classes.select("fp", "size", "bits", "more", F.col("one.doc_id").alias("one_id"), F.col("one.text_hash").alias("one_hash"))
     sized = roots.join(known, "fp")
     # Components of more than one cell: their members are dealt into cells, and go to each pair of cells that holds their own.
     cells = durable(sized.groupBy("root").agg(F.ceil(F.sum("size") / cell).cast("int").alias("cells")).where("cells > 1"))
     sized = sized.join(cells, "root", "left").withColumn("cells", F.coalesce("cells", F.lit(1)))
     wide = _texts(docs, id_col, text_col)
-    taken = wide.join(sized, wide["doc_id"].eqNullSafe(sized["one_id"]) & (wide["text_hash"] == sized["one_hash"])).select("fp", "root", "cells", "text").dropDuplicates(["fp"])
+    taken = wide.join(sized, wide["doc_id"].eqNullSafe(sized["one_id"]) & (wide["text_hash"] == sized["one_hash"])).select("fp", "root", "cells", "bits", "more", "text").dropDuplicates(["fp"])
     own = F.pmod(F.xxhash64("fp"), "cells").cast("int")
-    dealt = taken.mapInArrow(lean(sets), "fp long, root long, cells int, hashes binary").withColumn("own", own)
+    dealt = taken.mapInArrow(lean(sets), "fp long, root long, cells int, bits long, more long, hashes binary").withColumn("own", own)
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
     links = dealt.groupBy("root", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")).applyInArrow(search, "a long, b long")
     named = durable(classes.join(components(links).withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root")))

@@ -60,6 +60,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(lean(run), "doc_id long, text_hash long, fp long")
 
 
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing bits of rows of 64-bit words."""
+    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int32)
+
+
 def _links_of(flat: np.ndarray, names: np.ndarray, offsets: np.ndarray, most: int, small: int = 32) -> tuple[np.ndarray, np.ndarray]:
     """Links (by name) within each group: for small groups all at once by shifts, for larger ones a search that drops what it has
     reached."""
@@ -73,7 +78,7 @@ def _links_of(flat: np.ndarray, names: np.ndarray, offsets: np.ndarray, most: in
         same = owner[shift:] == owner[:-shift]
         if not same.any():
             break
-        near = same & (np.bitwise_count(values[:-shift] ^ values[shift:]) <= most)
+        near = same & (_apart(values[:-shift], values[shift:]) <= most)
         left.append(named[:-shift][near])
         right.append(named[shift:][near])
         shift += 1
@@ -84,7 +89,7 @@ def _links_of(flat: np.ndarray, names: np.ndarray, offsets: np.ndarray, most: in
             frontier, rest, ids = [(rest[0], ids[0])], rest[1:], ids[1:]
             while frontier and len(rest):
                 at, name = frontier.pop()
-                near = np.bitwise_count(rest ^ at) <= most
+                near = _apart(rest, at) <= most
                 if near.any():
                     left.append(np.full(int(near.sum()), name, ids.dtype))
                     right.append(ids[near])
@@ -111,16 +116,17 @@ def links(classes: DataFrame, max_distance: int = 4, blocks: int = 6, cell: int
 
 
 def grouped_links(keyed: DataFrame, most: int, cell: int = 4096) -> DataFrame:
-    """Distinct links (a, b), a < b, between members (bits, fp) of one ``key`` whose bits differ in at most ``most`` places; they
-    span what such links connect under a key."""
+    """Distinct links (a, b), a < b, between members (words of bits, then fp) of one ``key`` whose bits differ in at most ``most``
+    places; they span what such links connect under a key."""
     ship(keyed.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lists = b.column(0)
-            bits, names = (np.asarray(x) for x in lists.flatten().flatten())
+            *words, names = (np.asarray(x) for x in lists.flatten().flatten())
+            bits = np.stack(words, axis=1).view(np.uint64)
             offsets = np.asarray(lists.offsets).astype(np.int64)
-            x, y = _links_of(bits.view(np.uint64), names, offsets - offsets[0], most)
+            x, y = _links_of(bits, names, offsets - offsets[0], most)
             pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 

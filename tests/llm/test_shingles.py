@@ -72,4 +72,4 @@ def test_similar_sets_of_all_sizes_share_a_block():
             left = rng.integers(0, spare + 1)
             a, b = (np.unique(np.concatenate([both, rng.integers(0, 2**63, k, np.uint64)])) for k in (left, spare - left))
             assert set(shingles.block_keys(a)) & set(shingles.block_keys(b))
-            assert (shingles.fingerprint_of(a) ^ shingles.fingerprint_of(b)).bit_count() <= shingles.FAR
+            assert sum((x ^ y).bit_count() if (x < 0) == (y < 0) else ((x ^ y) % 2**64).bit_count() for x, y in zip(shingles.fingerprint_of(a), shingles.fingerprint_of(b), strict=True)) <= shingles.FAR
