@@ -3,11 +3,13 @@
 Fixed patterns give the base spans (email, ip, card, phone); these always stay. High-recall generators propose further spans,
 which may overlap each other: loosely written numbers, assignments of secrets, long mixed tokens and spelled-out addresses.
 Boosted trees judge each by its format (lengths, digit groups, shapes) and its context (words just before it), and a threshold for
-each generator, calibrated on examples kept apart, selects what is added, but for what overlaps a base span or lies within an accepted one. The trees are fitted here on a small table of
-examples that is built from templates, and are applied as SQL expressions inside the scan: no row is moved.
+each generator, calibrated on examples kept apart, selects what is added, but for what lies within a base span or an accepted one of an
+earlier kind. The trees are fitted here on a small table of examples that is built from templates, and are applied as SQL expressions
+inside the scan: no row is moved.
 
 Spans are code points, end exclusive. The position of a match is the sum of the lengths of all text and matches before it;
-matches are taken in blocks so that this costs linear time in texts with very many of them.
+matches are taken in blocks, spans are compared by running maxima over blocks, and redacted text is put together from pieces, so the
+time is about linear in texts with very many of them.
 
 Defined cases: a null text counts as empty and has no span; other columns are ignored; repeated rows each get a row; an empty
 table gives an empty result. Patterns use possessive repeats, so no text of any length makes them back up or recurse.
@@ -36,7 +38,8 @@ GENERATORS = {
     "contact": (r"(?<![A-Za-z0-9._+-])[A-Za-z0-9._+-]{2,40}+ ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]{2,40}+(?: ?(?:\.|[\[(](?:dot|DOT)[\])]) ?[A-Za-z0-9-]{2,20}+)++", "{t} rlike r'[\\[(](?:at|AT)[\\])]'"),
 }
 KINDS = [*BASE, *GENERATORS]
-_BLOCK = 256
+#: Spans of a block, and characters of a piece of text.
+_BLOCK, _PIECE = 256, 4096
 _LUHN = (
     "aggregate(transform(split(reverse({d}), ''), (c, i) -> if(i % 2 = 0, cast(c as int), if(cast(c as int) > 4, 2 * cast(c as int) - 9, 2 * cast(c as int)))), 0, (a, x) -> a + x) % 10 = 0"
 )
@@ -196,7 +199,8 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def _with_spans(rows: DataFrame, text: str, model: dict) -> DataFrame:
-    """``rows`` with base and added. Each stage reads what the one before made, so nothing is worked out twice."""
+    """``rows`` with base and added. Each stage reads what the one before made, so nothing is worked out twice: the optimiser merges a
+    column into the next one where that names it once, also inside a lambda, so what a lambda reads is named twice (its size is asked for)."""
     wanted = BASE | GENERATORS
     spell = "array<struct<s: int, e: int, m: string, c: string>>"
     rows = rows.withColumns({f"m_{k}": F.expr(f"case when {gate.format(t=text)} then regexp_extract_all({text}, r'{p}', 0) end") for k, (p, gate) in wanted.items()})
@@ -209,7 +213,7 @@ def _with_spans(rows: DataFrame, text: str, model: dict) -> DataFrame:
     rows = rows.withColumns(
         {
             f"s_{k}": F.expr(
-                f"case when a_{k} is not null then flatten(transform({blocks(k)}, i -> aggregate({part(k)}, struct(aggregate(slice(b_{k}, 1, i), 0, (n, x) -> n + x) as at, cast(array() as {spell}) as out), {place}, z -> z.out))) end"
+                f"case when size(b_{k}) > 0 then flatten(transform({blocks(k)}, i -> aggregate({part(k)}, struct(aggregate(slice(b_{k}, 1, i), 0, (n, x) -> n + x) as at, cast(array() as {spell}) as out), {place}, z -> z.out))) end"
             )
             for k in wanted
         }
@@ -226,8 +230,17 @@ def _with_spans(rows: DataFrame, text: str, model: dict) -> DataFrame:
         rows = rows.withColumn(f"f_{k}", F.expr(f"transform(s_{k}, x -> struct(x.s as s, x.e as e, {seen}))"))
         judged.append(f"coalesce(transform(filter(f_{k}, y -> {total} >= {model['limits'][k]}D), y -> struct(y.s as s, {KINDS.index(k)} as k, y.e as e)), cast(array() as {shape}))")
     rows = rows.withColumn("judged", F.expr(f"array_sort(concat({', '.join(judged)}))"))
-    free = "not exists(base, b -> b.s <= x.s and x.e <= b.e) and not exists(judged, b -> b.k < x.k and b.s <= x.s and x.e <= b.e)"
-    return rows.withColumn("added", F.expr(f"filter(judged, x -> {free})"))
+    rows = rows.withColumn("every", F.expr("case when size(judged) > 0 then array_sort(concat(base, judged)) end"))
+    # A span lies within one of an earlier kind if the largest end among those before it in this order reaches its own end.
+    first, own = len(BASE), f"slice(every, i * {_BLOCK} + 1, {_BLOCK})"
+    numbers = f"sequence(0, (size(every) - 1) div {_BLOCK})"
+    most = lambda array: f"coalesce(array_max({array}), 0)"
+    limits = f"array({', '.join(str(k) for k in range(first, len(KINDS)))})"
+    rows = rows.withColumn("tops", F.expr(f"transform({numbers}, i -> transform({limits}, g -> {most(f'transform(filter({own}, y -> y.k < g), y -> y.e)')}))"))
+    rows = rows.withColumn("carried", F.expr(f"case when size(tops) > 0 then transform({numbers}, i -> transform({limits}, g -> {most(f'transform(slice(tops, 1, i), z -> z[g - {first}])')})) end"))
+    reached = f"greatest(carried[i][x.k - {first}], {most(f'transform(filter(slice(every, i * {_BLOCK} + 1, j), y -> y.k < x.k), y -> y.e)')})"
+    free = f"filter(transform({own}, (x, j) -> if(x.k < {first} or {reached} >= x.e, null, x)), x -> x is not null)"
+    return rows.withColumn("added", F.expr(f"case when size(judged) > 0 and size(carried) > 0 then flatten(transform({numbers}, i -> {free})) else cast(array() as {shape}) end"))
 
 
 _NAMES = "array(" + ", ".join(f"'{k}'" for k in KINDS) + ")"
@@ -244,9 +257,20 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     wide = docs.toDF(*[f"c{i}" for i in range(len(names))])
     text = f"c{names.index(text_col)}"
     rows = _with_spans(wide.withColumn("t", F.coalesce(F.col(text), F.lit(""))), "t", train(docs.sparkSession))
-    step = f"(z, x) -> struct(greatest(z.at, x.e) as at, if(x.s >= z.at, concat(z.out, array(substring(t, z.at + 1, x.s - z.at), concat('[', upper({_NAMES}[x.k]), ']'))), z.out) as out)"
-    done = f"aggregate(array_sort(concat(base, added)), struct(0 as at, cast(array() as array<string>) as out), {step}, z -> concat(array_join(z.out, ''), substring(t, z.at + 1)))"
-    new = F.expr(f"case when size(base) + size(added) > 0 then {done} else {text} end")
+    rows = rows.withColumn("cut", F.expr("case when size(base) + size(added) > 0 then array_sort(concat(base, added)) end"))
+    numbers, own = f"sequence(0, (size(cut) - 1) div {_BLOCK})", f"slice(cut, i * {_BLOCK} + 1, {_BLOCK})"
+    most = lambda array: f"coalesce(array_max({array}), 0)"
+    rows = rows.withColumn("tops", F.expr(f"transform({numbers}, i -> {most(f'transform({own}, y -> y.e)')})"))
+    rows = rows.withColumn("carried", F.expr(f"case when size(tops) > 0 then transform({numbers}, i -> {most('slice(tops, 1, i)')}) end"))
+    reached = f"greatest(carried[i], {most(f'transform(slice(cut, i * {_BLOCK} + 1, j), y -> y.e)')})"
+    # The spans that begin beyond all before them, with the end of those; and the text in pieces, so that a place is found in one of them.
+    heads = f"case when size(carried) > 0 then filter(flatten(transform({numbers}, i -> transform({own}, (x, j) -> struct(x.s as s, x.k as k, {reached} as at)))), h -> h.s >= h.at) end"
+    rows = rows.withColumn("heads", F.expr(heads)).withColumn("pieces", F.expr(f"case when cut is not null then regexp_extract_all(t, '(?s).{{1,{_PIECE}}}', 0) end"))
+    some = lambda a, b: f"if({a} div {_PIECE} = {b} div {_PIECE}, substring(pieces[{a} div {_PIECE}], {a} % {_PIECE} + 1, {b} - {a}), concat({rest(a)}, array_join(slice(pieces, {a} div {_PIECE} + 2, {b} div {_PIECE} - {a} div {_PIECE} - 1), ''), coalesce(substring(get(pieces, {b} div {_PIECE}), 1, {b} % {_PIECE}), '')))"
+    rest = lambda a: f"coalesce(substring(get(pieces, {a} div {_PIECE}), {a} % {_PIECE} + 1), '')"
+    rows = rows.withColumn("last", F.expr("array_max(transform(cut, y -> y.e))"))
+    shown = f"array_join(transform(heads, h -> concat(if(h.s > h.at, {some('h.at', 'h.s')}, ''), '[', upper({_NAMES}[h.k]), ']')), '')"
+    new = F.expr(f"case when cut is not null then concat({shown}, {rest('last')}, array_join(slice(pieces, last div {_PIECE} + 2, size(pieces)), '')) else {text} end")
     return rows.withColumn("new", new).select(*[(F.col("new") if n == text_col else F.col(f"c{i}")).alias(n) for i, n in enumerate(names)])
 
 

@@ -1,14 +1,16 @@
 """URL filters: a rule list, and for urls that no rule fits a logistic regression on hashed character n-grams of host and path.
 
-The regression is trained from a small table of labelled urls, built here from a few words for each label. Its features are the
-n-grams of three characters of the host and, apart from those, of the path, hashed by a polynomial over code points; the model is one
-weight for each bucket, which the scan reads as a constant array. No row is moved, and all of it is SQL functions.
+The regression is trained from a small table of labelled urls, built here from words of several kinds of bad site (gambling, adult,
+medicines, loans, piracy, fraud, advertising and tracking) and of good ones, on the same neutral hosts, endings and paths, so that
+these decide nothing. Its features are the n-grams of three characters of the host and, apart from those, of the path, hashed by a
+polynomial over code points; weights and bias are fitted by Newton steps on the n-grams that occur. The model is one weight for each bucket, which the scan
+reads as a constant array. No row is moved, and all of it is SQL functions.
 
 Host: what follows the first ``://`` up to ``/``, ``?``, ``#`` or the end, with A-Z lower-cased; path: what follows up to ``?``, ``#``
 or the end. A rule fits its host and all subdomains where the path starts with the rule's; the longest rule wins.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, which no rule fits and the regression judges by its
-bias; repeated rows each get a row; other columns are ignored; an empty table gives an empty result.
+bias alone, allowed; very long urls are judged whole; repeated rows each get a row; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,44 +24,77 @@ from .common import table
 #: (verdict, host, path)
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 BUCKETS = 2048
-#: The regression's bias, fixed: a url without evidence is allowed.
-PRIOR = -1.0
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def labelled() -> list[tuple[str, str, int]]:
-    """(host, path, label), label 1 for urls to block: every fourth of all pairings of these parts."""
-    bad = (["casino", "poker", "xxx", "viagra", "payday", "torrent", "warez", "replica"], ["win-big", "free-spins", "cheap-pills", "bonus777", "adult-cams", "crack-keygen", "click-here", "loan-now"])
-    good = (["news", "library", "museum", "university", "docs", "blog", "recipes", "example"], ["about", "article", "en/2021", "guide", "history", "contact", "de/index.html", "fr/page"])
-    endings = ["com", "net", "info", "co"]
+#: Words of hosts to block and to allow, by kind.
+BAD = {
+    "gambling": "casino poker slots roulette jackpot betting bets bingo lottery freespins winbig blackjack",
+    "adult": "xxx porn adultcams sexchat nudes escort hentai camgirls",
+    "medicines": "viagra cialis pills pharmacy-cheap dietpills steroids",
+    "loans": "payday loan-now quickcash creditfix debtfree cashadvance",
+    "piracy": "torrent warez crack keygen serials fullmovie nulled",
+    "fraud": "replica giveaway clickhere prize-winner verify-account cryptodouble",
+    "advertising": "ads adserver adclick track tracker tracking popunder banner-ads pixel clicktrack doubleads",
+}
+GOOD = {
+    "learning": "university school library museum science history physics mathematics lectures archive",
+    "news": "news daily herald times press weather journal magazine review",
+    "technology": "docs developer python linux software forum manual database wiki help",
+    "life": "recipes garden travel music cinema football hiking cooking family photos",
+    "public": "government council health hospital parliament court transport police",
+    "trade": "books furniture bakery hotel restaurant clothing bicycle market shop",
+}
+
+
+def labelled(words: dict[int, list[str]] | None = None) -> list[tuple[str, str, int]]:
+    """(host, path, label), label 1 for urls to block. Each word stands in a few hosts, some with a syllable that says nothing, and in
+    a path; hosts and paths without any word are good."""
+    words = words or {1: [w for ws in BAD.values() for w in ws.split()], 0: [w for ws in GOOD.values() for w in ws.split()]}
+    endings, fronts = ["com", "net", "org", "info", "example.com", "example.net", "example.org"], ["", "www.", "m.", "blog.", "my-", "best-"]
+    syllables = ["th", "er", "an", "re", "on", "tion", "ing", "es", "st", "ou", "ha", "ed", "nd", "le", "or"]
+    pages = ["/", "/en/1234", "/fr/77.html", "/de/index.html", "/es/4021/", "/about", "/article/5", "/p/90", "/en/512/"]
     rows = []
-    for label, (hosts, paths) in ((1, bad), (0, good)):
-        for i, h in enumerate(hosts):
-            for j, p in enumerate(paths):
-                front = ("www.", "", "m.", "my-")[(i + 2 * j) % 4]
-                if (i + j) % 2 == 0:
-                    rows.append((f"{front}{h}.{endings[(i * 3 + j) % 4]}", f"/{p}", label))
-                    rows.append((f"{('site', 'web')[i % 2]}{j}.{h}{'' if label == 0 else j}.{endings[(i + j) % 4]}", f"/{p}/{17 * i + j}", label))
-    return rows
+    for label, own in words.items():
+        for i, w in enumerate(own):
+            plain = syllables[i % 15] + syllables[(4 * i + 3) % 15]
+            for k, host in enumerate((f"{fronts[i % 6]}{w}", f"{fronts[(i + 1) % 4]}{w}-{plain}", f"{fronts[(i + 2) % 4]}{plain}{w}", f"{w}.{plain}")):
+                rows.append((f"{host}.{endings[(i + 2 * k) % 7]}", pages[(i + k) % 9], label))
+            rows.append((f"{plain}.{endings[i % 7]}", f"/{w}/{17 * i}", label))
+    for i in range(3 * 15 * 15):
+        host = "".join(syllables[n % 15] for n in (i, i // 15, 7 * i + 2, 11 * i)[: 2 + i % 3])
+        rows.append((f"{fronts[i % 4]}{host}.{endings[i % 7]}", (pages[i % 9], f"/{('en', 'fr', 'de', 'es')[i % 4]}/{7919 * i % 10007}{('', '.html', '/')[i % 3]}")[i % 2], 0))
+    return rows + [("", "", 0)] * 60  # a url without host says nothing
 
 
 def _buckets(text: str, side: int) -> list[int]:
     return [(ord(text[i]) * 961 + ord(text[i + 1]) * 31 + ord(text[i + 2]) + 1013 * side) % BUCKETS for i in range(len(text) - 2)]
 
 
-def fit(rows: list[tuple[str, str, int]] | None = None, steps: int = 400, rate: float = 2.0, ridge: float = 1e-3) -> tuple[list[float], float]:
-    """(weights, bias) of the regression, by gradient steps over the small table; features are shares of a url's n-grams."""
+def fit(rows: list[tuple[str, str, int]] | None = None, steps: int = 25, ridge: float = 0.7, caution: float = 3.0) -> tuple[list[float], float]:
+    """(weights, bias) of the regression by Newton steps in the span of the labelled urls; label 0 weighs ``caution`` times label 1. Features are
+    shares of a url's n-grams; the bias is not penalised."""
     rows = labelled() if rows is None else rows
+    if not rows:
+        return [0.0] * BUCKETS, -1.0
     x, y = np.zeros((len(rows), BUCKETS)), np.array([r[2] for r in rows], float)
     for k, (host, path, _) in enumerate(rows):
         own = _buckets(f"^{host}$", 0) + _buckets(f"^{path}$", 1)
-        np.add.at(x[k], own, 1 / max(1, len(own)))
-    x *= 10
-    w, b = np.zeros(BUCKETS), PRIOR
-    for _ in range(steps if len(rows) else 0):
-        miss = 1 / (1 + np.exp(-(x @ w + b))) - y
-        w -= rate * (x.T @ miss / len(rows) + ridge * w)
-    return [round(10 * float(v), 6) for v in w], b
+        np.add.at(x[k], own, 10 / max(1, len(own)))
+    weight = np.where(y == 1, 1 / max(1, y.sum()), caution / max(1, (1 - y).sum())) * len(y) / (1 + caution)
+    gram, a, b = x @ x.T, np.zeros(len(rows)), 0.0
+    for _ in range(steps):
+        margin = gram @ a + b
+        p = 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
+        curve = np.maximum(weight * p * (1 - p), 1e-6)
+        # Kernel form of a Newton step: (gram + ridge / curve) a + b = margin + (y - p) * weight / curve, with a summing to 0.
+        left = np.block([[gram + np.diag(ridge / curve), np.ones((len(rows), 1))], [np.ones((1, len(rows))), np.zeros((1, 1))]])
+        found = np.linalg.solve(left, np.append(margin + weight * (y - p) / curve, 0.0))
+        done = np.abs(found[:-1] - a).max() < 1e-9
+        a, b = found[:-1], float(found[-1])
+        if done:
+            break
+    return [round(10 * float(v), 6) for v in x.T @ a], round(b, 6)
 
 
 _fitted: list[tuple[list[float], float]] = []

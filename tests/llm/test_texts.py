@@ -95,14 +95,26 @@ def test_urls(spark):
     assert got[2] == got[3] == got[4] == ("", "", None, "allow") and got[6][2] is None and got[10][2:] == ("org/", "allow") and got[9][3] == "block" and got[11][2] is None
 
 
+def url_margin(model, host, path):
+    weights, bias = model
+    count = len(host) + len(path)
+    return bias + (sum(weights[b] for b in urls._buckets(f"^{host}$", 0)) + sum(weights[b] for b in urls._buckets(f"^{path}$", 1))) / count if count else bias
+
+
 def test_url_regression_on_urls_kept_apart():
     rows = urls.labelled()
-    weights, bias = urls.fit([r for i, r in enumerate(rows) if i % 4])
-    def margin(host, path):
-        return bias + (sum(weights[b] for b in urls._buckets(f"^{host}$", 0)) + sum(weights[b] for b in urls._buckets(f"^{path}$", 1))) / (len(host) + len(path))
-
-    apart = [r for i, r in enumerate(rows) if i % 4 == 0]
-    assert np.mean([(margin(h, p) >= 0) == bool(y) for h, p, y in apart]) >= 0.9
+    model = urls.fit([r for i, r in enumerate(rows) if i % 4])
+    assert np.mean([(url_margin(model, h, p) >= 0) == bool(y) for h, p, y in rows[::4]]) >= 0.9
+
+
+def test_url_verdicts_on_hosts_that_are_not_in_the_table(spark):
+    bad = ["http://m.casino-win.example.net/en/1", "http://ads-ththon.example.net/en/55", "http://trackit.example.net/x", "http://megabetcasinos.net/", "http://free-bets.example.net/fr/9"]
+    good = ["http://ththerion.example.net/en/1", "http://quietlibrary.net/a", "http://thegardeners.info/en/7", "http://m.erandtion.example.net/es/3.html", "", None]
+    pages = spark.createDataFrame(list(enumerate(bad + good)), "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.filter_urls(pages).collect()}
+    assert [got[i] for i in range(len(bad))] == [(None, "block")] * len(bad)
+    assert [got[i] for i in range(len(bad), len(got))] == [(None, "allow")] * len(good)
+    assert urls.filter_urls(pages.limit(0)).count() == 0
 
 
 def test_licences(spark):
