@@ -1,24 +1,27 @@
 """License scans by patience alignment.
 
-Each template is searched for in windows of a text's words: two-word shingles of the template vote for where it would begin,
-votes near each other make a window, and a window with enough votes is aligned. Alignment anchors on the words that come once in
-both the window and the template, takes the longest run of anchors in increasing order, and aligns the gaps between them in the
-same way; where a gap has no such word, equal words at its two ends are matched. Coverage is the share of the template's
-words that are matched; a window counts from ``least`` on. Of overlapping finds the one with more matched words stays.
-
-A text is only cut into words where it holds one of the key words of a template, so a notice must name at least one of these.
-
-Defined cases: a null text has no words; repeated rows each get a row; several copies of a notice in one text are several finds;
-other columns are ignored; an empty table gives an empty result. Texts are scanned whole.
+Each template is aligned with windows of a text's words that begin at a word of the template and hold ``stretch`` times as many words
+as it. Alignment anchors on the words that come once in both the window and the template, takes the longest run of anchors in
+increasing order, and aligns the gaps between them in the same way; where a gap has no such word, equal words at its two ends are
+matched. Coverage is the share of the template's words that are matched; a window counts from ``least`` on. Of overlapping finds the
+one with more matched words stays, then the shorter one.
+
+A window is aligned only where it shares enough words with the template, each counted as often as both have it. Coverage cannot be
+larger than that share, so nothing is lost: the finds are those of aligning every window, whatever the templates.
+
+Defined cases: a null text has no words; a template of one word is found at each place of it, one without words nowhere; repeated rows
+each get a row; several copies of a notice in one text are several finds; other columns are ignored; an empty table gives an empty
+result. Texts of any length are scanned whole.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
 from math import ceil
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -45,7 +48,6 @@ TEMPLATES = {
     "gpl-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either "
     "version 3 of the License, or (at your option) any later version.",
 }
-KEY_WORDS = ("licen", "permission", "redistribut", "copyright", "apache", "gnu", "by-nc", "mit")
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -99,59 +101,66 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 class Scanner:
     """Finds templates in texts; it lives in a task."""
 
-    def __init__(self, templates: dict[str, str], least: float):
-        self.least = least
-        self.templates = {k: words_of(t) for k, t in templates.items()}
-        self.votes: dict[tuple[str, str], list[tuple[str, int]]] = {}
-        for k, t in self.templates.items():
-            for i, pair in enumerate(zip(t, t[1:], strict=False)):
-                self.votes.setdefault(pair, []).append((k, i))
+    def __init__(self, templates: dict[str, str], least: float, stretch: int = 3):
+        self.least, self.stretch = least, stretch
+        self.templates = {k: w for k, t in templates.items() if (w := words_of(t))}
+        self.counts = {k: Counter(t) for k, t in self.templates.items()}
+        self.vocabulary = frozenset(w for t in self.templates.values() for w in t)
+
+    def windows(self, words: list[str], name: str) -> Iterator[int]:
+        """Where windows begin that share enough words with a template to reach the least coverage."""
+        own, n = self.counts[name], len(self.templates[name])
+        need, width = ceil(self.least * n - 1e-9), self.stretch * n
+        hits = [p for p, w in enumerate(words) if w in own]
+        held: Counter[str] = Counter()
+        shared = end = 0
+        for p in hits:
+            while end < len(hits) and hits[end] < p + width:
+                w = words[hits[end]]
+                held[w] += 1
+                shared += held[w] <= own[w]
+                end += 1
+            if shared >= need:
+                yield p
+            shared -= held[words[p]] <= own[words[p]]
+            held[words[p]] -= 1
 
     def scan(self, text: str | None) -> list[tuple[int, int, str, float]]:
         """(start, end, template, coverage) in code points, in order."""
         low = (text or "").lower()
-        if not any(w in low for w in KEY_WORDS):
-            return []
-        if len(low) != len(text):  # lower case of other length: keep positions of the text itself
+        if len(low) != len(text or ""):  # lower case of other length: keep positions of the text itself
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+        words = _WORD.findall(low)
+        seen = Counter(w for w in words if w in self.vocabulary)
+        found: set[tuple[int, int, int, str]] = set()
+        for k, own in self.counts.items():
+            n = len(self.templates[k])
+            if sum(min(c, seen[w]) for w, c in own.items()) < self.least * n - 1e-9:
+                continue
+            for p in self.windows(words, k):
+                pairs = align(words[p : p + self.stretch * n], self.templates[k])
+                if len(pairs) >= self.least * n - 1e-9:
+                    found.add((-len(pairs), p + pairs[0][0], p + pairs[-1][0], k))
+        if not found:
+            return []
         spots = [m.span() for m in _WORD.finditer(low)]
-        words = [low[s:e] for s, e in spots]
-        begins: dict[str, list[int]] = {}
-        for p, pair in enumerate(zip(words, words[1:], strict=False)):
-            for k, i in self.votes.get(pair, ()):
-                begins.setdefault(k, []).append(p - i)
-        found = []
-        for k, places in begins.items():
-            n, places = len(self.templates[k]), sorted(places)
-            slack, need = ceil(0.2 * n) + 1, max(1, ceil(0.4 * n) - 1)
-            groups = [[places[0]]]
-            for p in places[1:]:
-                if p - groups[-1][-1] <= slack and p - groups[-1][0] < n:
-                    groups[-1].append(p)
-                else:
-                    groups.append([p])
-            for g in groups:
-                if len(g) < need:
-                    continue
-                first = max(0, g[0] - slack)
-                pairs = align(words[first : g[-1] + n + slack], self.templates[k])
-                if len(pairs) >= self.least * n:
-                    found.append((len(pairs), spots[first + pairs[0][0]][0], spots[first + pairs[-1][0]][1], k, len(pairs) / n))
         kept: list[tuple[int, int, str, float]] = []
-        for _, s, e, k, c in sorted(found, key=lambda f: (-f[0], -f[4], f[1], f[3])):
-            if all(e <= s2 or e2 <= s for s2, e2, _, _ in kept):
-                kept.append((s, e, k, c))
-        return sorted(kept)
+        for m, first, last, k in sorted(found, key=lambda f: (f[0], f[0] / len(self.templates[f[3]]), f[2] - f[1], f[1], f[3])):
+            s, e = spots[first][0], spots[last][1]
+            at = bisect_left(kept, s, key=itemgetter(0))
+            if (at == 0 or kept[at - 1][1] <= s) and (at == len(kept) or e <= kept[at][0]):
+                insort(kept, (s, e, k, -m / len(self.templates[k])))
+        return kept
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.8, stretch: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, found) of every row; found is an array of (start, end, license, coverage)."""
     ship(docs.sparkSession)
-    templates = templates or TEMPLATES
+    templates = TEMPLATES if templates is None else templates
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("license", pa.string()), ("coverage", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(templates, least)
+        scanner = Scanner(templates, least, stretch)
         for b in batches:
             texts = b.column(1)
             found = [[{"start": s, "end": e, "license": k, "coverage": c} for s, e, k, c in scanner.scan(texts[i].as_py())] for i in range(len(texts))]

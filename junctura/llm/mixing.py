@@ -6,9 +6,10 @@ once for each epoch; an entry's virtual finish time is the source's cumulative t
 target. Entries are then ordered by finish time over all sources and cut at the total of the targets, so every source is
 served up to a finish time of about 1, its target.
 
-Nothing is sorted in one task. The cumulative sums are made in ranges of the shuffle key within each source, and of the finish
-time over all sources: sums for each range, a running sum over the ranges, and a running sum inside each range. The number of
-ranges follows the number of rows, so a source or a time range of any size is spread evenly.
+The rows are never sorted in one task. The cumulative sums are made in ranges of the shuffle key within each source, and of the
+finish time over all sources: sums for each range, a running sum over the ranges, and a running sum inside each range. The number of
+ranges follows the number of rows, so a source or a time range of any size is spread evenly. Only the tables of the sources and of the
+ranges' sums (a row for RANGE_ROWS rows) are summed in one task each. Rows of one id share a shuffle key and so a range.
 
 Defined cases: a null text has size 0; sources are ordered by code point with null last and weighted by that order; documents
 of size 0 are taken 0 words; repeated rows queue one after the other and get a row each; a null id shuffles as an id of its own;

@@ -126,6 +126,45 @@ def test_licences(spark):
     assert texts[5][found.start : found.end] == "Licensed under CC BY-NC 4.0"
 
 
+def plain_scan(text, templates, least=0.8, stretch=3):
+    """Every window that begins at a word of the template is aligned."""
+    words, found = [(m[0], m.span()) for m in re.finditer(r"[^\W_]+", (text or "").lower())], set()
+    for k, t in templates.items():
+        t = licenses.words_of(t)
+        for p in range(len(words)):
+            if words[p][0] in t:
+                pairs = licenses.align([w for w, _ in words[p : p + stretch * len(t)]], t)
+                if len(pairs) >= least * len(t) - 1e-9:
+                    found.add((len(pairs), pairs[0][0] + p, pairs[-1][0] + p, k, len(pairs) / len(t)))
+    kept = []
+    for _, i, j, k, c in sorted(found, key=lambda f: (-f[0], -f[4], f[2] - f[1], f[1], f[3])):
+        s, e = words[i][1][0], words[j][1][1]
+        if all(e <= x[0] or x[1] <= s for x in kept):
+            kept.append((s, e, k, c))
+    return sorted(kept)
+
+
+def test_finds_equal_those_of_every_window_for_any_templates():
+    r = random.Random(7)
+    own = {"one": "permit", "two": "a b c d e", "three": "a b a b f g a", "long": " ".join(r.choice("abcdefghij") for _ in range(20)), "none": " .. "}
+    for templates in (own, licenses.TEMPLATES):
+        scanner = licenses.Scanner(templates, 0.8)
+        pool = [*(w for t in templates.values() for w in licenses.words_of(t)), "x", "y", "z"]
+        for n in range(150):
+            text = " ".join(r.choice(pool) for _ in range(r.randrange(40)))
+            if n % 3 == 0:
+                w = r.choice(list(templates.values())).split()
+                text += "\n" + " ".join(x for y in w for x in ((y,), (y, "so"), ())[r.choice((0, 0, 0, 1, 2))]) + "\n" + text
+            assert scanner.scan(text) == plain_scan(text, templates)
+
+
+def test_a_word_after_each_word_does_not_hide_a_licence():
+    text = " ".join(f"{w} indeed" for w in licenses.TEMPLATES["mit"].split())
+    assert [(k, c) for _, _, k, c in licenses.Scanner(licenses.TEMPLATES, 0.8).scan(text)] == [("mit", 1.0)]
+    assert [(s, e) for s, e, _, _ in licenses.Scanner({"t": "permit"}, 0.8).scan("permit me a PERMIT")] == [(0, 6), (12, 18)]
+    assert len(licenses.Scanner(licenses.TEMPLATES, 0.8).scan("Released under the MIT License.\n" * 3000)) == 3000
+
+
 def test_alignment_is_increasing_and_exact_on_permuted_gaps():
     r = random.Random(4)
     for _ in range(200):
