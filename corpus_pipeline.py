@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from junctura.llm import mixing, pieces, pii, shingles, toxicity
-from junctura.llm.common import shared_dir, table
+from junctura.llm.common import remove, shared_dir, table
 
 
 def harmless(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,16 +36,18 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("toxicity", harmless), ("near_duplicates", distinct), ("pii", private), ("mixing", mixed), ("sentencepiece", encoded)]
-#: No stage but the mix can be written in SQL; tests hold run() against a plain version.
+#: No stage but the mix can be written in SQL; tests hold each stage against plain versions, and run() against the stages one by one.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what each keeps is written to the shared folder and read again."""
+    """All stages over ``documents``; what each keeps is written to the shared folder and read again, and goes when the next is written."""
     import uuid
 
     docs, folder = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for n, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(path := f"{folder}/{n}-{name}")
+        if n:
+            remove(spark, f"{folder}/{n - 1}-{STAGES[n - 1][0]}")
         docs = spark.read.parquet(path)
     return docs
