@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.coords import is_alternative
 from ..functions.sequences import is_low_complexity
 from ..lineage import cut
+from .graph import components
 from .intervals import band_join
 
 KEY = ["rearrangement", "chrom1", "break1", "orient1", "chrom2", "break2", "orient2"]
@@ -106,8 +107,8 @@ def pair_translocations(events: DataFrame, most: int = 10_000) -> DataFrame:
 
 
 def _first_come(candidates: DataFrame, each_once: bool) -> DataFrame:
-    """Takes candidate pairs (grp, i, j, order) in order, each i with every free j, or each once. The groups are pairs of
-    chromosomes with few candidates each."""
+    """Takes candidate pairs (i, j) in order, each i with every free j, or each once. Pairs of different connected components do not touch
+    each other, so each component is a group of its own: a cluster of breakpoints that chain within the distance of the band join."""
 
     def run(rows):
         used, kept = set(), []
@@ -124,7 +125,10 @@ def _first_come(candidates: DataFrame, each_once: bool) -> DataFrame:
                 kept.append(n)
         return rows.iloc[kept]
 
-    return candidates.groupBy("grp").applyInPandas(run, candidates.schema)
+    known = cut(candidates)
+    roots = components(known, "i", "j").select(F.col("node").alias("i"), "root")
+    dealt = known.join(roots, "i")
+    return dealt.groupBy("root").applyInPandas(run, dealt.schema).drop("root")
 
 
 def insertions_between(events: DataFrame, first: bool = True, most: int = 500) -> DataFrame:
@@ -140,7 +144,7 @@ def insertions_between(events: DataFrame, first: bool = True, most: int = 500) -
     low, high = F.least("a_ss", "a_se", "b_ss", "b_se"), F.greatest("a_ss", "a_se", "b_ss", "b_se")
     outer = (F.col("a_sp") == low) & (F.col("b_sp") == high)
     facing = ((F.col("a_so") == "L") & (F.col("b_so") == "R") & (F.col("b_sp") < F.col("a_sp"))) | ((F.col("a_so") == "R") & (F.col("b_so") == "L") & (F.col("a_sp") < F.col("b_sp")))
-    found = pairs.where(outer & facing).select(F.concat_ws(":", "a_tc", "a_sc").alias("grp"), F.col("a_id").alias("i"), F.col("b_id").alias("j"), F.col("a_tc").alias("chrom"), F.col("a_tp").alias("pos1"), F.col("b_tp").alias("pos2"), (F.abs(F.col("a_sp") - F.col("b_sp")) + 1).alias("insertion_size"))
+    found = pairs.where(outer & facing).select(F.col("a_id").alias("i"), F.col("b_id").alias("j"), F.col("a_tc").alias("chrom"), F.col("a_tp").alias("pos1"), F.col("b_tp").alias("pos2"), (F.abs(F.col("a_sp") - F.col("b_sp")) + 1).alias("insertion_size"))
     return _first_come(found, each_once=False).select(F.col("i").alias("adj1"), F.col("j").alias("adj2"), "chrom", "pos1", "pos2", "insertion_size")
 
 
@@ -162,7 +166,7 @@ def imprecise_insertions(events: DataFrame, most: int = 50) -> DataFrame:
     same = (F.col("a_sc") == F.col("b_sc")) & (F.abs(F.col("a_sp") - F.col("b_sp")) > most) & (faces("a", "b") | faces("b", "a"))
     kept = pairs.where((F.col("a_sc") != F.col("b_sc")) | same)
     first = F.row_number().over(Window.partitionBy("a_adj_id", "b_adj_id").orderBy(F.desc("a_t"), F.desc("b_t")))
-    found = kept.withColumn("_n", first).where("_n = 1").select(F.col("a_tc").alias("grp"), F.col("a_adj_id").alias("i"), F.col("b_adj_id").alias("j"), F.col("a_t").alias("t1"), F.col("b_t").alias("t2"))
+    found = kept.withColumn("_n", first).where("_n = 1").select(F.col("a_adj_id").alias("i"), F.col("b_adj_id").alias("j"), F.col("a_t").alias("t1"), F.col("b_t").alias("t2"))
     return _first_come(found, each_once=True).select(F.col("i").alias("adj1"), F.col("j").alias("adj2"), "t1", "t2")
 
 
