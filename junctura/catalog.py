@@ -352,7 +352,14 @@ _SPAN = (
 )
 
 
-@query()
+@query(
+    _SPAN.replace("WITH ", "WITH RECURSIVE ", 1)
+    + """, o AS (SELECT *, row_number() OVER (PARTITION BY contig, span1, span2 ORDER BY seq_no) AS n FROM hit),
+    f AS (SELECT contig, span1, span2, 0::BIGINT AS n, []::VARCHAR[] AS keys, []::VARCHAR[] AS names FROM o WHERE n = 1
+      UNION ALL SELECT o.contig, o.span1, o.span2, o.n, CASE WHEN x.free THEN list_append(keys, key) ELSE keys END, CASE WHEN x.free THEN list_append(names, name) ELSE names END
+      FROM f JOIN o ON f.contig = o.contig AND f.span1 = o.span1 AND f.span2 = o.span2 AND o.n = f.n + 1, LATERAL (SELECT NOT list_contains(f.keys, o.key) AND NOT list_contains(f.names, o.name) AS free) x)
+    SELECT contig, span1, span2, max(len(keys))::INT AS spanning FROM f GROUP BY ALL"""
+)
 def spanning_reads(spark, d):
     return R.spanning(spark_view(spark, d, "spans"), spark_view(spark, d, "reads"))
 
