@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, codebooks, licenses, mixing, quality, urls, warc
+from . import ann, codebooks, licenses, mixing, phrases, quality, urls, warc
 from .pieces import op8_sentencepiece
 from .pii import op1_pii
 from .simhash import op4_simhash
@@ -24,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": mixing.op9_mixing,
     "op10_warc": warc.op10_warc,
     "op11_vector_codes": codebooks.op11_vector_codes,
+    "op13_phrases": phrases.op13_phrases,
 }
 
 SQL: dict[str, str] = {
@@ -33,4 +34,5 @@ SQL: dict[str, str] = {
     "op9_mixing": mixing.SQL,
     "op10_warc": warc.SQL,
     "op11_vector_codes": codebooks.sql(),
+    "op13_phrases": phrases.SQL,
 }
