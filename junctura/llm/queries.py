@@ -10,6 +10,7 @@ from . import ann, codebooks, licenses, mixing, phrases, quality, urls, warc
 from .pieces import op8_sentencepiece
 from .pii import op1_pii
 from .simhash import op4_simhash
+from .subwords import op12_quality
 from .toxicity import op5_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": mixing.op9_mixing,
     "op10_warc": warc.op10_warc,
     "op11_vector_codes": codebooks.op11_vector_codes,
+    "op12_quality": op12_quality,
     "op13_phrases": phrases.op13_phrases,
 }
 
