@@ -2,9 +2,10 @@
 
 The regression is trained from a small table of labelled urls, built here from words of several kinds of bad site (gambling, adult,
 medicines, loans, piracy, fraud, advertising and tracking) and of good ones, on the same neutral hosts, endings and paths, so that
-these decide nothing. Its features are the n-grams of three characters of the host and, apart from those, of the path, hashed by a
-polynomial over code points; weights and bias are fitted by Newton steps on the n-grams that occur. The model is one weight for each bucket, which the scan
-reads as a constant array. No row is moved, and all of it is SQL functions.
+these decide nothing. Its features are the counts of n-grams of three and four characters of the host and, apart from those, of the path,
+hashed by a polynomial over code points; weights and bias are fitted by Newton steps on the n-grams that occur. Counts, not shares: a word says
+the same on a long host. The model is one weight for each bucket, which the scan reads as a constant array. No row is moved, and all of it is
+SQL functions.
 
 Host: what follows the first ``://`` up to ``/``, ``?``, ``#`` or the end, with A-Z lower-cased; path: what follows up to ``?``, ``#``
 or the end. A rule fits its host and all subdomains where the path starts with the rule's; the longest rule wins.
@@ -23,27 +24,29 @@ from .common import table
 
 #: (verdict, host, path)
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-BUCKETS = 2048
+BUCKETS, GRAMS = 8191, (3, 4)
+#: Value of an n-gram each time that it occurs.
+UNIT = 0.3
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-#: Words of hosts to block and to allow, by kind.
+#: Words of hosts to block and to allow, by kind. Some share stems, so that a word left out is not wholly unknown.
 BAD = {
-    "gambling": "casino poker slots roulette jackpot betting bets bingo lottery freespins winbig blackjack",
-    "adult": "xxx porn adultcams sexchat nudes escort hentai camgirls",
-    "medicines": "viagra cialis pills pharmacy-cheap dietpills steroids",
-    "loans": "payday loan-now quickcash creditfix debtfree cashadvance",
-    "piracy": "torrent warez crack keygen serials fullmovie nulled",
-    "fraud": "replica giveaway clickhere prize-winner verify-account cryptodouble",
-    "advertising": "ads adserver adclick track tracker tracking popunder banner-ads pixel clicktrack doubleads",
+    "gambling": "casino casinos casinobonus casino-win livecasino poker pokerroom freepoker slots slotgames jackpot jackpots betting bets bestbets betnow onlinebet bingo lottery lotto roulette blackjack freespins spinwin winbig bigwin",
+    "adult": "xxx xxxtube porn porntube freeporn adultcams sexcams sexchat freesex nudes nudecams escort escorts hentai camgirls webcamgirls",
+    "medicines": "viagra cialis buycialis pills dietpills cheap-pills pillstore pharmacy-cheap cheapmeds buymeds steroids buysteroids slimfast",
+    "loans": "payday paydayloan loan-now fastloan quickloan quickcash cashnow fastcash cashadvance creditfix badcredit debtfree debtfix",
+    "piracy": "torrent torrents freetorrent warez crack cracked crackz keygen keygens serials fullmovie freemovies nulled pirated",
+    "fraud": "replica replicas giveaway freegift freeprize prize-winner prizes clickhere clicknow verify-account account-verify cryptodouble doublecoins",
+    "advertising": "ads adsnet bestads ads-media ads-gate ads-link adserver adserve adserv adclick adclicks adnet track tracker trackers tracking adtrack track-it popunder popads banner-ads pixel pixels clicktrack clickads",
 }
 GOOD = {
-    "learning": "university school library museum science history physics mathematics lectures archive",
-    "news": "news daily herald times press weather journal magazine review",
-    "technology": "docs developer python linux software forum manual database wiki help",
-    "life": "recipes garden travel music cinema football hiking cooking family photos",
-    "public": "government council health hospital parliament court transport police",
-    "trade": "books furniture bakery hotel restaurant clothing bicycle market shop",
+    "learning": "university school schools library libraries museum museums science sciences history physics mathematics maths lectures archive archives academy college",
+    "news": "news dailynews newspaper daily herald times press weather journal journals magazine review reviews gazette",
+    "technology": "docs developer developers python linux software forum forums manual manuals database wiki help helpdesk code opensource",
+    "life": "recipes garden gardens gardening travel traveller music cinema football hiking cooking cook family photos photography",
+    "public": "government council councils health hospital hospitals parliament court courts transport police cityhall",
+    "trade": "books bookshop bookstore furniture bakery hotel hotels restaurant restaurants clothing bicycle bicycles market shop shops",
 }
 
 
@@ -68,19 +71,20 @@ def labelled(words: dict[int, list[str]] | None = None) -> list[tuple[str, str,
 
 
 def _buckets(text: str, side: int) -> list[int]:
-    return [(ord(text[i]) * 961 + ord(text[i + 1]) * 31 + ord(text[i + 2]) + 1013 * side) % BUCKETS for i in range(len(text) - 2)]
+    codes = [*map(ord, text)]
+    return [(sum(c * 31 ** (g - 1 - k) for k, c in enumerate(codes[i : i + g])) + 1013 * side + 131 * g) % BUCKETS for g in GRAMS for i in range(len(codes) - g + 1)]
 
 
-def fit(rows: list[tuple[str, str, int]] | None = None, steps: int = 25, ridge: float = 0.7, caution: float = 3.0) -> tuple[list[float], float]:
-    """(weights, bias) of the regression by Newton steps in the span of the labelled urls; label 0 weighs ``caution`` times label 1. Features are
-    shares of a url's n-grams; the bias is not penalised."""
+def fit(rows: list[tuple[str, str, int]] | None = None, steps: int = 25, ridge: float = 0.1, caution: float = 2.0) -> tuple[list[float], float]:
+    """(weights, bias) of the regression by Newton steps in the span of the labelled urls; label 0 weighs ``caution`` times label 1. The bias
+    is not penalised."""
     rows = labelled() if rows is None else rows
     if not rows:
         return [0.0] * BUCKETS, -1.0
     x, y = np.zeros((len(rows), BUCKETS)), np.array([r[2] for r in rows], float)
     for k, (host, path, _) in enumerate(rows):
         own = _buckets(f"^{host}$", 0) + _buckets(f"^{path}$", 1)
-        np.add.at(x[k], own, 10 / max(1, len(own)))
+        np.add.at(x[k], own, UNIT)
     weight = np.where(y == 1, 1 / max(1, y.sum()), caution / max(1, (1 - y).sum())) * len(y) / (1 + caution)
     gram, a, b = x @ x.T, np.zeros(len(rows)), 0.0
     for _ in range(steps):
@@ -90,11 +94,11 @@ def fit(rows: list[tuple[str, str, int]] | None = None, steps: int = 25, ridge:
         # Kernel form of a Newton step: (gram + ridge / curve) a + b = margin + (y - p) * weight / curve, with a summing to 0.
         left = np.block([[gram + np.diag(ridge / curve), np.ones((len(rows), 1))], [np.ones((1, len(rows))), np.zeros((1, 1))]])
         found = np.linalg.solve(left, np.append(margin + weight * (y - p) / curve, 0.0))
-        done = np.abs(found[:-1] - a).max() < 1e-9
+        done = np.abs(found[:-1] - a).max() < 1e-7
         a, b = found[:-1], float(found[-1])
         if done:
             break
-    return [round(10 * float(v), 6) for v in x.T @ a], round(b, 6)
+    return [round(UNIT * float(v), 6) for v in x.T @ a], round(b, 6)
 
 
 _fitted: list[tuple[list[float], float]] = []
@@ -106,11 +110,15 @@ def model() -> tuple[list[float], float]:
     return _fitted[0]
 
 
-def _grams(text: str, side: int, array: str) -> str:
-    return (
-        f"aggregate(transform(sequence(1, length({text}) - 2), i -> {array}[cast(pmod(ascii(substring({text}, i, 1)) * 961 + ascii(substring({text}, i + 1, 1)) * 31 "
-        f"+ ascii(substring({text}, i + 2, 1)) + {1013 * side}, {BUCKETS}) as int)]), 0D, (a, v) -> a + v)"
-    )
+def margin(fitted: tuple[list[float], float], host: str, path: str) -> float:
+    """The regression's value of one url, as the SQL has it; block from 0 on."""
+    weights, bias = fitted
+    return bias + sum(weights[b] for side, text in enumerate((f"^{host}$", f"^{path}$")) for b in _buckets(text, side))
+
+
+def _grams(text: str, side: int, size: int, array: str) -> str:
+    code = " + ".join(f"ascii(substring({text}, i + {k}, 1)) * {31 ** (size - 1 - k)}L" for k in range(size))
+    return f"case when length({text}) >= {size} then aggregate(transform(sequence(1, length({text}) - {size - 1}), i -> {array}[cast(pmod({code} + {1013 * side + 131 * size}, {BUCKETS}) as int)]), 0D, (a, v) -> a + v) else 0D end"
 
 
 def filter_urls(pages: DataFrame, rules=RULES, fitted: tuple[list[float], float] | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -127,17 +135,12 @@ def filter_urls(pages: DataFrame, rules=RULES, fitted: tuple[list[float], float]
     best = F.array_max(F.filter(F.array(*fits), lambda r: r.isNotNull())) if fits else F.lit(None).cast("struct<n: int, rule: string, verdict: string>")
     weighed = f"cast(split('{','.join(map(str, weights))}', ',') as array<double>)"  # folded to one constant
     h, p = "concat('^', host, '$')", "concat('^', path, '$')"
-    count = "(length(host) + length(path))"  # n-grams of both, the marks counted
-    margin = f"{bias}D + case when {count} > 0 then ({_part(h, 0, weighed)} + {_part(p, 1, weighed)}) / {count} else 0D end"
-    rows = rows.withColumn("best", best).withColumn("score", F.expr(f"1 / (1 + exp(-({margin})))"))
+    value = " + ".join([f"{bias}D", *[_grams(t, side, g, weighed) for side, t in enumerate((h, p)) for g in GRAMS]])
+    rows = rows.withColumn("best", best).withColumn("score", F.expr(f"1 / (1 + exp(-({value})))"))
     verdict = F.coalesce(F.col("best.verdict"), F.when(F.col("score") >= 0.5, "block").otherwise("allow"))
     return rows.select("page_id", "host", "path", F.col("best.rule").alias("rule"), verdict.alias("verdict"), "score")
 
 
-def _part(text: str, side: int, array: str) -> str:
-    return f"case when length({text}) > 2 then {_grams(text, side, array)} else 0D end"
-
-
 def op7_url_filters(spark, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages")).drop("score")
 
@@ -146,7 +149,9 @@ def sql() -> str:
     """DuckDB SQL for op7, with the fitted weights as a list."""
     weights, bias = model()
     w = "[" + ", ".join(map(str, weights)) + "]"
-    part = lambda t, side: f"coalesce(list_sum(list_transform(range(1, greatest(length({t}) - 1, 1)), lambda i: w[((unicode({t}[i]) * 961 + unicode({t}[i + 1]) * 31 + unicode({t}[i + 2]) + {1013 * side}) % {BUCKETS})::INT + 1])), 0)"
+    code = lambda t, g: " + ".join(f"unicode({t}[i + {k}])::BIGINT * {31 ** (g - 1 - k)}" for k in range(g))
+    part = lambda t, side, g: f"coalesce(list_sum(list_transform(range(1, greatest(length({t}) - {g - 2}, 1)), lambda i: w[(({code(t, g)} + {1013 * side + 131 * g}) % {BUCKETS})::INT + 1])), 0)"
+    value = " + ".join(part(t, side, g) for side, t in enumerate("hp") for g in GRAMS)
     rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
     return f"""
 WITH m AS (SELECT {w}::DOUBLE[] AS w),
@@ -156,6 +161,5 @@ c AS (SELECT page_id, translate(raw, '{_ALPHABET}', '{_ALPHABET.lower()}') AS ho
 r(v, h, p) AS (VALUES {rules}),
 f AS (SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS v FROM c, r WHERE ends_with('.' || host, '.' || h) AND starts_with(path, p) GROUP BY page_id),
 s AS (SELECT c.*, '^' || host || '$' AS h, '^' || path || '$' AS p FROM c)
-SELECT s.page_id, host, path, f.rule, coalesce(f.v, CASE WHEN {bias} + CASE WHEN length(host) + length(path) > 0
-       THEN ({part('h', 0)} + {part('p', 1)}) / (length(host) + length(path)) ELSE 0 END >= 0 THEN 'block' ELSE 'allow' END) AS verdict
+SELECT s.page_id, host, path, f.rule, coalesce(f.v, CASE WHEN {bias} + {value} >= 0 THEN 'block' ELSE 'allow' END) AS verdict
 FROM s JOIN m ON true LEFT JOIN f USING (page_id)"""

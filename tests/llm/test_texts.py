@@ -95,16 +95,28 @@ def test_urls(spark):
     assert got[2] == got[3] == got[4] == ("", "", None, "allow") and got[6][2] is None and got[10][2:] == ("org/", "allow") and got[9][3] == "block" and got[11][2] is None
 
 
-def url_margin(model, host, path):
-    weights, bias = model
-    count = len(host) + len(path)
-    return bias + (sum(weights[b] for b in urls._buckets(f"^{host}$", 0)) + sum(weights[b] for b in urls._buckets(f"^{path}$", 1))) / count if count else bias
-
-
 def test_url_regression_on_urls_kept_apart():
     rows = urls.labelled()
     model = urls.fit([r for i, r in enumerate(rows) if i % 4])
-    assert np.mean([(url_margin(model, h, p) >= 0) == bool(y) for h, p, y in rows[::4]]) >= 0.9
+    assert np.mean([(urls.margin(model, h, p) >= 0) == bool(y) for h, p, y in rows[::4]]) >= 0.9
+
+
+def test_url_regression_on_words_left_out():
+    every = {label: [w for ws in kinds.values() for w in ws.split()] for label, kinds in ((1, urls.BAD), (0, urls.GOOD))}
+    found = []
+    for fold in range(4):
+        model = urls.fit(urls.labelled({label: [w for n, w in enumerate(ws) if n % 4 != fold] for label, ws in every.items()}))
+        out = {label: [w for n, w in enumerate(ws) if n % 4 == fold] for label, ws in every.items()}
+        found += [(urls.margin(model, h, p) >= 0, y) for h, p, y in urls.labelled(out)[: 5 * sum(map(len, out.values()))]]
+    hits = sum(f and y for f, y in found)
+    assert hits / sum(f for f, _ in found) >= 0.8 and hits / sum(y for _, y in found) >= 0.5
+
+
+def test_url_margins_in_spark_equal_plain_ones(spark):
+    rows = urls.labelled()[::37] + [("é😀.net", "/a" * 50, 0), ("", "/", 0), ("ab", "", 0)]
+    pages = spark.createDataFrame([(i, f"x://{h}{p}") for i, (h, p, _) in enumerate(rows)], "page_id long, url string")
+    got = {r.page_id: r.score for r in urls.filter_urls(pages, rules=()).collect()}
+    assert all(abs(got[i] - 1 / (1 + np.exp(-urls.margin(urls.model(), h, p)))) < 1e-9 for i, (h, p, _) in enumerate(rows))
 
 
 def test_url_verdicts_on_hosts_that_are_not_in_the_table(spark):
