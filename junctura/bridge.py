@@ -20,6 +20,9 @@ VIEWS = {
         CASE WHEN l_partkey % 4 = 0 THEN (l_orderkey % 1000) * 10000 + rn * 100 - (rn * 100 + l_suppkey % 5) % 5 ELSE CAST(floor(l_extendedprice) AS BIGINT) + 1 END
           + (rn * 100 + l_suppkey % 5) - ((rn - 1) * 100 + 1 + l_partkey % 5) AS tend,
         l_linestatus = 'O' AS is_primary, CAST(l_quantity AS INT) AS nm, CAST(l_suppkey % 61 AS INT) AS mapq, rn FROM items""",
+    "alternatives": """SELECT seg_id + 50 AS seg_id, query, query_len, CASE WHEN mapq % 5 = 0 THEN target ELSE 'chr' || CAST(mapq % 2 + 1 AS STRING) END AS target, qstart + nm % 4 AS qstart, qend - nm % 3 + mapq % 3 AS qend, tstart + 100000 * (nm - 20) AS tstart,
+        CAST(mapq % 7 AS BIGINT) AS edits FROM segments WHERE mapq % 4 <> 0""",
+    "members": """SELECT seg_id, query, query_len, target, qstart, qend, tstart, CAST(nm % 5 AS BIGINT) AS edits FROM segments WHERE query_len BETWEEN 200 AND 310""",
     "sequences": """SELECT CAST(doc_id AS STRING) AS name, upper(translate(LETTERS(text), 'abcdefghijklmnopqrstuvwxyz', 'acgtacgtacgtacgtacgtacgtac')) AS seq FROM documents""",
     "exon_rows": """SELECT CAST(l_orderkey AS STRING) AS tid, 'g' || CAST(l_orderkey % 500 AS STRING) AS gene, 'chr' || CAST(l_orderkey % 3 + 1 AS STRING) AS chrom,
         CASE WHEN l_orderkey % 2 = 0 THEN '+' ELSE '-' END AS strand, rn AS row, (l_orderkey % 500) * 3000 + rn * 300 + l_partkey % 50 AS start,

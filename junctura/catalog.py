@@ -12,6 +12,7 @@ from .functions import cigar as C
 from .functions import coords, transcripts
 from .functions import sequences as Q
 from .operators import adjacency as A
+from .operators import chimeras as X
 from .operators import exons as E
 from .operators import fusion as U
 from .operators import intervals as I
@@ -202,6 +203,70 @@ def chimera_candidates(spark, d):
     return S.chimera_candidates(_segments(spark, d)).select("seg_id", "query", "is_primary")
 
 
+_NEAR = "b.qstart > a.qstart AND b.qend > a.qend AND greatest(0, a.qend - b.qstart + 1) / least(a.qend - a.qstart + 1, b.qend - b.qstart + 1) < 0.2 AND greatest(0, b.qstart - a.qend - 1) / least(a.qend - a.qstart + 1, b.qend - b.qstart + 1) < 0.2"
+_STARTS, _ENDS = "qstart <= greatest(1, floor(query_len * 0.02))", "qend >= query_len - greatest(1, floor(query_len * 0.02)) + 1"
+
+
+def _chains(pool: str) -> str:
+    """SQL that grows every chain of segments of ``pool`` (grp, seg_id, ...) in full: done (grp, covered, edits)."""
+    return f""", e AS MATERIALIZED (SELECT a.grp, a.seg_id AS i, b.seg_id AS j, b.qend - b.qstart + 1 - greatest(0, a.qend - b.qstart + 1) AS more, b.edits, b.{_ENDS.replace("query_len", "b.query_len")} AS fin FROM {pool} a JOIN {pool} b ON a.grp = b.grp AND {_NEAR}),
+chain AS (SELECT grp, seg_id AS at, qend - qstart + 1 AS covered, edits, {_ENDS} AS fin FROM {pool} WHERE {_STARTS} UNION ALL SELECT c.grp, j, covered + more, c.edits + e.edits, e.fin FROM chain c JOIN e ON c.grp = e.grp AND c.at = e.i),
+done AS (SELECT grp, covered, edits FROM chain WHERE fin)"""
+
+
+def _both(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return spark_view(spark, d, "members"), spark_view(spark, d, "alternatives")
+
+
+_BOTH = ctes("members", "alternatives").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(
+    ctes("segments", "alternatives").replace("WITH ", "WITH RECURSIVE ", 1)
+    + ", pool AS MATERIALIZED (SELECT query AS grp, seg_id, query_len, qstart, qend, (nm % 5)::BIGINT AS edits FROM segments UNION ALL SELECT query, seg_id, query_len, qstart, qend, edits FROM alternatives)"
+    + _chains("pool")
+    + "SELECT grp AS query, covered, edits FROM done QUALIFY row_number() OVER (PARTITION BY grp ORDER BY covered DESC, edits) = 1"
+)
+def end_to_end_chains(spark, d):
+    own = _segments(spark, d).withColumn("edits", (F.col("nm") % 5).cast("bigint"))
+    return X.end_to_end(own.select(*X.NODE).union(spark_view(spark, d, "alternatives").select(*X.NODE)))
+
+
+@query(
+    _BOTH
+    + """, pool AS MATERIALIZED (SELECT m.query || '/' || m.seg_id AS grp, p.seg_id, p.query_len, p.qstart, p.qend, p.edits FROM members m JOIN (SELECT query, seg_id, query_len, qstart, qend, edits FROM members UNION ALL SELECT query, seg_id, query_len, qstart, qend, edits FROM alternatives) p
+    ON p.query = m.query AND p.seg_id <> m.seg_id)"""
+    + _chains("pool")
+    + "SELECT DISTINCT split_part(grp, '/', 1) AS query, split_part(grp, '/', 2)::BIGINT AS seg_id FROM done"
+)
+def dubious_segments(spark, d):
+    return X.replaceable(*_both(spark, d))
+
+
+@query(
+    _BOTH
+    + ", pool AS MATERIALIZED (SELECT query AS grp, * FROM alternatives WHERE query IN (SELECT query FROM members))"
+    + _chains("pool")
+    + """, span AS (SELECT query, edits, qend - greatest(qstart, coalesce(max(qend) OVER (PARTITION BY query ORDER BY qstart, qend, seg_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1, qstart)) + 1 AS own FROM members),
+    mine AS (SELECT query, sum(greatest(own, 0)) AS covered, sum(edits) AS edits FROM span GROUP BY query)
+    SELECT DISTINCT query FROM mine m JOIN done d ON d.grp = m.query WHERE d.covered > m.covered OR (d.covered = m.covered AND d.edits <= m.edits)"""
+)
+def outdone_chimeras(spark, d):
+    return X.outdone(*_both(spark, d))
+
+
+@query(
+    ctes("members", "alternatives")
+    + f""", several AS (SELECT query FROM members GROUP BY query HAVING count(DISTINCT target) > 1),
+    pool AS (SELECT m.query, m.seg_id AS of, p.* EXCLUDE (query) FROM members m JOIN (SELECT *, true AS member FROM members UNION ALL BY NAME SELECT *, false AS member FROM alternatives) p
+      ON p.query = m.query AND p.target = m.target AND (p.seg_id = m.seg_id OR NOT p.member) WHERE m.query IN (SELECT query FROM several)),
+    pair AS (SELECT a.query, a.of, a.seg_id AS seg1, b.seg_id AS seg2, abs(a.tstart - b.tstart) AS span FROM pool a JOIN pool b ON a.query = b.query AND a.of = b.of AND {_NEAR} WHERE a.{_STARTS.replace("query_len", "a.query_len")} AND b.{_ENDS.replace("query_len", "b.query_len")})
+    SELECT query, seg1, seg2, span FROM pair WHERE span < 1000000 QUALIFY row_number() OVER (PARTITION BY query ORDER BY of, span, seg1, seg2) = 1"""
+)
+def translocation_swaps(spark, d):
+    return X.same_target(*_both(spark, d))
+
+
 _REGIONS = """SELECT 'chr' || CAST(s_suppkey % 3 + 1 AS STRING) AS chrom, (s_suppkey * 977) % 90000 AS start, (s_suppkey * 977) % 90000 + 300 + s_nationkey * 10 AS stop FROM supplier"""
 
 

@@ -5,23 +5,54 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import cigar as C
+from ..lineage import cut
 from ..operators import adjacency as A
+from ..operators import chimeras as X
 from ..operators import segments as S
 from ..operators import support as R
 from ..operators import variants as V
 
 
-def events(alignments: DataFrame, contigs: DataFrame, least_size: int | None = None, most_size: int | None = None) -> DataFrame:
-    """Adjacencies, one row for each contig, from split and from gapped alignments; the input of ``operators.adjacency.merge``."""
-    segments = S.to_segments(S.primary_split(alignments)).withColumn("seg_id", F.col("seq_no"))
-    split = S.chimera_candidates(segments).where("is_primary")
-    whole = S.best_path(S.paths(split)).select("query", F.explode("path").alias("seg_id"))  # from end to end, or the contig says nothing
-    split = split.join(whole, ["query", "seg_id"])
+def chimeras(segments: DataFrame, check_alternatives: bool = True) -> DataFrame:
+    """The segments that make up each chimeric contig, with ``dubious``: whether any of them can be replaced by other alignments.
+
+    The best chain of primaries from end to end; where it lies on several targets, two alignments to one target if there are such. Contigs
+    that other alignments chain at least as well say nothing. Others on haplotypes count only for the swap.
+    """
+    rows = cut(S.chimera_candidates(segments))
+    first = rows.where("is_primary")
+    whole = S.best_path(S.paths(first)).select("query", F.explode("path").alias("seg_id"))  # from end to end, or the contig says nothing
+    members, others = first.join(whole, ["query", "seg_id"], "left_semi"), rows.where("not is_primary")
+    members = cut(X.swapped(members, others, X.same_target(members, others)))
+    others = cut(X.canonical(others))
+    members = members.join(X.outdone(members, others), "query", "left_anti")
+    if not check_alternatives:
+        return members.withColumn("dubious", F.lit(False))
+    doubt = X.replaceable(members, others).select("query").distinct().withColumn("dubious", F.lit(True))
+    return members.join(doubt, "query", "left").withColumn("dubious", F.coalesce("dubious", F.lit(False)))
+
+
+def events(
+    alignments: DataFrame, contigs: DataFrame, least_size: int | None = None, most_size: int | None = None, least_contig: int = 0, skip: DataFrame | None = None, check_alternatives: bool = True,
+) -> DataFrame:
+    """Adjacencies, one row for each contig, from split and from gapped alignments; the input of ``operators.adjacency.merge``.
+
+    ``least_contig``: shorter contigs are left out, as are those of ``skip`` (name). ``dubious`` marks events of contigs that other
+    alignments may explain, unless ``check_alternatives`` is off.
+    """
+    contigs = contigs.where(F.length("seq") >= least_contig)
+    if skip is not None:
+        contigs = contigs.join(skip.select("name").distinct(), "name", "left_anti")
+    alignments = alignments.join(contigs.select(F.col("name").alias("query")).distinct(), "query", "left_semi")
+    segments = S.to_segments(S.primary_split(alignments)).withColumns({"seg_id": F.col("seq_no"), "edits": C.effective_edits(F.col("nm"), F.col("cigar"))})
+    split = cut(chimeras(segments, check_alternatives))
     pairs = S.junction_sequences(S.classify(S.consecutive(split.select("seg_id", "query", "target", "strand", "qstart", "qend", "tstart", "tend"))), contigs)
+    pairs = pairs.join(split.select("query", "dubious").distinct(), "query")
     single = S.to_segments(S.unique_alignments(alignments)).withColumn("seg_id", F.col("seq_no"))
     gapped = S.gapped_indels(single, contigs)
-    a = pairs.select("query", "rearrangement", "chrom1", "break1", "orient1", "chrom2", "break2", "orient2", "cb1", "cb2", "homol_seq", "novel_seq", F.lit("split").alias("align_type"), F.col("seg1").alias("seq_no"))
-    b = gapped.select("query", "rearrangement", F.col("target").alias("chrom1"), "break1", F.lit("L").alias("orient1"), F.col("target").alias("chrom2"), "break2", F.lit("R").alias("orient2"), "cb1", "cb2", F.lit(None).cast("string").alias("homol_seq"), "novel_seq", F.lit("gapped").alias("align_type"), F.col("seg_id").alias("seq_no"))
+    a = pairs.select("query", "rearrangement", "chrom1", "break1", "orient1", "chrom2", "break2", "orient2", "cb1", "cb2", "homol_seq", "novel_seq", F.lit("split").alias("align_type"), F.col("seg1").alias("seq_no"), "dubious")
+    b = gapped.select("query", "rearrangement", F.col("target").alias("chrom1"), "break1", F.lit("L").alias("orient1"), F.col("target").alias("chrom2"), "break2", F.lit("R").alias("orient2"), "cb1", "cb2", F.lit(None).cast("string").alias("homol_seq"), "novel_seq", F.lit("gapped").alias("align_type"), F.col("seg_id").alias("seq_no"), F.lit(False).alias("dubious"))
     rows = A.sane(a.union(b))
     n = A.size(F.col("rearrangement"), F.col("break1"), F.col("break2"), F.col("novel_seq"), F.col("align_type") == "gapped")
     return A.within_size(rows.withColumn("size", n), least_size, most_size)
