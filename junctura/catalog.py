@@ -315,13 +315,13 @@ def homopolymers(spark, d):
 
 @query(
     ctes("sequences")
-    + """, c AS (SELECT name, seq, substr(seq, 11, 2) AS unit FROM sequences WHERE length(seq) >= 40)
-    SELECT name, (CASE WHEN substr(seq, 9, 2) = unit THEN 1 + CASE WHEN substr(seq, 7, 2) = unit THEN 1 + CASE WHEN substr(seq, 5, 2) = unit THEN 1 + CASE WHEN substr(seq, 3, 2) = unit THEN 1 + CASE WHEN substr(seq, 1, 2) = unit THEN 1 ELSE 0 END ELSE 0 END ELSE 0 END ELSE 0 END ELSE 0 END)::INT AS before,
-    (length(regexp_extract(substr(seq, 13), '^(?:' || unit || ')*')) // 2)::INT AS after FROM c"""
+    + """, c AS (SELECT name, seq, k, substr(seq, k, 2) AS unit FROM (SELECT *, unnest(range(11, length(seq) - 1, 10)) AS k FROM sequences WHERE length(seq) >= 40)),
+    r AS (SELECT name, k, unit, reverse(left(seq, k - 1)) AS up, substr(seq, k + 2) AS down FROM c)
+    SELECT name, k, (length(regexp_extract(up, '^(?:' || reverse(unit) || ')*')) // 2)::INT AS before, (length(regexp_extract(down, '^(?:' || unit || ')*')) // 2)::INT AS after FROM r"""
 )
 def flanking_copy_count(spark, d):
-    rows = spark_view(spark, d, "sequences").where("length(seq) >= 40").withColumn("unit", F.substr("seq", F.lit(11), F.lit(2)))
-    return rows.select("name", Q.copies_before(F.col("seq"), F.lit(10), F.col("unit")).alias("before"), Q.copies_after(F.col("seq"), F.lit(13), F.col("unit")).alias("after"))
+    rows = spark_view(spark, d, "sequences").where("length(seq) >= 40").withColumn("k", F.explode(F.expr("sequence(11, length(seq) - 2, 10)"))).withColumn("unit", F.substr("seq", F.col("k"), F.lit(2)))
+    return rows.select("name", F.col("k").cast("bigint").alias("k"), Q.copies_before(F.col("seq"), F.col("k") - 1, F.col("unit")).alias("before"), Q.copies_after(F.col("seq"), F.col("k") + 2, F.col("unit")).alias("after"))
 
 
 def _share(base: str) -> str:
@@ -594,15 +594,15 @@ def splice_classify(spark, d):
 
 @query(
     ctes("sequences")
-    + """, s AS (SELECT name, substr(seq, 3, 2) AS d, substr(seq, 30, 2) AS a, CASE WHEN name::BIGINT % 2 = 0 THEN '+' ELSE '-' END AS st FROM sequences WHERE length(seq) > 40),
-    o AS (SELECT name, CASE WHEN st = '-' THEN translate(reverse(d), 'ACGT', 'TGCA') ELSE d END AS d, CASE WHEN st = '-' THEN translate(reverse(a), 'ACGT', 'TGCA') ELSE a END AS a FROM s),
+    + """, s AS (SELECT name, k, substr(seq, k, 2) AS d, substr(seq, k + 27, 2) AS a, CASE WHEN (name::BIGINT + k) % 2 = 0 THEN '+' ELSE '-' END AS st FROM (SELECT *, unnest(range(3, length(seq) - 29, 30)) AS k FROM sequences WHERE length(seq) > 40)),
+    o AS (SELECT name, k, CASE WHEN st = '-' THEN translate(reverse(d), 'ACGT', 'TGCA') ELSE d END AS d, CASE WHEN st = '-' THEN translate(reverse(a), 'ACGT', 'TGCA') ELSE a END AS a FROM s),
     n AS (SELECT *, (d[1] <> 'G')::INT + (d[2] <> 'T')::INT AS dd, (a[1] <> 'A')::INT + (a[2] <> 'G')::INT AS da FROM o)
-    SELECT name, CASE WHEN dd <= 1 AND da <= 1 AND dd + da <= 1 THEN d || a END AS motif FROM n"""
+    SELECT name, k, CASE WHEN dd <= 1 AND da <= 1 AND dd + da <= 1 THEN d || a END AS motif FROM n"""
 )
 def splice_motif(spark, d):
-    rows = spark_view(spark, d, "sequences").where("length(seq) > 40")
-    strand = F.when(F.col("name").cast("bigint") % 2 == 0, "+").otherwise("-")
-    return rows.select("name", P.motif_of(F.substr("seq", F.lit(3), F.lit(2)), F.substr("seq", F.lit(30), F.lit(2)), strand, F.lit(27))["motif"].alias("motif"))
+    rows = spark_view(spark, d, "sequences").where("length(seq) > 40").withColumn("k", F.explode(F.expr("sequence(3, length(seq) - 30, 30)")))
+    strand = F.when((F.col("name").cast("bigint") + F.col("k")) % 2 == 0, "+").otherwise("-")
+    return rows.select("name", F.col("k").cast("bigint").alias("k"), P.motif_of(F.substr("seq", F.col("k"), F.lit(2)), F.substr("seq", F.col("k") + 27, F.lit(2)), strand, F.lit(27))["motif"].alias("motif"))
 
 
 _LINKS = "SELECT l_orderkey * 100 + rn AS event_id, CASE WHEN l_partkey % 2 = 0 THEN CAST(l_orderkey AS STRING) END AS link_id, CAST(l_quantity AS INT) % 12 AS spanning FROM items"
@@ -739,3 +739,127 @@ def target_coverage(spark, d):
 def chromosome_order(spark, d):
     rows = _segments(spark, d).withColumn("k", coords.chrom_key(F.col("target")))
     return A.number(rows.select("seg_id", "target", "k", "tstart"), ["k", "tstart", "seg_id"], "place").select("seg_id", "target", "place")
+
+
+# Transcripts at breaks, sub-sequences, agreement of mappings, equal events of one contig, and sites of splicing.
+@query(
+    _TWO
+    + """, s2 AS (SELECT *, CASE WHEN seg_id % 2 = 0 THEN 'L' ELSE 'R' END AS orient, CASE WHEN seg_id % 2 = 0 THEN e2 ELSE s1 END AS brk FROM seg),
+    tx AS (SELECT tid, strand, count(*) AS n, sum("end" - start + 1)::BIGINT AS len, min(start) AS first, max("end") AS last, bool_or(coding) AS coding FROM exon_rows GROUP BY tid, strand),
+    u AS (SELECT *, CASE WHEN coding THEN CASE WHEN strand = '+' THEN first + 10 ELSE last - 10 END END AS cs, CASE WHEN coding THEN CASE WHEN strand = '+' THEN last - 10 ELSE first + 10 END END AS ce FROM tx),
+    a AS (SELECT seg_id, tid, b, count(*) AS k, arg_min(code, i) AS c0, arg_max(code, i) AS c1 FROM m JOIN ok USING (seg_id, tid) GROUP BY seg_id, tid, b),
+    z AS (SELECT o.seg_id, o.tid, count(*) FILTER (k = 1) AS n1, count(*) FILTER (k = 1 AND c0 = '==') AS n2, max(c0) FILTER (b = 0) AS first_code, max(c1) FILTER (b = 1) AS last_code FROM ok o LEFT JOIN a USING (seg_id, tid) GROUP BY o.seg_id, o.tid),
+    q AS (SELECT z.*, coalesce(CASE WHEN orient = 'L' THEN last_code[2] = '=' ELSE first_code[1] = '=' END, false) AS bound, u.*  EXCLUDE (tid),
+      coalesce(CASE WHEN strand = '+' THEN brk BETWEEN first AND cs - 1 OR brk BETWEEN ce + 4 AND last ELSE brk BETWEEN cs + 1 AND last OR brk BETWEEN first AND ce - 4 END, false) AS in_utr FROM z JOIN s2 USING (seg_id) JOIN u USING (tid))
+    SELECT seg_id, tid, bound AS at_bound, in_utr, n1::INT AS n_single, n2::INT AS n_exact FROM q QUALIFY row_number() OVER (PARTITION BY seg_id ORDER BY bound DESC, coding DESC, in_utr, n1 DESC, n2 DESC, n DESC, len DESC, tid) = 1"""
+)
+def breakpoint_transcript(spark, d):
+    even = F.col("seg_id") % 2 == 0
+    segments = _two_blocks(spark, d).withColumns({"orient": F.when(even, "L").otherwise("R"), "breaks": F.array(F.when(even, F.col("tend")).otherwise(F.col("tstart")))})
+    return E.best_at_break(E.map_alignments(segments, _transcripts(spark, d))).select("seg_id", "tid", "at_bound", "in_utr", "n_single", "n_exact")
+
+
+_BROKEN = """SELECT CAST(l_orderkey AS BIGINT) AS event_id, CASE WHEN l_orderkey % 5 = 0 THEN 'skipped_exon' WHEN l_orderkey % 5 = 1 THEN 'dup' WHEN l_orderkey % 5 = 2 THEN 'repeat_expansion' ELSE 'fusion' END AS event, CAST(l_partkey % 997 AS STRING) AS query, rn AS nth,
+    CAST(20 + l_suppkey % 300 AS BIGINT) AS cb1, CAST(20 + l_suppkey % 300 + l_linenumber - 3 AS BIGINT) AS cb2 FROM items"""
+_SUB = (
+    ctes("items", "sequences")
+    + f""", ev AS ({_BROKEN}), c AS (SELECT ev.*, seq, least(cb1, cb2) AS lo, greatest(cb1, cb2) AS hi FROM ev JOIN sequences ON name = query WHERE event NOT IN ('skipped_exon', 'repeat_expansion')),
+    pick AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY least(lo, length(seq) - hi) DESC, nth) = 1),
+    sub AS (SELECT event_id, event, query, 0 AS piece, left(seq, lo) AS seq FROM pick UNION ALL SELECT event_id, event, query, 1, substr(seq, hi) FROM pick)"""
+)
+
+
+def _sub_sequences(spark, d):
+    return U.sub_sequences(spark.sql(_BROKEN.replace("FROM items", "FROM {items}"), items=spark_view(spark, d, "items")), spark_view(spark, d, "sequences"))
+
+
+@query(_SUB + "SELECT event_id, query, piece, md5(seq) AS seq, length(seq)::INT AS length FROM sub")
+def sub_sequences(spark, d):
+    return _sub_sequences(spark, d).select("event_id", "query", "piece", F.md5("seq").alias("seq"), "length")
+
+
+@query(
+    _SUB
+    + """, al AS (SELECT event_id, event, piece, length(seq) AS length, unnest(range(length(seq) % 4)) AS hit FROM sub),
+    good AS (SELECT event_id, piece FROM al WHERE event = 'fusion' AND (event_id + hit) % 3 <> 0 AND hit <> 2 AND length <> 0 GROUP BY event_id, piece HAVING count(*) > 1)
+    SELECT DISTINCT event_id FROM good"""
+)
+def multimapped_events(spark, d):
+    hits = _sub_sequences(spark, d).withColumn("hit", F.explode(F.expr("if(length % 4 > 0, sequence(0, length % 4 - 1), array())")))
+    rows = hits.select("event_id", "event", "piece", "length", F.when(F.col("hit") == 2, "chrUn_1").otherwise("chr1").alias("target"), F.col("length").alias("matched"), F.when((F.col("event_id") + F.col("hit")) % 3 == 0, 1).otherwise(0).alias("nm"))
+    return U.multimapped(rows)
+
+
+_AGREE = "SELECT CAST(l_orderkey AS STRING) AS query, l_orderkey * 100 + rn AS event_id, 'g' || CAST(l_partkey % 6 AS STRING) AS gene1, 'g' || CAST(l_suppkey % 6 AS STRING) AS gene2 FROM items"
+_OTHER = "SELECT CAST(o_orderkey AS STRING) AS query, 'g' || CAST(o_custkey % 6 AS STRING) AS gene, o_orderstatus = 'F' AS whole FROM orders UNION ALL SELECT CAST(o_orderkey AS STRING), 'g' || CAST((o_custkey + 1) % 6 AS STRING), true FROM orders WHERE o_custkey % 4 = 0"
+
+
+@query(
+    ctes("items")
+    + f""", ev AS ({_AGREE}), o AS ({_OTHER}), x AS (SELECT query, list_distinct(list(gene)) AS genes, count(*) = 1 AND bool_and(whole) AS fully FROM o GROUP BY query)
+    SELECT event_id FROM ev LEFT JOIN x USING (query) WHERE NOT coalesce(gene1 <> gene2 AND ((len(genes) = 1 AND fully) OR NOT list_has_any(genes, [gene1, gene2])), false)"""
+)
+def mapping_agreement(spark, d):
+    events = spark.sql(_AGREE.replace("FROM items", "FROM {items}"), items=spark_view(spark, d, "items")).withColumn("genes", F.array("gene1", "gene2"))
+    other = spark.sql(_OTHER.replace("FROM orders", "FROM {orders}"), orders=spark.read.parquet(f"{d}/orders.parquet"))
+    return U.agreeing(events, U.mapping_states(other)).select("event_id")
+
+
+_TWICE = "SELECT CAST(l_orderkey AS STRING) AS query, rn, CASE WHEN l_partkey % 2 = 0 THEN 'del' ELSE 'dup' END AS rearrangement, 'chr1' AS chrom1, CAST(l_suppkey % 2 AS BIGINT) AS break1, 'L' AS orient1, 'chr1' AS chrom2, CAST(500 AS BIGINT) AS break2, 'R' AS orient2, CAST(l_linenumber % 3 AS BIGINT) AS cb1, CAST(l_linenumber % 3 + 9 AS BIGINT) AS cb2 FROM items"
+
+
+@query(
+    ctes("items")
+    + f""", ev AS ({_TWICE}), n AS (SELECT *, lag([rearrangement, break1::VARCHAR]) OVER w = [rearrangement, break1::VARCHAR] AND lag(cb1) OVER w <> cb1 AS a, lead([rearrangement, break1::VARCHAR]) OVER w = [rearrangement, break1::VARCHAR] AND lead(cb1) OVER w <> cb1 AS b
+      FROM ev WINDOW w AS (PARTITION BY query ORDER BY cb1, cb2, rearrangement, break1))
+    SELECT query, rearrangement, break1, cb1, count(*) AS n, bool_or(coalesce(a, false) OR coalesce(b, false)) AS twice FROM n GROUP BY ALL"""
+)
+def same_event_two_breaks(spark, d):
+    rows = A.same_event_twice(spark.sql(_TWICE.replace("FROM items", "FROM {items}"), items=spark_view(spark, d, "items")))
+    return rows.groupBy("query", "rearrangement", "break1", "cb1").agg(F.count("*").alias("n"), F.bool_or("twice").alias("twice"))
+
+
+@query(
+    _TX.replace("count(*) AS n FROM", "count(*) AS n, list({'s': start, 'e': \"end\"} ORDER BY start, \"end\") AS x FROM")
+    + """, p AS (SELECT tid, strand, x, n, unnest(range(1, n)) AS a FROM t WHERE n > 1), q AS (SELECT *, a + 1 + tid::BIGINT % 2 AS b FROM p),
+    r AS (SELECT tid, strand, x, a, b, CASE WHEN strand = '-' THEN n - (b - 1) + 1 ELSE a + 1 END AS mid, CASE WHEN strand = '-' THEN n - b + 1 ELSE a END AS lo, CASE WHEN strand = '-' THEN n - a + 1 ELSE b END AS hi FROM q WHERE b <= n)
+    SELECT tid, a::INT AS exon1, b::INT AS exon2, CASE WHEN b > a + 1 THEN (x[mid].s - 2) || ',' || (x[mid].s - 1) || ',' || (x[mid].e + 1) || ',' || (x[mid].e + 2) END AS skipped,
+      (x[lo].e + 1) || ',' || (x[lo].e + 2) || ',' || (x[hi].s - 2) || ',' || (x[hi].s - 1) AS novel FROM r"""
+)
+def splice_site_positions(spark, d):
+    c = F.col
+    rows = _transcripts(spark, d).where("size(exons) > 1").withColumn("exon1", F.explode(F.expr("sequence(1, size(exons) - 1)")))
+    rows = rows.withColumn("exon2", (c("exon1") + 1 + F.pmod(c("tid").cast("bigint"), F.lit(2))).cast("int")).where("exon2 <= size(exons)")
+    text = lambda a: F.array_join(a.cast("array<string>"), ",")
+    args = c("exons"), c("strand"), c("exon1"), c("exon2")
+    return rows.select("tid", "exon1", "exon2", text(P.skipped_exon_sites(*args)).alias("skipped"), text(P.novel_site_positions(*args)).alias("novel"))
+
+
+@query(
+    ctes("sequences")
+    + """, s AS (SELECT name, k, substr(seq, k, 30) AS g, translate(substr(seq, k, 30), 'G', 'T') AS c, CASE WHEN (name::BIGINT + k) % 2 = 0 THEN '+' ELSE '-' END AS st FROM (SELECT *, unnest(range(1, length(seq) - 28, 30)) AS k FROM sequences WHERE length(seq) >= 30)),
+    e AS (SELECT *, left(g, 2) AS g1, right(g, 2) AS g2, left(c, 2) AS c1, right(c, 2) AS c2 FROM s),
+    n AS (SELECT *, (g1[1] <> c1[1])::INT + (g1[2] <> c1[2])::INT AS n1, (g2[1] <> c2[1])::INT + (g2[2] <> c2[2])::INT AS n2 FROM e),
+    m AS (SELECT *, CASE WHEN st = '-' THEN translate(reverse(c1), 'ACGT', 'TGCA') ELSE c1 END AS m1, CASE WHEN st = '-' THEN translate(reverse(c2), 'ACGT', 'TGCA') ELSE c2 END AS m2,
+      CASE WHEN g1[1] <> c1[1] THEN 1 ELSE 2 END AS i1, CASE WHEN g2[1] <> c2[1] THEN 1 ELSE 2 END AS i2 FROM n WHERE n1 + n2 <= 1)
+    SELECT name, k, m1 AS motif1, m2 AS motif2, CASE WHEN n1 = 1 THEN 'chr1:' || (k + i1 - 1) || g1[i1] || '>' || c1[i1] END AS variant1, CASE WHEN n2 = 1 THEN 'chr1:' || (k + 28 + i2 - 1) || g2[i2] || '>' || c2[i2] END AS variant2 FROM m"""
+)
+def retained_intron_motif(spark, d):
+    rows = spark_view(spark, d, "sequences").where("length(seq) >= 30").withColumn("k", F.explode(F.expr("sequence(1L, length(seq) - 29L, 30L)")))
+    genome = F.substr("seq", F.col("k").cast("int"), F.lit(30))
+    strand = F.when((F.col("name").cast("bigint") + F.col("k")) % 2 == 0, "+").otherwise("-")
+    found = rows.select("name", "k", P.retained_intron_motif(F.lit("chr1"), F.col("k") - 1, F.col("k") + 30, F.translate(genome, "G", "T"), genome, strand).alias("m")).where("m is not null")
+    return found.select("name", "k", F.col("m")[0]["motif"].alias("motif1"), F.col("m")[1]["motif"].alias("motif2"), F.col("m")[0]["variant"].alias("variant1"), F.col("m")[1]["variant"].alias("variant2"))
+
+
+@query(
+    ctes("exon_rows")
+    + """, a AS (SELECT *, tid::BIGINT % 3 AS src FROM exon_rows), j AS (SELECT chrom, "end" AS start, lead(start) OVER (PARTITION BY tid ORDER BY row) AS stop, src FROM a),
+    u AS (SELECT 'exon' AS kind, chrom, start, "end" AS stop, src FROM a UNION ALL SELECT 'junction', chrom, start, stop, src FROM j WHERE stop IS NOT NULL)
+    SELECT kind, chrom, start, stop AS "end", string_agg(DISTINCT 's' || src, ',' ORDER BY 's' || src) AS sources FROM u GROUP BY kind, chrom, start, stop"""
+)
+def annotation_union(spark, d):
+    rows = spark_view(spark, d, "exon_rows")
+    parts = {f"s{n}": rows.where(F.col("tid").cast("bigint") % 3 == n) for n in range(3)}
+    both = [E.annotated(parts, kind).select(F.lit(kind).alias("kind"), "chrom", "start", "end", F.array_join("sources", ",").alias("sources")) for kind in ("exon", "junction")]
+    return both[0].union(both[1])

@@ -41,13 +41,21 @@ def within_size(events: DataFrame, least: int | None = None, most: int | None =
     return out
 
 
+def same_event_twice(events: DataFrame) -> DataFrame:
+    """Adds twice: whether a neighbour in the order of the contig is the same event at other contig breaks."""
+    own = Window.partitionBy("query").orderBy("cb1", "cb2", *KEY)
+    key, at = F.struct(*KEY), F.struct("cb1", "cb2")
+    same = lambda step: F.coalesce(step(key).over(own).eqNullSafe(key) & (step(at).over(own) != at), F.lit(False))
+    return events.withColumn("twice", same(F.lag) | same(F.lead))
+
+
 def sane(events: DataFrame, least_homology: int = 5) -> DataFrame:
-    """Without events whose homology (from ``least_homology`` bases) is of low complexity and inversions of at most one base, and
-    with only the first of events of a contig that are equal but for their contig breaks."""
+    """Without events whose homology (from ``least_homology`` bases) is of low complexity, inversions of at most one base, and events that a
+    contig has next to each other at two pairs of contig breaks, which say nothing; of equal rows the first stays."""
     low = F.coalesce((F.length("homol_seq") >= least_homology) & is_low_complexity(F.col("homol_seq")), F.lit(False))
-    rows = events.where(~low).where((F.col("rearrangement") != "inv") | (F.abs(F.col("break2") - F.col("break1")) > 1))
-    before = F.lag(F.struct(*KEY)).over(Window.partitionBy("query").orderBy("cb1", "cb2"))
-    return rows.withColumn("_before", before).where(~F.col("_before").eqNullSafe(F.struct(*KEY))).drop("_before")
+    rows = same_event_twice(events).where(~low & ~F.col("twice") & ((F.col("rearrangement") != "inv") | (F.abs(F.col("break2") - F.col("break1")) > 1)))
+    nth = F.row_number().over(Window.partitionBy("query", *KEY, "cb1", "cb2").orderBy("cb1"))
+    return rows.withColumn("_nth", nth).where("_nth = 1").drop("_nth", "twice")
 
 
 def merge(events: DataFrame, order: str = "seq_no", extra: list[str] | None = None) -> DataFrame:

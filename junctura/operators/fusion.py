@@ -112,6 +112,43 @@ def rejected(events: DataFrame, only_fusions: bool = False, no_indels: bool = Fa
     return events.withColumn("reason", F.coalesce(*[F.when(test, name) for name, test in rules]))
 
 
+def sub_sequences(events: DataFrame, contigs: DataFrame, each_side: int | None = None, exempt: tuple[str, ...] = ("alt_donor", "alt_acceptor", "skipped_exon")) -> DataFrame:
+    """(event_id, event, query, piece, seq, length): what lies up to the first break of an event's contig (piece 0) and from the second on (piece 1),
+    ``each_side`` bases of it at most, where given. Of several contigs the one whose shorter side is longest counts, then the first by nth.
+    Splicing events and repeat changes have none.
+
+    ``events``: event_id, event, query, nth, cb1, cb2, one row for each contig of an event; ``contigs``: name, seq. Aligned, the pieces are the input
+    of ``multimapped``.
+    """
+    asked = events.where(~F.col("event").isin(*exempt) & ~F.contains("event", F.lit("repeat")))
+    rows = asked.join(contigs.select(F.col("name").alias("query"), F.col("seq").alias("_seq")), "query")
+    low, high = F.least("cb1", "cb2"), F.greatest("cb1", "cb2")
+    rows = rows.withColumns({"_low": low, "_high": high}).withColumn("_flank", F.least("_low", F.length("_seq") - F.col("_high")))
+    best = F.max_by(F.struct("event", "query", "_low", "_high", "_seq"), F.struct("_flank", -F.col("nth")))
+    rows = rows.groupBy("event_id").agg(best.alias("b")).select("event_id", "b.*")
+    first = F.greatest(F.lit(1), F.col("_low") - each_side + 1) if each_side is not None else F.lit(1)
+    last = F.least(F.length("_seq"), F.col("_high") + each_side - 1) if each_side is not None else F.length("_seq")
+    part = lambda a, b: F.substr(F.col("_seq"), a.cast("int"), F.greatest(b - a + 1, F.lit(0)).cast("int"))
+    two = F.array(F.struct(F.lit(0).alias("piece"), part(first, F.col("_low")).alias("seq")), F.struct(F.lit(1).alias("piece"), part(F.greatest(F.col("_high"), F.lit(1)), last).alias("seq")))
+    return rows.select("event_id", "event", "query", F.explode(two).alias("p")).select("event_id", "event", "query", "p.piece", "p.seq", F.length("p.seq").alias("length"))
+
+
+def mapping_states(mappings: DataFrame) -> DataFrame:
+    """(query, genes, state) from rows (query, gene, whole): full where a contig's only mapping matches a transcript wholly, else partial."""
+    rows = mappings.groupBy("query").agg(F.array_sort(F.collect_set("gene")).alias("genes"), F.count("*").alias("_n"), F.bool_and("whole").alias("_whole"))
+    return rows.select("query", "genes", F.when((F.col("_n") == 1) & F.col("_whole"), "full").otherwise("partial").alias("state"))
+
+
+def agreeing(events: DataFrame, external: DataFrame) -> DataFrame:
+    """Events that another mapping of their contigs does not speak against. An event of several genes goes if its contig maps wholly to one gene
+    there, or to none of the event's genes. ``events``: query, genes (array); ``external``: query, genes, state (see ``mapping_states``)."""
+    other = external.select(F.col("query").alias("_q"), F.col("genes").alias("_genes"), F.col("state").alias("_state"))
+    rows = events.join(other, F.col("query") == F.col("_q"), "left")
+    alone = (F.size("_genes") == 1) & (F.col("_state") == "full")
+    against = (F.size(F.array_distinct("genes")) > 1) & F.col("_q").isNotNull() & (alone | ~F.arrays_overlap("genes", "_genes"))
+    return rows.where(~F.coalesce(against, F.lit(False))).select(*events.columns)
+
+
 def multimapped(pieces: DataFrame, exempt: tuple[str, ...] = ("dup", "ITD", "PTD", "ins", "del", "repeat_expansion", "repeat_contraction")) -> DataFrame:
     """event_id of events one of whose pieces of contig aligns whole and without edits to more than one canonical place.
     ``pieces``: event_id, event, piece, length, target, matched, nm."""

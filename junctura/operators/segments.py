@@ -157,12 +157,13 @@ def best_path(found: DataFrame) -> DataFrame:
     return rows.select("query", pick.alias("best")).select("query", "best.*")
 
 
-def gapped_indels(segments: DataFrame, sequences: DataFrame, target_sequence: Column | None = None, insertions_stay: bool = False) -> DataFrame:
+def gapped_indels(segments: DataFrame, sequences: DataFrame, target_sequence: Column | None = None, insertions_stay: bool = False, least_size: int = 0, least_flank: int = 0) -> DataFrame:
     """Deletions, indels, insertions and duplications from the gaps between blocks of single alignments.
 
     Gaps of the target are deletions where the contig has none, else indels; gaps of the contig alone are insertions. Where the
     inserted sequence repeats one base or a unit of 2 to 4, and flanking copies of the unit are there, it is a duplication with
     breaks on the side of the copies, unless ``insertions_stay``; contig breaks move to the outer ends of the copies.
+    Insertions and deletions of less than ``least_size`` bases go, and those with less than ``least_flank`` bases of the contig on a side.
     ``target_sequence`` gives a deleted sequence from (target, tstart, tend) where it is known; deletions count copies too then.
     """
     from ..functions.sequences import copies_after, copies_before, repeat_unit, reverse_complement
@@ -175,6 +176,8 @@ def gapped_indels(segments: DataFrame, sequences: DataFrame, target_sequence: Co
         "seg_id", "query", "target", "strand", "_seq", F.col("g.i").alias("gap"), F.col("g.before.te").alias("t1"), F.col("g.after.ts").alias("t2"), F.col("g.before.qe").alias("q1"), F.col("g.after.qs").alias("q2"), F.col("g.tgap").alias("tgap"), F.col("g.qgap").alias("qgap"),
     )
     low = F.least("q1", "q2")
+    indel = (F.col("tgap") > 0) & (F.col("qgap") != 0)
+    rows = rows.where(indel | ((F.greatest("tgap", "qgap") >= least_size) & (low >= least_flank) & (F.length("_seq") - F.greatest("q1", "q2") + 1 >= least_flank)))
     inserted = F.substr(F.col("_seq"), (low + 1).cast("int"), F.col("qgap").cast("int"))
     removed = target_sequence if target_sequence is not None else F.lit(None).cast("string")
     removed = F.when(forward, removed).otherwise(reverse_complement(removed))

@@ -31,6 +31,70 @@ def implied_variants(chrom: Column, strand: Column, donor: Column, acceptor: Col
     return F.when(motif.isNotNull(), F.concat(one(donor, donor_start, motif["donor_diffs"], "GT"), one(acceptor, acceptor_start, motif["acceptor_diffs"], "AG")))
 
 
+def _two_ends(bases: Column) -> tuple[Column, Column]:
+    return F.upper(F.left(bases, F.lit(2))), F.upper(F.right(bases, F.lit(2)))
+
+
+def retained_intron_motif(chrom: Column, pos1: Column, pos2: Column, contig: Column, genome: Column, strand: Column, most: int = 1) -> Column:
+    """For the two ends of a retained intron, lower end first: an array of (motif, variant), the motif as the contig has it on the
+    transcript's strand, and chrom:posFROM>TO where it differs from the genome. Null where more than ``most`` bases differ, or two at one end.
+
+    ``contig`` and ``genome``: the bases between the exons that end at ``pos1`` and begin at ``pos2``, both on the forward strand.
+    """
+    parts = []
+    for had, now, start in zip(_two_ends(genome), _two_ends(contig), (pos1 + 1, pos2 - 2), strict=True):
+        diffs = F.filter(F.array(F.lit(1), F.lit(2)), lambda i: F.substr(had, i, F.lit(1)) != F.substr(now, i, F.lit(1)))  # noqa: B023
+        i = F.get(diffs, F.lit(0))
+        variant = F.when(F.size(diffs) > 0, F.concat(chrom, F.lit(":"), start + i - 1, F.substr(had, i, F.lit(1)), F.lit(">"), F.substr(now, i, F.lit(1))))
+        parts.append((F.size(diffs), F.struct(F.when(strand == "-", reverse_complement(now)).otherwise(now).alias("motif"), variant.alias("variant"))))
+    (n1, one), (n2, two) = parts
+    return F.when((n1 <= 1) & (n2 <= 1) & (n1 + n2 <= most) & (F.length(contig) >= 2) & (F.length(genome) >= 2), F.array(one, two))
+
+
+def skipped_exon_sites(exons: Column, strand: Column, exon1: Column, exon2: Column) -> Column:
+    """The four intron positions next to the lowest exon between two exon numbers: two before it, two after; null if there is none."""
+    n = F.size(exons)
+    low, high = F.least(exon1, exon2) + 1, F.greatest(exon1, exon2) - 1
+    index = F.when(strand == "-", n - high).otherwise(low - 1)  # the lowest in the genome
+    x = F.get(exons, index.cast("int"))
+    return F.when((high >= low) & (low >= 1) & (high <= n), F.array(x["start"] - 2, x["start"] - 1, x["end"] + 1, x["end"] + 2))
+
+
+def novel_site_positions(exons: Column, strand: Column, exon1: Column, exon2: Column) -> Column:
+    """The four positions of the splice sites of the intron between two exons (by number): the first two of it, and the last two."""
+    n = F.size(exons)
+    at = lambda k: F.get(exons, F.when(strand == "-", n - k).otherwise(k - 1).cast("int"))
+    a, b = at(exon1), at(exon2)
+    first, second = F.when(a["start"] <= b["start"], a).otherwise(b), F.when(a["start"] <= b["start"], b).otherwise(a)
+    return F.when(a.isNotNull() & b.isNotNull(), F.array(first["end"] + 1, first["end"] + 2, second["start"] - 2, second["start"] - 1))
+
+
+def site_motif(bases: Column, strand: Column) -> Column:
+    """The motif of four bases at ascending positions on the forward strand; on the reverse strand each pair is complemented, the pairs keep
+    their order."""
+    low, high = F.left(bases, F.lit(2)), F.right(bases, F.lit(2))
+    return F.upper(F.when(strand == "-", F.concat(reverse_complement(low), reverse_complement(high))).otherwise(bases))
+
+
+def canonical_sites(events: DataFrame, genome: DataFrame, chunk: int) -> DataFrame:
+    """Adds sites (array of position and base) and site_bases to skipped exons and to novel donors and acceptors: the bases of the genome
+    whose change would explain the event, as ``matching_calls`` and ``interrupted`` look for them; null for other events.
+
+    ``events``: event_id, event, chrom, strand, exons, number1, number2 (exon numbers); ``genome``: a FASTA in chunks of ``chunk`` bases.
+    """
+    from ..sources.text import fetch
+
+    args = F.col("exons"), F.col("strand"), F.col("number1"), F.col("number2")
+    places = F.when(F.col("event") == "skipped_exon", skipped_exon_sites(*args)).when(F.col("event").isin("novel_donor", "novel_acceptor"), novel_site_positions(*args))
+    rows = events.withColumn("_places", places)
+    each = rows.where("_places is not null").select("event_id", "chrom", F.explode(F.array(F.struct(F.lit(0).alias("n"), F.col("_places")[0].alias("at")), F.struct(F.lit(1).alias("n"), F.col("_places")[2].alias("at")))).alias("s"))
+    each = each.select("event_id", "chrom", F.col("s.n").alias("n"), F.col("s.at").alias("start"), (F.col("s.at") + 1).alias("end"))
+    got = fetch(each, genome, chunk, ["event_id", "n"]).groupBy("event_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "seq"))), lambda x: x["seq"]), "").alias("_bases"))  # two rows each
+    rows = rows.join(got, "event_id", "left")
+    sites = F.when(F.length("_bases") == 4, F.transform("_places", lambda p, i: F.struct(p.alias("pos"), F.upper(F.substr("_bases", i + 1, F.lit(1))).alias("base"))))
+    return rows.select(*events.columns, sites.alias("sites"), F.when(F.length("_bases") == 4, site_motif(F.col("_bases"), F.col("strand"))).alias("site_bases"))
+
+
 def classify(junctions: DataFrame, least_intron: int = 20) -> DataFrame:
     """Events of junctions between two blocks: one row for each rule that fits.
 
