@@ -142,17 +142,88 @@ def _with_spans(spark, d):
     return out.withColumns({c: F.get("members", F.lit(0))[c] for c in spans})
 
 
-@query()
+# SQL of insertions and of the assembly of variants. Greedy choice in SQL: rounds that take what no live candidate before it touches.
+_SPANNED = (
+    _PAIRS.replace("WITH ", "WITH RECURSIVE ", 1)
+    + """, sided AS (SELECT c.*, CASE WHEN swapped THEN b.tstart ELSE a.tstart END AS s1, CASE WHEN swapped THEN b.tend ELSE a.tend END AS e1, CASE WHEN swapped THEN a.tstart ELSE b.tstart END AS s2, CASE WHEN swapped THEN a.tend ELSE b.tend END AS e2
+      FROM classified c JOIN segments a ON a.seg_id = seg1 JOIN segments b ON b.seg_id = seg2),
+ws AS MATERIALIZED (SELECT row_number() OVER (ORDER BY rearrangement, chrom1, break1, orient1, chrom2, break2, orient2) AS adj_id, rearrangement, chrom1, break1, orient1, chrom2, break2, orient2,
+      arg_min(s1, seg1) AS span1_start, arg_min(e1, seg1) AS span1_end, arg_min(s2, seg1) AS span2_start, arg_min(e2, seg1) AS span2_end FROM sided GROUP BY rearrangement, chrom1, break1, orient1, chrom2, break2, orient2)"""
+)
+
+
+def _near(alias: str, place: str, most: int) -> str:
+    """The bins of ``place``, and those next to them, as a join side."""
+    return f"(SELECT *, unnest([{place} // {most} - 1, {place} // {most}, {place} // {most} + 1]) AS bin FROM {alias})"
+
+
+def _between_sql(src: str, name: str, first: bool, most: int = 500) -> str:
+    """CTEs up to ``name`` (i, j, chrom, pos1, pos2, insertion_size): what insertions_between takes from the events ``src``."""
+    t, o = ("1", "2") if first else ("2", "1")
+    return f""", {name}_s AS (SELECT adj_id AS id, chrom{t} AS tc, break{t} AS tp, orient{t} AS tor, chrom{o} AS sc, break{o} AS sp, orient{o} AS so, span{o}_start AS ss, span{o}_end AS se FROM {src}),
+{name}_c AS MATERIALIZED (SELECT a.id AS i, b.id AS j, a.tc AS chrom, a.tp AS pos1, b.tp AS pos2, abs(a.sp - b.sp) + 1 AS insertion_size FROM {name}_s a JOIN {_near(name + "_s", "tp", most)} b ON a.tc = b.tc AND a.sc = b.sc AND a.tp // {most} = b.bin
+  WHERE abs(a.tp - b.tp) <= {most} AND a.id <> b.id AND a.tor <> b.tor AND a.sp = least(a.ss, a.se, b.ss, b.se) AND b.sp = greatest(a.ss, a.se, b.ss, b.se) AND ((a.so = 'L' AND b.so = 'R' AND b.sp < a.sp) OR (a.so = 'R' AND b.so = 'L' AND a.sp < b.sp))),
+{name}_r AS (SELECT i, j, false AS taken FROM {name}_c UNION ALL SELECT i, j, taken FROM (
+  WITH live AS (SELECT i, j FROM {name}_r WHERE NOT taken), low AS (SELECT x, min(src) AS m FROM (SELECT i AS x, i AS src FROM live UNION ALL SELECT j, i FROM live) GROUP BY x),
+  ok AS (SELECT l.i FROM live l JOIN low a ON a.x = l.i JOIN low b ON b.x = l.j GROUP BY l.i HAVING min(a.m) >= l.i AND min(b.m) >= l.i),
+  used AS (SELECT i AS x FROM live WHERE i IN (SELECT i FROM ok) UNION SELECT j FROM live WHERE i IN (SELECT i FROM ok))
+  SELECT i, j, true AS taken FROM live WHERE i IN (SELECT i FROM ok) UNION ALL SELECT i, j, false FROM live WHERE i NOT IN (SELECT x FROM used) AND j NOT IN (SELECT x FROM used))),
+{name} AS MATERIALIZED (SELECT c.* FROM {name}_c c JOIN {name}_r r ON r.i = c.i AND r.j = c.j AND taken)"""
+
+
+def _imprecise_sql(src: str, name: str, most: int = 50) -> str:
+    """CTEs up to ``name`` (i, j, t1, t2): what imprecise_insertions takes from the events ``src``."""
+    side = lambda t, o: f"SELECT adj_id AS id, {t} AS t, chrom{t} AS tc, break{t} AS tp, orient{t} AS tor, chrom{o} AS sc, break{o} AS sp, orient{o} AS so, span{t}_start AS ts FROM {src}"
+    faces = lambda x, y: f"({x}.ts < {y}.ts AND {x}.tor = 'L' AND {y}.tor = 'R' AND (({x}.sp < {y}.sp AND {x}.so = 'R' AND {y}.so = 'L') OR ({x}.sp > {y}.sp AND {x}.so = 'L' AND {y}.so = 'R')))"
+    return f""", {name}_s AS MATERIALIZED ({side(1, 2)} UNION ALL {side(2, 1)}),
+{name}_c AS MATERIALIZED (SELECT a.id AS i, b.id AS j, a.t AS t1, b.t AS t2, row_number() OVER (ORDER BY a.id, b.id) AS k FROM {name}_s a JOIN {_near(name + "_s", "tp", most)} b ON a.tc = b.tc AND a.tp // {most} = b.bin
+  WHERE abs(a.tp - b.tp) <= {most} AND a.id < b.id AND a.tor <> b.tor AND (a.sc <> b.sc OR (abs(a.sp - b.sp) > {most} AND ({faces("a", "b")} OR {faces("b", "a")}))) QUALIFY row_number() OVER (PARTITION BY a.id, b.id ORDER BY a.t DESC, b.t DESC) = 1),
+{name}_r AS (SELECT i, j, k, false AS taken FROM {name}_c UNION ALL SELECT i, j, k, taken FROM (
+  WITH live AS (SELECT i, j, k FROM {name}_r WHERE NOT taken), low AS (SELECT x, min(k) AS m FROM (SELECT i AS x, k FROM live UNION ALL SELECT j, k FROM live) GROUP BY x),
+  ok AS (SELECT l.* FROM live l JOIN low a ON a.x = l.i AND a.m = l.k JOIN low b ON b.x = l.j AND b.m = l.k), used AS (SELECT i AS x FROM ok UNION SELECT j FROM ok)
+  SELECT i, j, k, true AS taken FROM ok UNION ALL SELECT i, j, k, false FROM live WHERE i NOT IN (SELECT x FROM used) AND j NOT IN (SELECT x FROM used))),
+{name} AS MATERIALIZED (SELECT c.i, c.j, t1, t2 FROM {name}_c c JOIN {name}_r r ON r.k = c.k AND taken)"""
+
+
+def _neighbours_sql(src: str, name: str, condition: str) -> str:
+    """CTE ``name`` (chrom1, first, second, o): neighbours in ``src`` (adj_id, chrom1, break1, chrom2, break2, o) paired from the left of each run."""
+    return f""", {name} AS (WITH f AS (SELECT *, lead(adj_id) OVER w AS nid, lead(break1) OVER w AS nb1, lead(chrom2) OVER w AS nc2, lead(break2) OVER w AS nb2, lead(o) OVER w AS no, row_number() OVER w AS rn FROM {src} WINDOW w AS (PARTITION BY chrom1 ORDER BY break1, adj_id)),
+  g AS (SELECT *, rn - row_number() OVER (PARTITION BY chrom1 ORDER BY rn) AS run FROM f WHERE coalesce({condition}, false)), h AS (SELECT *, row_number() OVER (PARTITION BY chrom1, run ORDER BY rn) AS k FROM g)
+  SELECT chrom1, adj_id AS first, nid AS second, o FROM h WHERE k % 2 = 1)"""
+
+
+_TRL = _SPANNED + ", trl AS (SELECT * FROM ws WHERE rearrangement = 'trl')"
+
+
+@query(_TRL + _between_sql("trl", "got", True) + "SELECT i AS adj1, j AS adj2, chrom, pos1, pos2, insertion_size FROM got")
 def interchrom_insertions(spark, d):
     return A.insertions_between(_with_spans(spark, d).where("rearrangement = 'trl'"))
 
 
-@query()
+@query(_TRL + _imprecise_sql("trl", "got") + "SELECT i AS adj1, j AS adj2, t1, t2 FROM got")
 def imprecise_insertions(spark, d):
     return A.imprecise_insertions(_with_spans(spark, d).where("rearrangement = 'trl'"))
 
 
-@query()
+def _left_sql(src: str, used: str, name: str) -> str:
+    return f", {name} AS MATERIALIZED (SELECT * FROM {src} WHERE adj_id NOT IN ({used}))"
+
+
+@query(
+    _SPANNED
+    + _between_sql("ws", "v1", True) + _left_sql("ws", "SELECT i FROM v1 UNION ALL SELECT j FROM v1", "r1")
+    + _between_sql("r1", "v2", False) + _left_sql("r1", "SELECT i FROM v2 UNION ALL SELECT j FROM v2", "r2")
+    + _imprecise_sql("r2", "v3") + _left_sql("r2", "SELECT i FROM v3 UNION ALL SELECT j FROM v3", "r3")
+    + ", i3 AS (SELECT adj_id, chrom1, break1, chrom2, break2, orient1 || orient2 AS o FROM r3 WHERE rearrangement = 'inv')"
+    + _neighbours_sql("i3", "v4", "nb1 - break1 <= 25 AND no <> o AND o IN ('LL', 'RR') AND no IN ('LL', 'RR')") + _left_sql("r3", "SELECT first FROM v4 UNION ALL SELECT second FROM v4", "r4")
+    + ", t4 AS (SELECT adj_id, chrom1, break1, chrom2, break2, orient1 || orient2 AS o FROM r4 WHERE rearrangement = 'trl')"
+    + _neighbours_sql("t4", "v5", "nc2 = chrom2 AND abs(nb1 - break1) <= 10000 AND abs(nb2 - break2) <= 10000 AND o || no IN ('LRRL', 'RLLR', 'LLRR', 'RRLL')") + _left_sql("r4", "SELECT first FROM v5 UNION ALL SELECT second FROM v5", "r5")
+    + """SELECT i || '-' || j AS variant_id, 'INS' AS event, chrom, pos1 AS pos, i || ',' || j AS adj_ids FROM (SELECT * FROM v1 UNION ALL SELECT * FROM v2)
+    UNION ALL SELECT i || '-' || j, 'INS', CASE WHEN t1 = 1 THEN chrom1 ELSE chrom2 END, CASE WHEN t1 = 1 THEN break1 ELSE break2 END, i || ',' || j FROM v3 JOIN ws ON adj_id = i
+    UNION ALL SELECT CASE WHEN o = 'LL' THEN first || '-' || second ELSE second || '-' || first END, 'INV', chrom1, NULL, CASE WHEN o = 'LL' THEN first || ',' || second ELSE second || ',' || first END FROM v4
+    UNION ALL SELECT first || '-' || second, 'TRL', chrom1, NULL, first || ',' || second FROM v5
+    UNION ALL SELECT adj_id::VARCHAR, upper(rearrangement), chrom1, break1, adj_id::VARCHAR FROM r5"""
+)
 def assemble_variants(spark, d):
     rows = V.assemble(_with_spans(spark, d))
     return rows.withColumn("adj_ids", F.array_join("adj_ids", ","))
@@ -379,7 +450,22 @@ def query_position_lift(spark, d):
     return _cigars(spark, d).select("seg_id", lifted.alias("lifted")).where("lifted is not null")
 
 
-@query()
+@query(
+    _BLOCK_SQL
+    + ", "
+    + ctes("sequences").removeprefix("WITH ")
+    + """, e AS (SELECT seg_id, floor(seg_id / 100)::BIGINT::VARCHAR AS query, strand, 0 AS gap, pos + 39 AS t1, pos + 40 + tg AS t2, q + sg * 39 AS q1, q + sg * (40 + qg) AS q2, tg AS tgap, qg AS qgap FROM b WHERE tg > 0 OR qg > 0
+      UNION ALL SELECT seg_id, floor(seg_id / 100)::BIGINT::VARCHAR, strand, 1, pos + 69 + tg, pos + 73 + tg, q + sg * (69 + qg), q + sg * (74 + qg), 3, 4 FROM b WHERE third),
+    g AS (SELECT e.*, seq, CASE WHEN tgap = 0 THEN substr(seq, least(q1, q2) + 1, qgap) END AS ch FROM e JOIN sequences ON name = query),
+    u AS (SELECT *, length(ch) AS n, CASE WHEN length(ch) > 0 AND ch = repeat(ch[1], length(ch)) THEN ch[1] WHEN length(ch) = 4 AND ch = repeat(ch[1:2], 2) THEN ch[1:2] WHEN length(ch) = 6 AND ch = repeat(ch[1:2], 3) THEN ch[1:2] WHEN length(ch) = 6 AND ch = repeat(ch[1:3], 2) THEN ch[1:3] END AS unit FROM g),
+    r AS (SELECT *, coalesce(length(regexp_extract(reverse(left(seq, least(q1, q2))), '^(?:' || reverse(unit) || ')*')) // length(unit), 0) AS bef, substr(seq, greatest(q1, q2)) AS rest, regexp_extract(substr(seq, greatest(q1, q2)), '^(?:' || unit || ')*') AS run FROM u),
+    k AS (SELECT *, coalesce(length(run) // length(unit) - CASE WHEN run <> '' AND length(run) = length(rest) THEN 1 ELSE 0 END, 0) AS aft, strand = '+' AS fw FROM r),
+    o AS (SELECT *, bef > 0 OR aft > 0 AS copied, tgap = 0 AND (bef > 0 OR aft > 0) AS dup, (bef > 0) = fw AS low, coalesce(length(unit), 0) AS wide, n // length(unit) AS times FROM k)
+    SELECT seg_id, query, gap::INT AS gap, 'chr1' AS target, strand, CASE WHEN tgap > 0 THEN CASE WHEN qgap = 0 THEN 'del' ELSE 'indel' END WHEN dup THEN 'dup' ELSE 'ins' END AS rearrangement,
+      CASE WHEN dup AND low THEN t1 - n ELSE t1 END AS break1, CASE WHEN tgap > 0 THEN t2 WHEN dup THEN CASE WHEN low THEN t1 + 1 ELSE t1 + n + 1 END ELSE t1 END AS break2, q1 - wide * bef AS cb1, q2 + wide * aft AS cb2,
+      CASE WHEN tgap = 0 THEN CASE WHEN fw THEN ch ELSE translate(reverse(ch), 'ACGT', 'TGCA') END END AS novel_seq, CASE WHEN dup THEN CASE WHEN fw THEN unit ELSE translate(reverse(unit), 'ACGT', 'TGCA') END END AS repeat_seq,
+      CASE WHEN dup THEN times::INT END AS repeat_num, CASE WHEN dup THEN (bef + aft) || '>' || (bef + aft + times) END AS repeat_change FROM o"""
+)
 def gapped_indels(spark, d):
     rows = S.to_segments(_cigars(spark, d)).withColumn("query", F.floor(F.col("seg_id") / 100).cast("string")).withColumn("target", F.lit("chr1"))
     return S.gapped_indels(rows, spark_view(spark, d, "sequences"))
@@ -650,7 +736,18 @@ def read_through(spark, d):
     return U.read_throughs(fusions, genes).select("event_id", "read_through")
 
 
-@query()
+@query(
+    _PAIRS.replace("WITH ", "WITH RECURSIVE ", 1)
+    + """, g AS (SELECT query, rearrangement AS event, seg1 AS event_id, chrom1, break1, chrom2, break2 FROM classified), t AS (SELECT query, event, event_id, chrom1, break1 + event_id % 120 AS break1, chrom2, break2 FROM g WHERE event_id % 3 <> 0),
+    c AS MATERIALIZED (SELECT g.event_id AS g, t.event_id AS t, row_number() OVER (ORDER BY t.query, t.event <> g.event, abs(t.break1 - g.break1) + abs(t.break2 - g.break2), t.event_id, g.event_id) AS k FROM t JOIN g ON g.query = t.query
+      WHERE t.chrom1 = g.chrom1 AND t.chrom2 = g.chrom2 AND abs(t.break1 - g.break1) <= 100 AND abs(t.break2 - g.break2) <= 100),
+    r AS (SELECT g, t, k, false AS taken FROM c UNION ALL SELECT g, t, k, taken FROM (
+      WITH live AS (SELECT g, t, k FROM r WHERE NOT taken), low_g AS (SELECT g, min(k) AS m FROM live GROUP BY g), low_t AS (SELECT t, min(k) AS m FROM live GROUP BY t),
+      ok AS (SELECT l.* FROM live l JOIN low_g a ON a.g = l.g AND a.m = l.k JOIN low_t b ON b.t = l.t AND b.m = l.k)
+      SELECT g, t, k, true AS taken FROM ok UNION ALL SELECT g, t, k, false FROM live WHERE g NOT IN (SELECT g FROM ok) AND t NOT IN (SELECT t FROM ok))),
+    b AS (SELECT g, t FROM r WHERE taken)
+    SELECT t.*, CASE WHEN event_id IN (SELECT t FROM b) THEN 'both' ELSE 'transcripts' END AS found_in FROM t UNION ALL SELECT g.*, 'genome' FROM g WHERE event_id NOT IN (SELECT g FROM b)"""
+)
 def combine_events(spark, d):
     rows = _classified(spark, d).select("query", F.col("rearrangement").alias("event"), F.col("seg1").alias("event_id"), "chrom1", "break1", "chrom2", "break2")
     moved = rows.where("event_id % 3 <> 0").withColumns({"break1": F.col("break1") + F.col("event_id") % 120, "event_id": F.col("event_id")})
@@ -672,7 +769,33 @@ def filter_fasta(spark, d):
     return spark_view(spark, d, "sequences").select("name", F.length("seq").cast("bigint").alias("n")).where("n >= 500")
 
 
-@query()
+#: SQL for the amino acids of s from a frame on.
+_AMINO = "array_to_string(list_transform(regexp_extract_all(substr(s, frame + 1), '...'), lambda c: CASE WHEN instr('TCAG', c[1]) * instr('TCAG', c[2]) * instr('TCAG', c[3]) > 0 THEN '" + Q.AMINO_ACIDS + "'[16 * instr('TCAG', c[1]) + 4 * instr('TCAG', c[2]) + instr('TCAG', c[3]) - 20] ELSE 'X' END), '')"
+
+
+@query(
+    ctes("sequences")
+    + f""", strands AS (SELECT name, '+' AS strand, seq AS s FROM sequences UNION ALL SELECT name, '-', translate(reverse(seq), 'ACGT', 'TGCA') FROM sequences),
+    f AS (SELECT name, strand, frame, {_AMINO} AS aa FROM strands, range(3) t(frame)),
+    p AS (SELECT name, strand, frame, unnest(string_split(aa, '*')) AS part FROM f), g AS (SELECT * FROM p WHERE length(part) >= 10)
+    SELECT name, coalesce(n, 0)::INT AS n, longest FROM sequences LEFT JOIN (SELECT name, count(*) AS n, first(part ORDER BY length(part) DESC, strand, frame, part) AS longest FROM g GROUP BY name) USING (name)"""
+)
+def open_reading_frames(spark, d):
+    return U.open_reading_frames(spark_view(spark, d, "sequences"), 10)
+
+
+@query(
+    ctes("sequences")
+    + f""", m AS (SELECT name, seq, length(seq) // 2 AS mid FROM sequences), x AS (SELECT name, seq, length(seq) AS n, mid AS cb1, mid + 1 AS cb2, left(seq, mid + 30) AS cds5, substr(seq, greatest(mid - 30, 1)) AS cds3 FROM m),
+    y AS (SELECT name, 0 AS part, seq AS s FROM x UNION ALL SELECT name, 1, cds5 FROM x UNION ALL SELECT name, 2, cds3 FROM x),
+    z AS (SELECT name, part, '+' AS strand, s FROM y UNION ALL SELECT name, part, '-', translate(reverse(s), 'ACGT', 'TGCA') FROM y),
+    f AS MATERIALIZED (SELECT name, part, strand, frame, {_AMINO} AS aa FROM z, range(3) t(frame)),
+    pr AS (SELECT name, part, string_agg(aa, '*') AS aa FROM f WHERE part > 0 GROUP BY name, part),
+    c AS (SELECT f.name, aa, (CASE WHEN strand = '+' THEN cb1 ELSE n - cb2 + 1 END - frame) // 3 AS l, (CASE WHEN strand = '+' THEN cb2 ELSE n - cb1 + 1 END - frame + 1) // 3 AS r FROM f JOIN x USING (name) WHERE part = 0),
+    w AS (SELECT name, aa[l - 4 : l] AS up, aa[r + 1 : r + 5] AS down FROM c WHERE l >= 5 AND r + 5 <= length(aa) AND NOT contains(aa[l - 4 : r + 5], '*')),
+    g AS (SELECT DISTINCT w.name FROM w JOIN pr u ON u.name = w.name AND u.part = 1 JOIN pr d ON d.name = w.name AND d.part = 2 WHERE (contains(u.aa, up) AND contains(d.aa, down)) OR (contains(d.aa, up) AND contains(u.aa, down)))
+    SELECT name, CASE WHEN seq <> '' AND cds5 <> '' AND cds3 <> '' THEN name IN (SELECT name FROM g) END AS in_frame FROM x"""
+)
 def frame_by_orf(spark, d):
     rows = spark_view(spark, d, "sequences")
     mid = (F.length("seq") / 2).cast("int")
@@ -680,11 +803,6 @@ def frame_by_orf(spark, d):
     return U.frames(parts).select("name", "in_frame")
 
 
-@query()
-def open_reading_frames(spark, d):
-    return U.open_reading_frames(spark_view(spark, d, "sequences"), 10)
-
-
 _REF = "translate(substr(md5(CAST(adj_id AS STRING)), 1, 2), '0123456789abcdef', 'ACGTACGTACGTACGT')"
 
 

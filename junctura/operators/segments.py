@@ -177,7 +177,10 @@ def gapped_indels(segments: DataFrame, sequences: DataFrame, target_sequence: Co
     )
     low = F.least("q1", "q2")
     indel = (F.col("tgap") > 0) & (F.col("qgap") != 0)
-    rows = rows.where(indel | ((F.greatest("tgap", "qgap") >= least_size) & (low >= least_flank) & (F.length("_seq") - F.greatest("q1", "q2") + 1 >= least_flank)))
+    if least_size > 0:
+        rows = rows.where(indel | (F.greatest("tgap", "qgap") >= least_size))
+    if least_flank > 0:
+        rows = rows.where(indel | ((low >= least_flank) & (F.length("_seq") - F.greatest("q1", "q2") + 1 >= least_flank)))
     inserted = F.substr(F.col("_seq"), (low + 1).cast("int"), F.col("qgap").cast("int"))
     removed = target_sequence if target_sequence is not None else F.lit(None).cast("string")
     removed = F.when(forward, removed).otherwise(reverse_complement(removed))
