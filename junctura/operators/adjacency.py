@@ -77,18 +77,33 @@ def number(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     return placed.withColumn("_nth", nth).join(offsets, "_part").select((F.col("_before") + F.col("_nth")).alias(name), *rows.columns)
 
 
-def pair_neighbours(events: DataFrame, by: list[str], order: list[str], pairable: Column, id_col: str = "adj_id") -> DataFrame:
+def pair_neighbours(events: DataFrame, by: list[str], order: list[str], pairable: Column, id_col: str = "adj_id", width: int = 1_000_000) -> DataFrame:
     """Pairs of neighbours, taken greedily from the left: (partition columns, first, second).
 
     ``pairable`` is a condition over this row and the next, whose columns have the prefix ``next_``. Greedy pairing takes, in each
-    run of pairable neighbours, the first, third and so on.
+    run of pairable neighbours, the first, third and so on. Rows are ordered in bins of ``width`` bases of the first of ``order``. What crosses
+    bins, the next bin's first row and how far a run has come, is a row for each bin, so no window holds more than a chromosome's bins.
     """
-    own = Window.partitionBy(*by).orderBy(*order, id_col)
-    rows = events.withColumns({f"next_{c}": F.lead(c).over(own) for c in events.columns if c not in by})
-    rows = rows.withColumn("_flag", F.coalesce(pairable, F.lit(False))).withColumn("_nth", F.row_number().over(own))
-    rows = rows.withColumn("_run", F.sum(F.when(F.col("_flag"), 0).otherwise(1)).over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.where("_flag").withColumn("_in_run", F.row_number().over(Window.partitionBy(*by, "_run").orderBy("_nth")))
-    return rows.where("_in_run % 2 = 1").select(*by, F.col(id_col).alias("first"), F.col(f"next_{id_col}").alias("second"))
+    others = [c for c in events.columns if c not in by]
+    this, key = F.struct(*others), F.struct(*order, id_col)
+    rows = cut(events.withColumn("_bin", F.floor(F.col(order[0]) / width)))
+    bins = Window.partitionBy(*by).orderBy("_bin")
+    following = rows.groupBy(*by, "_bin").agg(F.min_by(this, key).alias("_first")).select(*by, "_bin", F.lead("_first").over(bins).alias("_then"))
+    own = Window.partitionBy(*by, "_bin").orderBy(*order, id_col)
+    rows = rows.join(following, [*by, "_bin"]).withColumn("_next", F.coalesce(F.lead(this).over(own), F.col("_then")))
+    rows = rows.withColumns({f"next_{c}": F.col(f"_next.{c}") for c in others}).withColumn("_flag", F.coalesce(pairable, F.lit(False))).withColumn("_nth", F.row_number().over(own))
+    rows = rows.select(*by, "_bin", id_col, f"next_{id_col}", "_flag", "_nth", F.sum(F.when(F.col("_flag"), 0).otherwise(1)).over(own.rowsBetween(Window.unboundedPreceding, 0)).alias("_run"))
+    rows = cut(rows)
+    # Of each bin: whether all its rows continue one run, and how many at its end do; then how many the run has that enters a bin.
+    last = F.max(F.struct("_run", "_nth"))
+    ends = rows.groupBy(*by, "_bin").agg(last["_run"].alias("_runs"), last["_nth"].alias("_n"), F.max(F.when(~F.col("_flag"), F.col("_nth"))).alias("_stop"))
+    ends = ends.select(*by, "_bin", (F.col("_runs") > 0).alias("_cuts"), (F.col("_n") - F.coalesce("_stop", F.lit(0))).alias("_tail"))
+    ends = ends.withColumn("_since", F.sum(F.col("_cuts").cast("int")).over(bins.rowsBetween(Window.unboundedPreceding, 0)))
+    sofar = F.sum("_tail").over(Window.partitionBy(*by, "_since").orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0))
+    enters = ends.withColumn("_sofar", sofar).select(*by, "_bin", F.coalesce(F.lag("_sofar").over(bins), F.lit(0)).alias("_enters"))
+    rows = rows.where("_flag").withColumn("_in_run", F.row_number().over(Window.partitionBy(*by, "_bin", "_run").orderBy("_nth"))).join(enters, [*by, "_bin"])
+    odd = (F.col("_in_run") + F.when(F.col("_run") == 0, F.col("_enters")).otherwise(0)) % 2 == 1
+    return rows.where(odd).select(*by, F.col(id_col).alias("first"), F.col(f"next_{id_col}").alias("second"))
 
 
 def _opposite(x: str, y: str, kinds: list[tuple[str, str]]) -> Column:
