@@ -981,3 +981,31 @@ def annotation_union(spark, d):
     parts = {f"s{n}": rows.where(F.col("tid").cast("bigint") % 3 == n) for n in range(3)}
     both = [E.annotated(parts, kind).select(F.lit(kind).alias("kind"), "chrom", "start", "end", F.array_join("sources", ",").alias("sources")) for kind in ("exon", "junction")]
     return both[0].union(both[1])
+
+
+@query(
+    ctes("segments")
+    + """, m AS (SELECT query, query_len, seg_id, qstart, qend, coalesce(max(qend) OVER (PARTITION BY query ORDER BY qstart, qend, seg_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS reached FROM segments WHERE mapq % 3 > 0),
+    g AS (SELECT query, reached + 1 AS start, qstart - 1 AS stop FROM m WHERE qstart > reached + 1 UNION ALL SELECT query, max(qend) + 1, max(query_len) FROM m GROUP BY query HAVING max(qend) < max(query_len))
+    SELECT query, start, stop FROM g"""
+)
+def uncovered_spans(spark, d):
+    rows = _segments(spark, d).where("mapq % 3 > 0").groupBy("query").agg(F.max("query_len").alias("n"), F.collect_list(F.struct(F.col("qstart").alias("start"), F.col("qend").alias("end"))).alias("spans"))
+    return rows.select("query", F.explode(C.uncovered(F.col("spans"), F.lit(1), F.col("n"))).alias("g")).select("query", "g.start", F.col("g.end").alias("stop"))
+
+
+@query(
+    ctes("items")
+    + f""", ev AS ({_AGREE}), o AS ({_OTHER}), u AS (SELECT query, gene FROM o UNION SELECT query, gene1 FROM ev UNION SELECT query, gene2 FROM ev)
+    SELECT query, string_agg(gene, ',' ORDER BY gene) AS genes FROM u GROUP BY query"""
+)
+def mapped_genes(spark, d):
+    events = spark.sql(_AGREE.replace("FROM items", "FROM {items}"), items=spark_view(spark, d, "items"))
+    other = spark.sql(_OTHER.replace("FROM orders", "FROM {orders}"), orders=spark.read.parquet(f"{d}/orders.parquet"))
+    return U.genes_of(other, events).select("query", F.array_join("genes", ",").alias("genes"))
+
+
+@query(ctes("segments", "sequences") + "SELECT seg_id, substr(seq, qstart, qend - qstart + 1) AS aligned FROM segments JOIN sequences ON name = query")
+def aligned_sequences(spark, d):
+    rows = _segments(spark, d).join(spark_view(spark, d, "sequences").withColumnRenamed("name", "query"), "query")
+    return rows.select("seg_id", C.aligned_seq(F.col("seq"), F.col("qstart"), F.col("qend")).alias("aligned"))

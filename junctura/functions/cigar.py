@@ -106,3 +106,23 @@ def clipped_ends(seq: Column, qstart: Column, qend: Column, least: int = 15) ->
     start = F.struct(F.lit("start").alias("side"), F.left(seq, (qstart - 1).cast("int")).alias("seq"))
     end = F.struct(F.lit("end").alias("side"), F.substr(seq, (qend + 1).cast("int")).alias("seq"))
     return F.filter(F.array(start, end), lambda x: (F.length(x["seq"]) >= least) & ~is_homopolymer_fragment(x["seq"]))
+
+
+def aligned_seq(seq: Column, qstart: Column, qend: Column) -> Column:
+    """What an alignment covers of its contig."""
+    return F.substr(seq, qstart.cast("int"), (qend - qstart + 1).cast("int"))
+
+
+def uncovered(spans: Column, start: Column, end: Column) -> Column:
+    """The parts (start, end) of a range that no span covers, in order; spans may overlap, touch, or lie outside."""
+    kind = "array<struct<start: bigint, end: bigint>>"
+    span = lambda a, b: F.struct(a.cast("bigint").alias("start"), b.cast("bigint").alias("end"))
+    zero = F.struct(start.cast("bigint").alias("next"), F.array().cast(kind).alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        low = F.least(x["start"] - 1, end)
+        out = F.when(low >= acc["next"], F.concat(acc["out"], F.array(span(acc["next"], low)))).otherwise(acc["out"])
+        return F.struct(F.greatest(acc["next"], x["end"] + 1).cast("bigint").alias("next"), out.cast(kind).alias("out"))
+
+    ordered = F.array_sort(F.transform(spans, lambda x: span(x["start"], x["end"])))
+    return F.aggregate(ordered, zero, step, lambda acc: F.when(acc["next"] <= end, F.concat(acc["out"], F.array(span(acc["next"], end)))).otherwise(acc["out"]))

@@ -139,6 +139,12 @@ def mapping_states(mappings: DataFrame) -> DataFrame:
     return rows.select("query", "genes", F.when((F.col("_n") == 1) & F.col("_whole"), "full").otherwise("partial").alias("state"))
 
 
+def genes_of(mappings: DataFrame, events: DataFrame) -> DataFrame:
+    """(query, genes): all genes that a contig's alignments map to (query, gene) or its events join (query, gene1, gene2), as a sorted set."""
+    both = events.select("query", F.explode(F.array("gene1", "gene2")).alias("gene"))
+    return mappings.select("query", "gene").union(both).where("gene is not null").groupBy("query").agg(F.array_sort(F.collect_set("gene")).alias("genes"))
+
+
 def agreeing(events: DataFrame, external: DataFrame) -> DataFrame:
     """Events that another mapping of their contigs does not speak against. An event of several genes goes if its contig maps wholly to one gene
     there, or to none of the event's genes. ``events``: query, genes (array); ``external``: query, genes, state (see ``mapping_states``)."""

@@ -77,7 +77,7 @@ def events(segments: DataFrame, transcripts: DataFrame, contigs: DataFrame, on_g
     pairs = S.junction_sequences(S.classify(S.consecutive(spans), sort=False, transcript=True), contigs)
     rows = located_on_genome(pairs, segments, transcripts) if on_genome else located(pairs, transcripts)
     if external is not None:
-        rows = U.agreeing(rows.withColumn("genes", F.array("gene1", "gene2")), external).drop("genes")
+        rows = U.agreeing(rows.join(U.genes_of(rows.select("query", F.col("gene1").alias("gene")), rows), "query"), external).drop("genes")
     seqs = contigs.select(F.col("name").alias("_name"), F.col("seq").alias("_seq"))
     rows = rows.join(seqs, F.col("query") == F.col("_name")).withColumn("probe", balanced_probe(F.col("_seq"), F.col("cb1"), F.col("cb2"))).drop("_name", "_seq")
     fusion = F.col("gene1") != F.col("gene2")
