@@ -39,6 +39,8 @@ _BREAK = b"\xff"  # no byte of UTF-8
 _UPPER, _LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 _ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
 _PLAIN = bytes.maketrans(_UPPER + _ENDS + b"\t", _LOWER + b"\n" * len(_ENDS) + b" ")
+#: Odd, so that no two places of up to 64 words turn alike.
+_TURN = 21
 _COUNTED = "lang string, phrase string, n long"
 
 
@@ -49,10 +51,17 @@ def words_of(texts: list[bytes]) -> tuple[np.ndarray, pa.Array]:
     return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
 
 
-def hashes(lang: bytes, keys: pa.Array) -> np.ndarray:
-    """As Spark's xxhash64(lang, phrase)."""
+def hashes(lang: bytes, words: pa.Array) -> np.ndarray:
+    """As Spark's xxhash64(lang, word)."""
     seed, of = xxhash.xxh64_intdigest(lang, 42), xxhash.xxh64_intdigest
-    return np.fromiter((of(k, seed) for k in keys.to_pylist()), np.uint64, len(keys))
+    return np.fromiter((of(k, seed) for k in words.to_pylist()), np.uint64, len(words))
+
+
+def turned(h: np.ndarray, place: int) -> np.ndarray:
+    """Hashes of words at a place of a phrase: rotated left by _TURN bits for each place. A phrase's hash is the sum of these, bit by bit
+    without carry."""
+    k = _TURN * place % 64
+    return (h << np.uint64(k)) | (h >> np.uint64(64 - k)) if k else h
 
 
 def may_hold(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -65,8 +74,13 @@ def may_hold(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def filter_of(rows: DataFrame, power: int = FILTER) -> np.ndarray:
-    """A filter of 2 ** power bits over (lang, phrase), two bits a key."""
-    h, mask = F.xxhash64("lang", "phrase"), F.lit((1 << power) - 1)
+    """A filter of 2 ** power bits over (lang, phrase), two bits a key, by the hashes that ``phrases_of`` makes of its words."""
+    def turn(w: Column, place: Column) -> Column:
+        h, k = F.xxhash64("lang", w), (place * _TURN % 64).cast("int")
+        return F.expr("cast(0 as bigint)").bitwiseXOR(F.call_function("shiftleft", h, k).bitwiseOR(F.when(k > 0, F.call_function("shiftrightunsigned", h, 64 - k)).otherwise(F.lit(0).cast("bigint"))))
+
+    parts, mask = F.transform(F.split("phrase", " "), turn), F.lit((1 << power) - 1)
+    h = F.aggregate(parts, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(x))
     spots = rows.select(F.explode(F.array(h.bitwiseAND(mask), F.shiftrightunsigned(h, 32).bitwiseAND(mask))).alias("spot"))
     blocks = spots.groupBy(F.floor(F.col("spot") / _BLOCK).cast("int").alias("block")).agg(F.bitmap_construct_agg(F.col("spot") % _BLOCK).alias("bits"))
     out = np.zeros((max(1, (1 << power) // _BLOCK), _BLOCK // 8), np.uint8)
@@ -81,14 +95,18 @@ def phrases_of(texts: list[bytes], lang: bytes, filters: list[np.ndarray]) -> tu
     names, n = words, np.bincount(ids, minlength=len(words))
     n[0] = 0
     at = np.where(ids > 0, ids, -1).astype(np.int64)
+    own_hash = hashes(lang, words) if filters else np.zeros(0, np.uint64)
+    h = own_hash
     for level, bits in enumerate(filters, 1):
         if not len(names):
             break
-        safe = may_hold(bits, hashes(lang, names))
+        safe = may_hold(bits, h)
         at = np.where((at >= 0) & safe[at], at, -1)
         both = np.flatnonzero((at[:-1] >= 0) & (at[1:] >= 0))
         own, which, n = np.unique(at[both] * len(words) + ids[both + level], return_inverse=True, return_counts=True)
-        names = pc.binary_join_element_wise(names.take(pa.array(own // len(words))), words.take(pa.array(own % len(words))), b" ")
+        first, last = own // len(words), own % len(words)
+        names = pc.binary_join_element_wise(names.take(pa.array(first)), words.take(pa.array(last)), b" ")
+        h = h[first] ^ turned(own_hash, level)[last]
         at = np.full(max(0, len(at) - 1), -1)
         at[both] = which
     some = n > 0
