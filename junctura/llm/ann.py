@@ -9,7 +9,8 @@ Of identical vectors in a tile only the k + 1 smallest ids are searched, the mos
 
 Defined cases: vectors that are null, zero, or hold a null or a component that is not finite take no part; vectors of other
 lengths than the query's are no candidates; a query never finds its own row, but repeated rows of one id are candidates of other
-queries once each; a null id takes no part; fewer than k candidates give as many rows; an empty table gives an empty result.
+queries once each; a null id takes no part; fewer than k candidates give as many rows; other columns are
+ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -13,7 +13,7 @@ ranges' sums (a row for RANGE_ROWS rows) are summed in one task each. Rows of on
 
 Defined cases: a null text has size 0; sources are ordered by code point with null last and weighted by that order; documents
 of size 0 are taken 0 words; repeated rows queue one after the other and get a row each; a null id shuffles as an id of its own;
-an empty table gives an empty result.
+very long texts count whole; other columns do not matter, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations

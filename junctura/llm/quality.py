@@ -4,7 +4,7 @@ Every rule is evaluated once for each text: the ledger holds the measurements an
 version with a mask of the rules that it applies, so verdicts under any policy, and what each rule alone decides, are bitwise
 work on the ledger and need no second pass over the texts.
 
-Defined cases: a null text has no words, like an empty one; repeated rows each get a row; other columns are ignored; an empty
+Defined cases: a null text has no words, like an empty one; repeated rows each get a row; very long texts are measured whole; other columns are ignored; an empty
 table gives an empty ledger.
 """
 

@@ -7,7 +7,7 @@ returns a spanning forest of the links (never all pairs). Keys with more than ``
 pair of cells is a group of its own, so no group holds more than about two cells.
 
 Defined cases: a null text has no words, hence fingerprint zero, like an empty one; repeated rows each get a row; null ids
-count as no id (a component of null ids only has a null component_id); other columns are ignored; an empty table gives an
+count as no id (a component of null ids only has a null component_id); very long texts count whole; other columns are ignored; an empty table gives an
 empty result.
 """
 
