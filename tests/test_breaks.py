@@ -140,3 +140,22 @@ def test_sub_sequences_of_the_best_contig(spark):
     pieces = U.sub_sequences(events, contigs).drop("query").join(hits, ["event_id", "piece"])
     found = events.select("event_id").distinct()
     assert sorted(r.event_id for r in fusion.unique_events(found, pieces).collect()) == [2, 3, 4]
+
+
+def test_probes_that_speak_against_events(spark):
+    events = spark.createDataFrame([(1, "fusion", None, "A", "B"), (2, "fusion", None, "A", "B"), (3, "fusion", None, "A", "B"), (4, "del", 6, "A", "A"), (5, "ins", 4, "A", "A"), (6, "dup", 4, "A", "A")], "event_id bigint, event string, size int, gene1 string, gene2 string")
+    probes = [(1, "chr1", 100, 199, 98, 100, 1, []), (2, "chr5", 100, 199, 95, 100, 5, []), (3, "chr1", 100, 199, 95, 100, 5, []), (4, "chr1", 100, 199, 94, 100, 6, [6]), (5, "chr1", 100, 199, 96, 100, 4, [3]), (6, "chr1", 100, 199, 98, 100, 0, [])]
+    found = spark.createDataFrame(probes, "event_id bigint, target string, tstart bigint, tend bigint, matched int, length int, nm int, indel_sizes array<int>")
+    genes = spark.createDataFrame([("A", "chr1", 230, 400), ("B", "chr2", 1, 50)], "gene string, chrom string, start bigint, end bigint")
+    assert sorted(r.event_id for r in U.explained_probes(events, found, genes).collect()) == [1, 2, 5]
+
+
+def test_read_through_of_one_alignment(spark):
+    codes = "array<array<struct<exon: int, code: string>>>"
+    rows = [
+        (1, "k", "A", "ta", [[(0, "==")], [(1, "==")], None, None], [(1, 50, 1, 50), (101, 150, 51, 100), (501, 550, 101, 150), (601, 650, 151, 200)]),
+        (1, "k", "B", "tb", [None, None, [(0, "==")], [(1, "==")]], [(1, 50, 1, 50), (101, 150, 51, 100), (501, 550, 101, 150), (601, 650, 151, 200)]),
+        (2, "m", "A", "ta", [[(0, "==")], [(1, "==")]], [(1, 50, 1, 50), (101, 150, 51, 100)]),
+    ]
+    mapped = spark.createDataFrame(rows, f"seg_id bigint, query string, gene string, tid string, codes {codes}, blocks {BLOCK}")
+    assert [tuple(r) for r in U.read_through_alignments(mapped).collect()] == [(1, "k", "A", "B", 150, 501)]
