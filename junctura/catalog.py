@@ -139,7 +139,7 @@ def _with_spans(spark, d):
     rows = rows.withColumns({"seq_no": F.col("seg1"), "span1_start": pick("s1", "s2"), "span1_end": pick("e1", "e2"), "span2_start": pick("s2", "s1"), "span2_end": pick("e2", "e1")})
     spans = ["span1_start", "span1_end", "span2_start", "span2_end"]
     out = A.merge(rows, extra=spans).withColumn("dubious", F.lit(False))
-    return out.withColumns({c: F.get("members", F.lit(0))[c] for c in spans})
+    return out.withColumns({c: F.get("members", F.lit(0))[c] for c in ["contig", *spans]})
 
 
 # SQL of insertions and of the assembly of variants. Greedy choice in SQL: rounds that take what no live candidate before it touches.
@@ -148,7 +148,7 @@ _SPANNED = (
     + """, sided AS (SELECT c.*, CASE WHEN swapped THEN b.tstart ELSE a.tstart END AS s1, CASE WHEN swapped THEN b.tend ELSE a.tend END AS e1, CASE WHEN swapped THEN a.tstart ELSE b.tstart END AS s2, CASE WHEN swapped THEN a.tend ELSE b.tend END AS e2
       FROM classified c JOIN segments a ON a.seg_id = seg1 JOIN segments b ON b.seg_id = seg2),
 ws AS MATERIALIZED (SELECT row_number() OVER (ORDER BY rearrangement, chrom1, break1, orient1, chrom2, break2, orient2) AS adj_id, rearrangement, chrom1, break1, orient1, chrom2, break2, orient2,
-      arg_min(s1, seg1) AS span1_start, arg_min(e1, seg1) AS span1_end, arg_min(s2, seg1) AS span2_start, arg_min(e2, seg1) AS span2_end FROM sided GROUP BY rearrangement, chrom1, break1, orient1, chrom2, break2, orient2)"""
+      arg_min(query, seg1) AS contig, arg_min(s1, seg1) AS span1_start, arg_min(e1, seg1) AS span1_end, arg_min(s2, seg1) AS span2_start, arg_min(e2, seg1) AS span2_end FROM sided GROUP BY rearrangement, chrom1, break1, orient1, chrom2, break2, orient2)"""
 )
 
 
@@ -172,17 +172,17 @@ def _between_sql(src: str, name: str, first: bool, most: int = 500) -> str:
 
 
 def _imprecise_sql(src: str, name: str, most: int = 50) -> str:
-    """CTEs up to ``name`` (i, j, t1, t2): what imprecise_insertions takes from the events ``src``."""
-    side = lambda t, o: f"SELECT adj_id AS id, {t} AS t, chrom{t} AS tc, break{t} AS tp, orient{t} AS tor, chrom{o} AS sc, break{o} AS sp, orient{o} AS so, span{t}_start AS ts FROM {src}"
+    """CTEs up to ``name`` (i, j, t1, t2, chrom, pos1, pos2, insertion_size): what imprecise_insertions takes from the events ``src``."""
+    side = lambda t, o: f"SELECT adj_id AS id, {t} AS t, chrom{t} AS tc, break{t} AS tp, orient{t} AS tor, chrom{o} AS sc, break{o} AS sp, orient{o} AS so, span{t}_start AS ts, contig FROM {src}"
     faces = lambda x, y: f"({x}.ts < {y}.ts AND {x}.tor = 'L' AND {y}.tor = 'R' AND (({x}.sp < {y}.sp AND {x}.so = 'R' AND {y}.so = 'L') OR ({x}.sp > {y}.sp AND {x}.so = 'L' AND {y}.so = 'R')))"
     return f""", {name}_s AS MATERIALIZED ({side(1, 2)} UNION ALL {side(2, 1)}),
-{name}_c AS MATERIALIZED (SELECT a.id AS i, b.id AS j, a.t AS t1, b.t AS t2, row_number() OVER (ORDER BY a.id, b.id) AS k FROM {name}_s a JOIN {_near(name + "_s", "tp", most)} b ON a.tc = b.tc AND a.tp // {most} = b.bin
-  WHERE abs(a.tp - b.tp) <= {most} AND a.id < b.id AND a.tor <> b.tor AND (a.sc <> b.sc OR (abs(a.sp - b.sp) > {most} AND ({faces("a", "b")} OR {faces("b", "a")}))) QUALIFY row_number() OVER (PARTITION BY a.id, b.id ORDER BY a.t DESC, b.t DESC) = 1),
-{name}_r AS (SELECT i, j, k, false AS taken FROM {name}_c UNION ALL SELECT i, j, k, taken FROM (
-  WITH live AS (SELECT i, j, k FROM {name}_r WHERE NOT taken), low AS (SELECT x, min(k) AS m FROM (SELECT i AS x, k FROM live UNION ALL SELECT j, k FROM live) GROUP BY x),
-  ok AS (SELECT l.* FROM live l JOIN low a ON a.x = l.i AND a.m = l.k JOIN low b ON b.x = l.j AND b.m = l.k), used AS (SELECT i AS x FROM ok UNION SELECT j FROM ok)
-  SELECT i, j, k, true AS taken FROM ok UNION ALL SELECT i, j, k, false FROM live WHERE i NOT IN (SELECT x FROM used) AND j NOT IN (SELECT x FROM used))),
-{name} AS MATERIALIZED (SELECT c.i, c.j, t1, t2 FROM {name}_c c JOIN {name}_r r ON r.k = c.k AND taken)"""
+{name}_c AS MATERIALIZED (SELECT a.id AS i, b.id AS j, a.t AS t1, b.t AS t2, a.contig AS x, b.contig AS y, a.tc AS chrom, least(a.tp, b.tp) AS pos1, greatest(a.tp, b.tp) AS pos2, CASE WHEN a.sc = b.sc THEN abs(a.sp - b.sp) + 1 END AS insertion_size, row_number() OVER (ORDER BY a.id, b.id) AS k FROM {name}_s a JOIN {_near(name + "_s", "tp", most)} b ON a.tc = b.tc AND a.tp // {most} = b.bin
+  WHERE abs(a.tp - b.tp) <= {most} AND a.id < b.id AND a.contig <> b.contig AND a.tor <> b.tor AND (a.sc <> b.sc OR (abs(a.sp - b.sp) > {most} AND ({faces("a", "b")} OR {faces("b", "a")}))) QUALIFY row_number() OVER (PARTITION BY a.id, b.id ORDER BY a.t DESC, b.t DESC) = 1),
+{name}_r AS (SELECT x, y, k, false AS taken FROM {name}_c UNION ALL SELECT x, y, k, taken FROM (
+  WITH live AS (SELECT x, y, k FROM {name}_r WHERE NOT taken), low AS (SELECT c, min(k) AS m FROM (SELECT x AS c, k FROM live UNION ALL SELECT y, k FROM live) GROUP BY c),
+  ok AS (SELECT l.* FROM live l JOIN low a ON a.c = l.x AND a.m = l.k JOIN low b ON b.c = l.y AND b.m = l.k), used AS (SELECT x AS c FROM ok UNION SELECT y FROM ok)
+  SELECT x, y, k, true AS taken FROM ok UNION ALL SELECT x, y, k, false FROM live WHERE x NOT IN (SELECT c FROM used) AND y NOT IN (SELECT c FROM used))),
+{name} AS MATERIALIZED (SELECT c.* FROM {name}_c c JOIN {name}_r r ON r.k = c.k AND taken)"""
 
 
 def _neighbours_sql(src: str, name: str, condition: str) -> str:
@@ -200,7 +200,7 @@ def interchrom_insertions(spark, d):
     return A.insertions_between(_with_spans(spark, d).where("rearrangement = 'trl'"))
 
 
-@query(_TRL + _imprecise_sql("trl", "got") + "SELECT i AS adj1, j AS adj2, t1, t2 FROM got")
+@query(_TRL + _imprecise_sql("trl", "got") + "SELECT i AS adj1, j AS adj2, t1, t2, chrom, pos1, pos2, insertion_size FROM got")
 def imprecise_insertions(spark, d):
     return A.imprecise_insertions(_with_spans(spark, d).where("rearrangement = 'trl'"))
 
@@ -211,18 +211,21 @@ def _left_sql(src: str, used: str, name: str) -> str:
 
 @query(
     _SPANNED
-    + _between_sql("ws", "v1", True) + _left_sql("ws", "SELECT i FROM v1 UNION ALL SELECT j FROM v1", "r1")
-    + _between_sql("r1", "v2", False) + _left_sql("r1", "SELECT i FROM v2 UNION ALL SELECT j FROM v2", "r2")
-    + _imprecise_sql("r2", "v3") + _left_sql("r2", "SELECT i FROM v3 UNION ALL SELECT j FROM v3", "r3")
-    + ", i3 AS (SELECT adj_id, chrom1, break1, chrom2, break2, orient1 || orient2 AS o FROM r3 WHERE rearrangement = 'inv')"
-    + _neighbours_sql("i3", "v4", "nb1 - break1 <= 25 AND no <> o AND o IN ('LL', 'RR') AND no IN ('LL', 'RR')") + _left_sql("r3", "SELECT first FROM v4 UNION ALL SELECT second FROM v4", "r4")
-    + ", t4 AS (SELECT adj_id, chrom1, break1, chrom2, break2, orient1 || orient2 AS o FROM r4 WHERE rearrangement = 'trl')"
-    + _neighbours_sql("t4", "v5", "nc2 = chrom2 AND abs(nb1 - break1) <= 10000 AND abs(nb2 - break2) <= 10000 AND o || no IN ('LRRL', 'RLLR', 'LLRR', 'RRLL')") + _left_sql("r4", "SELECT first FROM v5 UNION ALL SELECT second FROM v5", "r5")
-    + """SELECT i || '-' || j AS variant_id, 'INS' AS event, chrom, pos1 AS pos, i || ',' || j AS adj_ids FROM (SELECT * FROM v1 UNION ALL SELECT * FROM v2)
-    UNION ALL SELECT i || '-' || j, 'INS', CASE WHEN t1 = 1 THEN chrom1 ELSE chrom2 END, CASE WHEN t1 = 1 THEN break1 ELSE break2 END, i || ',' || j FROM v3 JOIN ws ON adj_id = i
-    UNION ALL SELECT CASE WHEN o = 'LL' THEN first || '-' || second ELSE second || '-' || first END, 'INV', chrom1, NULL, CASE WHEN o = 'LL' THEN first || ',' || second ELSE second || ',' || first END FROM v4
-    UNION ALL SELECT first || '-' || second, 'TRL', chrom1, NULL, first || ',' || second FROM v5
-    UNION ALL SELECT adj_id::VARCHAR, upper(rearrangement), chrom1, break1, adj_id::VARCHAR FROM r5"""
+    + ", e1 AS (SELECT * FROM ws WHERE rearrangement NOT IN ('trl', 'ins'))"
+    + _between_sql("e1", "v1", True) + _left_sql("ws", "SELECT i FROM v1 UNION ALL SELECT j FROM v1", "r1") + ", e2 AS (SELECT * FROM r1 WHERE rearrangement NOT IN ('trl', 'ins'))"
+    + _between_sql("e2", "v2", False) + _left_sql("r1", "SELECT i FROM v2 UNION ALL SELECT j FROM v2", "r2") + ", e3 AS (SELECT * FROM r2 WHERE rearrangement <> 'inv')"
+    + _imprecise_sql("e3", "v3") + _left_sql("r2", "SELECT i FROM v3 UNION ALL SELECT j FROM v3", "r3")
+    + ", i4 AS (SELECT adj_id, chrom1, break1, chrom2, break2, orient1 || orient2 AS o FROM r3 WHERE rearrangement = 'inv')"
+    + _neighbours_sql("i4", "v4", "nb1 - break1 <= 25 AND no <> o AND o IN ('LL', 'RR') AND no IN ('LL', 'RR')") + _left_sql("r3", "SELECT first FROM v4 UNION ALL SELECT second FROM v4", "r4")
+    + ", e5 AS (SELECT * FROM r4 WHERE rearrangement = 'trl')" + _between_sql("e5", "v5", True) + _left_sql("r4", "SELECT i FROM v5 UNION ALL SELECT j FROM v5", "r5")
+    + ", e6 AS (SELECT * FROM r5 WHERE rearrangement = 'trl')" + _between_sql("e6", "v6", False) + _left_sql("r5", "SELECT i FROM v6 UNION ALL SELECT j FROM v6", "r6")
+    + ", t7 AS (SELECT adj_id, chrom1, break1, chrom2, break2, orient1 || orient2 AS o FROM r6 WHERE rearrangement = 'trl')"
+    + _neighbours_sql("t7", "v7", "nc2 = chrom2 AND abs(nb1 - break1) <= 10000 AND abs(nb2 - break2) <= 10000 AND o || no IN ('LRRL', 'RLLR', 'LLRR', 'RRLL')") + _left_sql("r6", "SELECT first FROM v7 UNION ALL SELECT second FROM v7", "r7")
+    + """SELECT i || '-' || j AS variant_id, 'INS' AS event, chrom, pos1 AS pos, i || ',' || j AS adj_ids, pos2, insertion_size
+      FROM (FROM v1 UNION ALL FROM v2 UNION ALL FROM v5 UNION ALL FROM v6 UNION ALL SELECT i, j, chrom, pos1, pos2, insertion_size FROM v3)
+    UNION ALL SELECT CASE WHEN o = 'LL' THEN first || '-' || second ELSE second || '-' || first END, 'INV', chrom1, NULL, CASE WHEN o = 'LL' THEN first || ',' || second ELSE second || ',' || first END, NULL, NULL FROM v4
+    UNION ALL SELECT first || '-' || second, 'TRL', chrom1, NULL, first || ',' || second, NULL, NULL FROM v7
+    UNION ALL SELECT adj_id::VARCHAR, upper(rearrangement), chrom1, break1, adj_id::VARCHAR, NULL, NULL FROM r7"""
 )
 def assemble_variants(spark, d):
     rows = V.assemble(_with_spans(spark, d))

@@ -129,28 +129,27 @@ def pair_translocations(events: DataFrame, most: int = 10_000) -> DataFrame:
     return found.select("chrom1", F.col("first").alias("adj1"), F.col("second").alias("adj2"))
 
 
-def _first_come(candidates: DataFrame, each_once: bool) -> DataFrame:
-    """Takes candidate pairs (i, j) in order, each i with every free j, or each once. Pairs of different connected components do not touch
-    each other, so each component is a group of its own: a cluster of breakpoints that chain within the distance of the band join."""
+def _first_come(candidates: DataFrame, each_once: bool, ends: tuple[str, str] = ("i", "j")) -> DataFrame:
+    """Takes candidate pairs (i, j) in order, each i with every free j, or each once. What a pair uses up is its ``ends``. Pairs of different
+    connected components do not touch each other, so each component is a group of its own: a cluster of breakpoints that chain within the
+    distance of the band join."""
+    x, y = ends
 
     def run(rows):
-        used, kept = set(), []
-        by: dict[int, list[tuple[int, int]]] = {}
-        for n, (i, j) in enumerate(zip(rows["i"], rows["j"], strict=True)):
-            by.setdefault(i, []).append((j, n))
-        for i in sorted(by):
-            if i in used:
+        used, taker, kept = set(), None, []
+        pairs = list(zip(rows["i"], rows["j"], rows[x], rows[y], strict=True))
+        for n in sorted(range(len(pairs)), key=lambda n: pairs[n][:2]):
+            i, _, a, b = pairs[n]
+            if b in used or (a in used and (each_once or taker != i)):
                 continue
-            for j, n in sorted(by[i]):
-                if j in used or (each_once and i in used):
-                    continue
-                used.update((i, j))
-                kept.append(n)
+            used.update((a, b))
+            taker = i
+            kept.append(n)
         return rows.iloc[kept]
 
     known = cut(candidates)
-    roots = components(known, "i", "j").select(F.col("node").alias("i"), "root")
-    dealt = known.join(roots, "i")
+    roots = components(known, x, y).select(F.col("node").alias(x), "root")
+    dealt = known.join(roots, x)
     return dealt.groupBy("root").applyInPandas(run, dealt.schema).drop("root")
 
 
@@ -173,13 +172,16 @@ def insertions_between(events: DataFrame, first: bool = True, most: int = 500) -
 
 def imprecise_insertions(events: DataFrame, most: int = 50) -> DataFrame:
     """Pairs of adjacencies that meet within ``most`` bases at a target with other orientations, and whose sources either lie on other
-    chromosomes, or on one, further apart and facing each other: (adj1, adj2, t1, t2). Each adjacency is used once, earlier ids first."""
+    chromosomes, or on one, further apart and facing each other: (adj1, adj2, t1, t2, chrom, pos1, pos2, insertion_size), the target's breaks
+    in order and the size null for sources on different chromosomes. Each ``contig``, the first one of an adjacency, is used once and never with
+    itself, earlier ids first; without that column each adjacency is used once."""
+    own = F.col("contig") if "contig" in events.columns else F.col("adj_id")
     sides = []
     for t, s in (("1", "2"), ("2", "1")):
-        sides.append(events.select("adj_id", F.lit(int(t)).alias("t"), F.col(f"chrom{t}").alias("tc"), F.col(f"break{t}").alias("tp"), F.col(f"orient{t}").alias("to"), F.col(f"chrom{s}").alias("sc"), F.col(f"break{s}").alias("sp"), F.col(f"orient{s}").alias("so"), F.col(f"span{t}_start").alias("ts")))
+        sides.append(events.select("adj_id", F.lit(int(t)).alias("t"), F.col(f"chrom{t}").alias("tc"), F.col(f"break{t}").alias("tp"), F.col(f"orient{t}").alias("to"), F.col(f"chrom{s}").alias("sc"), F.col(f"break{s}").alias("sp"), F.col(f"orient{s}").alias("so"), F.col(f"span{t}_start").alias("ts"), own.alias("own")))
     both = sides[0].union(sides[1])
     side = lambda p: both.select(*[F.col(c).alias(f"{p}_{c}") for c in both.columns])
-    pairs = band_join(side("a"), side("b"), [("a_tc", "b_tc")], "a_tp", "b_tp", most).where("a_adj_id < b_adj_id and a_to <> b_to")
+    pairs = band_join(side("a"), side("b"), [("a_tc", "b_tc")], "a_tp", "b_tp", most).where("a_adj_id < b_adj_id and a_to <> b_to and a_own <> b_own")
 
     def faces(x: str, y: str) -> Column:
         c = lambda p, n: F.col(f"{p}_{n}")
@@ -189,8 +191,12 @@ def imprecise_insertions(events: DataFrame, most: int = 50) -> DataFrame:
     same = (F.col("a_sc") == F.col("b_sc")) & (F.abs(F.col("a_sp") - F.col("b_sp")) > most) & (faces("a", "b") | faces("b", "a"))
     kept = pairs.where((F.col("a_sc") != F.col("b_sc")) | same)
     first = F.row_number().over(Window.partitionBy("a_adj_id", "b_adj_id").orderBy(F.desc("a_t"), F.desc("b_t")))
-    found = kept.withColumn("_n", first).where("_n = 1").select(F.col("a_adj_id").alias("i"), F.col("b_adj_id").alias("j"), F.col("a_t").alias("t1"), F.col("b_t").alias("t2"))
-    return _first_come(found, each_once=True).select(F.col("i").alias("adj1"), F.col("j").alias("adj2"), "t1", "t2")
+    size = F.when(F.col("a_sc") == F.col("b_sc"), F.abs(F.col("a_sp") - F.col("b_sp")) + 1)
+    found = kept.withColumn("_n", first).where("_n = 1").select(
+        F.col("a_adj_id").alias("i"), F.col("b_adj_id").alias("j"), F.col("a_own").alias("x"), F.col("b_own").alias("y"), F.col("a_t").alias("t1"), F.col("b_t").alias("t2"), F.col("a_tc").alias("chrom"),
+        F.least("a_tp", "b_tp").alias("pos1"), F.greatest("a_tp", "b_tp").alias("pos2"), size.alias("insertion_size"),
+    )
+    return _first_come(found, each_once=True, ends=("x", "y")).select(F.col("i").alias("adj1"), F.col("j").alias("adj2"), "t1", "t2", "chrom", "pos1", "pos2", "insertion_size")
 
 
 def sound_variants(variants: DataFrame, events: DataFrame, most_homology: int = 25) -> DataFrame:

@@ -28,14 +28,20 @@ def bare(chrom: Column) -> Column:
     return F.regexp_replace(chrom, "^[chr]+", "")
 
 
-def breakends(events: DataFrame) -> DataFrame:
+def breakends(events: DataFrame, most_novel: int = 50) -> DataFrame:
     """Two records for each adjacency: adj_id, chrom1, break1, orient1, chrom2, break2, orient2, ref1, ref2, novel_seq, strand1, strand2, homol_seq,
-    overlaps (the contig spans do), contigs, spanning, flanking. With homology the first place moves left by its length, the other's right."""
+    overlaps (the contig spans do), contigs, spanning, flanking. With homology the first place moves left by its length, the other's right.
+    Where contig, cb1 and cb2 (of the first contig) are there, novel sequences of more than ``most_novel`` bases are not spelled out: the mates are the contig's bases
+    next to the breaks."""
     c = F.col
+    long = F.coalesce(F.length("novel_seq") > most_novel, F.lit(False)) if {"contig", "cb1", "cb2"} <= set(events.columns) else F.lit(False)
     n = F.when(c("overlaps"), F.length("homol_seq")).otherwise(0)
     n = F.coalesce(n, F.lit(0))
-    ins = lambda s: F.coalesce(F.when(c(s) == "+", c("novel_seq")).otherwise(reverse_complement(c("novel_seq"))), F.lit(""))
+    ins = lambda s: F.coalesce(F.when(long, "").when(c(s) == "+", c("novel_seq")).otherwise(reverse_complement(c("novel_seq"))), F.lit(""))
     place1, place2 = F.concat(bare(c("chrom1")), F.lit(":"), c("break1")), F.concat(bare(c("chrom2")), F.lit(":"), c("break2") + n)
+    if {"contig", "cb1", "cb2"} <= set(events.columns):
+        inside = lambda at: F.concat(F.lit("<"), c("contig"), F.lit(">:"), at)
+        place1, place2 = F.when(long, inside(c("cb2") - 1)).otherwise(place1), F.when(long, inside(c("cb1") + 1)).otherwise(place2)
     box = lambda mark, place: F.concat(F.lit(mark), place, F.lit(mark))
     a_first = lambda mark: F.concat(c("ref1"), ins("strand1"), box(mark, place2))
     a_last = lambda mark: F.concat(box(mark, place2), ins("strand1"), c("ref1"))
@@ -59,7 +65,7 @@ def breakends(events: DataFrame) -> DataFrame:
 
 def symbolic(events: DataFrame) -> DataFrame:
     """One record for each deletion, duplication, inversion or insertion: adj_id, rearrangement, chrom1, break1, ref1, size, homol_seq, overlaps,
-    contigs, spanning, flanking, repeat_seq, repeat_num, repeat_change."""
+    contigs, spanning, flanking, repeat_seq, repeat_num, repeat_change. A column cipos goes before the interval that the homology gives."""
     c = F.col
     kind = F.upper("rearrangement")
     alt = F.when(kind == "DUP", "<DUP:TANDEM>").otherwise(F.concat(F.lit("<"), kind, F.lit(">")))
@@ -70,6 +76,8 @@ def symbolic(events: DataFrame) -> DataFrame:
         "HOMLEN": F.length("homol_seq"), "HOMSEQ": F.upper("homol_seq"), "BKPTID": c("contigs"), "SPANNING_READS": c("spanning"), "FLANKING_PAIRS": c("flanking"),
         "REPEAT_SEQ": dup("repeat_seq"), "REPEAT_NUM": dup("repeat_num"), "REPEAT_NUM_CHANGE": dup("repeat_change"),
     }
+    if "cipos" in events.columns:
+        values["CIPOS"] = F.coalesce(c("cipos"), values["CIPOS"])
     if "somatic" in events.columns:
         values["SOMATIC"] = c("somatic")
     ident = c("variant_id") if "variant_id" in events.columns else c("adj_id").cast("string")
@@ -106,17 +114,25 @@ def variant_records(variants: DataFrame, events: DataFrame, threshold: int = 100
     """Records of variants (variant_id, event, chrom, pos, adj_ids) from the columns of their adjacencies that ``breakends``, ``symbolic`` and ``indels`` read.
 
     Two adjacencies that make an inversion or a large insertion are one symbolic record with the contigs of both and the smaller
-    support; two reciprocal translocations are four breakends that name each other. Any other adjacency is a record of its own:
+    support, the interval between the breaks at an insertion's target (pos and, where variants have it, pos2) and the insertion's size; two reciprocal translocations are four breakends that name each other. Any other adjacency is a record of its own:
     breakends for a translocation, spelled-out alleles for insertions and deletions of up to ``threshold`` bases whose sequence is there, else symbolic.
     """
-    each = variants.select("variant_id", "event", F.col("chrom").alias("_chrom"), F.col("pos").alias("_pos"), "adj_ids", F.posexplode("adj_ids").alias("_nth", "adj_id"))
+    for c in ("pos2", "insertion_size"):
+        variants = variants if c in variants.columns else variants.withColumn(c, F.lit(None).cast("bigint"))
+    each = variants.select("pos2", "insertion_size", "variant_id", "event", F.col("chrom").alias("_chrom"), F.col("pos").alias("_pos"), "adj_ids", F.posexplode("adj_ids").alias("_nth", "adj_id"))
     rows = each.join(events, "adj_id").withColumn("_pair", F.size("adj_ids") == 2)
     one = rows.where(F.col("_pair") & F.col("event").isin("INV", "INS"))
-    both = one.groupBy("variant_id").agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.split("contigs", ","))))), ",").alias("contigs"), F.min("spanning").alias("spanning"), F.min("flanking").alias("flanking"))
+    at = lambda n: (F.col(f"chrom{n}") == F.col("_chrom")) & (F.col(f"break{n}") == F.col("_pos"))
+    base = F.when(at(1), F.col("ref1")).when(at(2), F.col("ref2"))
+    both = one.groupBy("variant_id").agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.split("contigs", ","))))), ",").alias("contigs"), F.min("spanning").alias("spanning"), F.min("flanking").alias("flanking"), F.max(base).alias("_base"))
     one = one.where("_nth = 0").drop("contigs", "spanning", "flanking").join(both, "variant_id")
-    inserted = F.col("event") == "INS"
-    second = inserted & (F.col("_chrom") == F.col("chrom2")) & (F.col("_pos") == F.col("break2"))
-    one = one.withColumns({"ref1": F.when(second, F.col("ref2")).otherwise(F.col("ref1")), "chrom1": F.when(inserted, F.col("_chrom")).otherwise(F.col("chrom1")), "break1": F.when(inserted, F.col("_pos")).otherwise(F.col("break1")), "rearrangement": F.lower("event")})
+    inserted, apart = F.col("event") == "INS", F.col("pos2") - F.col("_pos")
+    between = F.when(apart > 0, F.concat(F.lit("0,"), apart)).when(apart < 0, F.concat(apart, F.lit(",0")))
+    one = one.withColumns({
+        "ref1": F.when(inserted, F.coalesce("_base", "ref1")).otherwise(F.col("ref1")), "chrom1": F.when(inserted, F.col("_chrom")).otherwise(F.col("chrom1")), "break1": F.when(inserted, F.col("_pos")).otherwise(F.col("break1")),
+        "rearrangement": F.lower("event"), "size": F.when(inserted, F.coalesce("insertion_size", "size")).otherwise(F.col("size")),
+        "cipos": F.when(inserted, between).when(F.length("homol_seq") > 0, F.concat(F.lit("0,"), F.length("homol_seq"))),
+    })
     rest = rows.where(~F.col("_pair") | ~F.col("event").isin("INV", "INS"))
     linked = F.col("_pair") & (F.col("event") == "TRL")
     ends = rest.where("rearrangement = 'trl'").withColumns({"partner_id": F.when(linked, F.element_at("adj_ids", F.lit(2) - F.col("_nth"))), "event_name": F.when(linked, F.concat("event", "variant_id"))})
