@@ -12,6 +12,8 @@ from ..operators import chimeras as X
 from ..operators import segments as S
 from ..operators import support as R
 from ..operators import variants as V
+from ..operators.intervals import overlap_join
+from ..sinks.vcf import variant_records
 
 
 def chimeras(segments: DataFrame, check_alternatives: bool = True) -> DataFrame:
@@ -49,15 +51,38 @@ def events(
     split = cut(chimeras(segments, check_alternatives))
     pairs = S.junction_sequences(S.classify(S.consecutive(split.select("seg_id", "query", "target", "strand", "qstart", "qend", "tstart", "tend"))), contigs)
     pairs = pairs.join(split.select("query", "dubious").distinct(), "query")
+    side = lambda k: split.select("query", F.col("seg_id").alias(f"seg{k}"), F.col("tstart").alias(f"_s{k}"), F.col("tend").alias(f"_e{k}"))
+    pairs = pairs.join(side(1), ["query", "seg1"]).join(side(2), ["query", "seg2"])
+    pick = lambda a, b, name: F.when(F.col("swapped"), F.col(b)).otherwise(F.col(a)).alias(name)
+    spans = [pick("_s1", "_s2", "span1_start"), pick("_e1", "_e2", "span1_end"), pick("_s2", "_s1", "span2_start"), pick("_e2", "_e1", "span2_end")]
+    none = lambda kind: F.lit(None).cast(kind)
+    repeats = ("repeat_seq", "string"), ("repeat_num", "int"), ("repeat_change", "string")
     single = S.to_segments(S.unique_alignments(alignments)).withColumn("seg_id", F.col("seq_no"))
     gapped = S.gapped_indels(single, contigs)
-    a = pairs.select("query", "rearrangement", "chrom1", "break1", "orient1", "chrom2", "break2", "orient2", "cb1", "cb2", "homol_seq", "novel_seq", F.lit("split").alias("align_type"), F.col("seg1").alias("seq_no"), "dubious")
-    b = gapped.select("query", "rearrangement", F.col("target").alias("chrom1"), "break1", F.lit("L").alias("orient1"), F.col("target").alias("chrom2"), "break2", F.lit("R").alias("orient2"), "cb1", "cb2", F.lit(None).cast("string").alias("homol_seq"), "novel_seq", F.lit("gapped").alias("align_type"), F.col("seg_id").alias("seq_no"), F.lit(False).alias("dubious"))
+    a = pairs.select("query", "rearrangement", "chrom1", "break1", "orient1", "chrom2", "break2", "orient2", "cb1", "cb2", "homol_seq", "novel_seq", F.lit("split").alias("align_type"), F.col("seg1").alias("seq_no"), "dubious", "strand1", "strand2", *spans, *[none(t).alias(c) for c, t in repeats])
+    b = gapped.select("query", "rearrangement", F.col("target").alias("chrom1"), "break1", F.lit("L").alias("orient1"), F.col("target").alias("chrom2"), "break2", F.lit("R").alias("orient2"), "cb1", "cb2", F.lit(None).cast("string").alias("homol_seq"), "novel_seq", F.lit("gapped").alias("align_type"), F.col("seg_id").alias("seq_no"), F.lit(False).alias("dubious"),
+        F.col("strand").alias("strand1"), F.col("strand").alias("strand2"), *[none("bigint").alias(f"span{n}_{x}") for n in (1, 2) for x in ("start", "end")], *[F.col(c).cast(t) for c, t in repeats])
     rows = A.sane(a.union(b))
     n = A.size(F.col("rearrangement"), F.col("break1"), F.col("break2"), F.col("novel_seq"), F.col("align_type") == "gapped")
     return A.within_size(rows.withColumn("size", n), least_size, most_size)
 
 
+def merged(found: DataFrame) -> DataFrame:
+    """Adjacencies (adj_id and the columns of the event): events of several contigs once, with what the first contig says of sequences,
+    repeats, strands and spans, all contigs and their breaks as lists joined by commas, and the support of all.
+
+    ``found``: from ``events``, with or without spanning and flanking.
+    """
+    said = ["align_type", "dubious", "size", "homol_seq", "novel_seq", "strand1", "strand2", "span1_start", "span1_end", "span2_start", "span2_end", "repeat_seq", "repeat_num", "repeat_change"]
+    counts = [c for c in ("spanning", "flanking") if c in found.columns]
+    rows = A.merge(found, extra=[*said, *counts])
+    first = F.get("members", F.lit(0))
+    every = lambda c: F.array_join(F.transform("members", lambda m: m[c].cast("string")), ",")
+    total = lambda c: F.aggregate("members", F.lit(0).cast("bigint"), lambda a, m: a + m[c]).cast("int")
+    own = {c: first[c] for c in (*said, "contig", "cb1", "cb2")} | {"contigs": every("contig"), "cb1s": every("cb1"), "cb2s": every("cb2"), "overlaps": first["cb1"] >= first["cb2"]}
+    return rows.withColumns(own | {c: total(c) for c in counts}).drop("members")
+
+
 def supported_events(found: DataFrame, reads: DataFrame, fragments: DataFrame, least: int = 2) -> DataFrame:
     """Events with the spanning reads and flanking pairs of their contig spans, of which at least ``least`` span."""
     spans = found.select(F.col("query").alias("contig"), F.least("cb1", "cb2").alias("span1"), F.greatest("cb1", "cb2").alias("span2")).distinct()
@@ -67,5 +92,27 @@ def supported_events(found: DataFrame, reads: DataFrame, fragments: DataFrame, l
 
 
 def variants(merged: DataFrame) -> DataFrame:
-    """Variants of merged adjacencies that carry dubious and the spans of their aligned segments."""
+    """Variants of merged adjacencies that carry dubious, align_type, contig and the spans of their aligned segments."""
     return V.assemble(merged)
+
+
+def with_bases(adjacencies: DataFrame, bases: DataFrame) -> DataFrame:
+    """Adjacencies with ref1 and ref2, the bases at their breaks. ``bases``: chrom, start and seq, pieces of the reference that do not overlap."""
+    places = adjacencies.select(F.explode(F.array(*[F.struct(F.col(f"chrom{n}").alias("chrom"), F.col(f"break{n}").alias("pos")) for n in (1, 2)])).alias("p")).select("p.chrom", F.col("p.pos").alias("_from"), F.col("p.pos").alias("_to")).distinct()
+    pieces = bases.select(F.col("chrom").alias("_chrom"), "start", (F.col("start") + F.length("seq") - 1).alias("_end"), "seq")
+    base = F.upper(F.substr(F.col("seq"), (F.col("_from") - F.col("start") + 1).cast("int"), F.lit(1)))
+    known = cut(overlap_join(places, pieces, [("chrom", "_chrom")], ("_from", "_to"), ("start", "_end"), 100_000).select("chrom", "_from", base.alias("_base")))
+    for n in ("1", "2"):
+        adjacencies = adjacencies.join(known.select(F.col("chrom").alias(f"chrom{n}"), F.col("_from").alias(f"break{n}"), F.col("_base").alias(f"ref{n}")), [f"chrom{n}", f"break{n}"], "left")
+    return adjacencies
+
+
+def records(adjacencies: DataFrame, variants: DataFrame, bases: DataFrame, threshold: int = 100) -> DataFrame:
+    """VCF records of variants of merged adjacencies (with spanning and flanking); deletions of up to ``threshold`` bases are spelled out where ``bases``
+    hold them in one piece."""
+    rows = with_bases(adjacencies, bases)
+    short = rows.where("rearrangement = 'del'").where(F.col("size") <= threshold).select("adj_id", "chrom1", F.col("break1").alias("_from"), (F.col("break2") - 1).alias("_to"))
+    pieces = bases.select(F.col("chrom").alias("_chrom"), "start", (F.col("start") + F.length("seq") - 1).alias("_end"), "seq")
+    whole = overlap_join(short, pieces, [("chrom1", "_chrom")], ("_from", "_to"), ("start", "_end"), 100_000).where("start <= _from and _end >= _to")
+    spelled = whole.select("adj_id", F.substr(F.col("seq"), (F.col("_from") - F.col("start") + 1).cast("int"), (F.col("_to") - F.col("_from") + 1).cast("int")).alias("ref_seq"))
+    return variant_records(variants, rows.join(spelled, "adj_id", "left"), threshold)
