@@ -148,6 +148,8 @@ def _first_come(candidates: DataFrame, each_once: bool, ends: tuple[str, str] =
         return rows.iloc[kept]
 
     known = cut(candidates)
+    if known.isEmpty():
+        return known
     roots = components(known, x, y).select(F.col("node").alias(x), "root")
     dealt = known.join(roots, x)
     return dealt.groupBy("root").applyInPandas(run, dealt.schema).drop("root")
