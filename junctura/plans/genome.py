@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cigar as C
+from ..functions.sequences import probe
 from ..lineage import cut
 from ..operators import adjacency as A
 from ..operators import chimeras as X
 from ..operators import segments as S
 from ..operators import support as R
 from ..operators import variants as V
-from ..operators.intervals import overlap_join
+from ..operators.intervals import overlap_join, without_overlap
 from ..sinks.vcf import variant_records
+from . import refilter
 
 
 def chimeras(segments: DataFrame, check_alternatives: bool = True) -> DataFrame:
@@ -59,10 +63,11 @@ def events(
     repeats = ("repeat_seq", "string"), ("repeat_num", "int"), ("repeat_change", "string")
     single = S.to_segments(S.unique_alignments(alignments)).withColumn("seg_id", F.col("seq_no"))
     gapped = S.gapped_indels(single, contigs)
-    a = pairs.select("query", "rearrangement", "chrom1", "break1", "orient1", "chrom2", "break2", "orient2", "cb1", "cb2", "homol_seq", "novel_seq", F.lit("split").alias("align_type"), F.col("seg1").alias("seq_no"), "dubious", "strand1", "strand2", *spans, *[none(t).alias(c) for c, t in repeats])
+    a = pairs.select("query", "rearrangement", "chrom1", "break1", "orient1", "chrom2", "break2", "orient2", "cb1", "cb2", "homol_seq", "novel_seq", F.lit("split").alias("align_type"), F.col("seg1").alias("seq_no"), "dubious", "strand1", "strand2", "homol1", "homol2", *spans, *[none(t).alias(c) for c, t in repeats])
     b = gapped.select("query", "rearrangement", F.col("target").alias("chrom1"), "break1", F.lit("L").alias("orient1"), F.col("target").alias("chrom2"), "break2", F.lit("R").alias("orient2"), "cb1", "cb2", F.lit(None).cast("string").alias("homol_seq"), "novel_seq", F.lit("gapped").alias("align_type"), F.col("seg_id").alias("seq_no"), F.lit(False).alias("dubious"),
-        F.col("strand").alias("strand1"), F.col("strand").alias("strand2"), *[none("bigint").alias(f"span{n}_{x}") for n in (1, 2) for x in ("start", "end")], *[F.col(c).cast(t) for c, t in repeats])
+        F.col("strand").alias("strand1"), F.col("strand").alias("strand2"), none("bigint").alias("homol1"), none("bigint").alias("homol2"), *[none("bigint").alias(f"span{n}_{x}") for n in (1, 2) for x in ("start", "end")], *[F.col(c).cast(t) for c, t in repeats])
     rows = A.sane(a.union(b))
+    rows = rows.join(contigs.select(F.col("name").alias("query"), "seq"), "query").withColumn("probe", probe(F.col("seq"), F.col("cb1"), F.col("cb2"))).drop("seq")
     n = A.size(F.col("rearrangement"), F.col("break1"), F.col("break2"), F.col("novel_seq"), F.col("align_type") == "gapped")
     return A.within_size(rows.withColumn("size", n), least_size, most_size)
 
@@ -73,7 +78,7 @@ def merged(found: DataFrame) -> DataFrame:
 
     ``found``: from ``events``, with or without spanning and flanking.
     """
-    said = ["align_type", "dubious", "size", "homol_seq", "novel_seq", "strand1", "strand2", "span1_start", "span1_end", "span2_start", "span2_end", "repeat_seq", "repeat_num", "repeat_change"]
+    said = ["probe", "homol1", "homol2", "align_type", "dubious", "size", "homol_seq", "novel_seq", "strand1", "strand2", "span1_start", "span1_end", "span2_start", "span2_end", "repeat_seq", "repeat_num", "repeat_change"]
     counts = [c for c in ("spanning", "flanking") if c in found.columns]
     rows = A.merge(found, extra=[*said, *counts])
     first = F.get("members", F.lit(0))
@@ -116,3 +121,56 @@ def records(adjacencies: DataFrame, variants: DataFrame, bases: DataFrame, thres
     whole = overlap_join(short, pieces, [("chrom1", "_chrom")], ("_from", "_to"), ("start", "_end"), 100_000).where("start <= _from and _end >= _to")
     spelled = whole.select("adj_id", F.substr(F.col("seq"), (F.col("_from") - F.col("start") + 1).cast("int"), (F.col("_to") - F.col("_from") + 1).cast("int")).alias("ref_seq"))
     return variant_records(variants, rows.join(spelled, "adj_id", "left"), threshold)
+
+
+class Found(NamedTuple):
+    """What ``analyse`` gives: adjacencies (contig, cb1 and cb2 are lists joined by commas), variants and VCF records, before and after the filter by support."""
+
+    adjacencies: DataFrame
+    variants: DataFrame
+    records: DataFrame
+    supported_adjacencies: DataFrame | None = None
+    supported_variants: DataFrame | None = None
+    supported_records: DataFrame | None = None
+
+
+def analyse(
+    alignments: DataFrame, contigs: DataFrame, bases: DataFrame, reads: DataFrame | None = None, fragments: DataFrame | None = None, bad: DataFrame | None = None, centromeres: DataFrame | None = None,
+    realignments: DataFrame | None = None, most_homology: int = 25, least: int = 2, threshold: int = 100, buffer: int = 1, **options,
+) -> Found:
+    """From alignments of contigs to variants and their records.
+
+    ``bad``, ``centromeres``: chrom, start, stop. Contigs with an alignment in a centromere and adjacencies with a break in a bad region are left out; so are variants
+    with unsound sequences (``sound_variants``) or, given ``realignments`` (query, cigar, unmapped) of probes by the name of the adjacency's first contig
+    and its id (contig.id), those whose probes align elsewhere. ``reads`` and ``fragments`` (as in ``operators.support``) give the supported tables, whose variants
+    have at least ``least`` spanning reads for each adjacency. ``options`` go to ``events``.
+    """
+    if centromeres is not None:
+        spans = S.to_segments(alignments.where(F.col("target").isNotNull())).select("query", "target", "tstart", "tend")
+        clean = without_overlap(spans, centromeres.select("chrom", F.col("start").alias("_first"), F.col("stop").alias("_last")), [("target", "chrom")], ("tstart", "tend"), ("_first", "_last"), ["query"])
+        alignments = alignments.join(clean.select("query").distinct(), "query", "left_semi")
+    rows = cut(merged(events(alignments, contigs, **options)))
+    if bad is not None:
+        breaks = rows.select("adj_id", F.explode(F.array(*[F.struct(F.col(f"chrom{n}").alias("_c"), F.col(f"break{n}").alias("_p")) for n in (1, 2)])).alias("b")).select("adj_id", "b._c", "b._p", F.col("b._p").alias("_q"))
+        kept = without_overlap(breaks, bad.select("chrom", F.col("start").alias("_first"), F.col("stop").alias("_last")), [("_c", "chrom")], ("_p", "_q"), ("_first", "_last"), ["adj_id"])
+        rows = rows.join(kept.select("adj_id").distinct(), "adj_id", "left_semi")
+    found = A.sound_variants(V.assemble(rows), rows, most_homology)
+    if realignments is not None:
+        named = realignments.withColumn("adj_id", F.element_at(F.split("query", "[.]"), -1).cast("bigint")).select("adj_id", "cigar", "unmapped")
+        found = V.without_realigned(found, rows, named)
+    found = cut(found)
+    rows = cut(rows.join(found.select(F.explode("adj_ids").alias("adj_id")).distinct(), "adj_id", "left_semi"))
+    unknown = rows.withColumns({c: F.lit(None).cast("int") for c in ("spanning", "flanking")})
+    listed = lambda t: V.as_insertions(t, found).drop("contig", "cb1", "cb2").withColumnsRenamed({"contigs": "contig", "cb1s": "cb1", "cb2s": "cb2"})
+    out = Found(listed(rows), found, records(unknown, found, bases, threshold))
+    if reads is None or fragments is None:
+        return out
+    parts = F.explode(F.arrays_zip(F.split("contigs", ",").alias("c"), F.split("cb1s", ",").alias("a"), F.split("cb2s", ",").alias("b"))).alias("p")
+    spans = rows.select(parts).select(F.col("p.c").alias("contig"), F.col("p.a").cast("bigint").alias("a"), F.col("p.b").cast("bigint").alias("b"))
+    spans = spans.select("contig", F.least("a", "b").alias("span1"), F.greatest("a", "b").alias("span2")).distinct()
+    key = ["contig", "span1", "span2"]
+    support = cut(spans.join(R.spanning(spans, reads, buffer), key, "left").join(R.flanking(spans, fragments, buffer), key, "left").fillna(0, ["spanning", "flanking"]))
+    counted = cut(refilter.support_of(listed(rows), support))
+    passed = cut(refilter.variants_passed(found, counted, least))
+    kept = rows.join(counted.select("adj_id", "spanning", "flanking"), "adj_id").join(passed.select(F.explode("adj_ids").alias("adj_id")).distinct(), "adj_id", "left_semi")
+    return out._replace(supported_adjacencies=counted.join(kept.select("adj_id"), "adj_id", "left_semi"), supported_variants=passed, supported_records=records(kept, passed.drop("spanning", "flanking"), bases, threshold))

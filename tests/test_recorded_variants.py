@@ -97,3 +97,35 @@ def test_from_alignments_to_records(spark):
     bases = spark.createDataFrame([("chr1", 1, "A" * 149 + "G" + "A" * 400), ("chr2", 1, "C" * 45 + "ttgtt" + "ACGTACGTAC" + "C" * 300)], "chrom string, start bigint, seq string")
     got = {(r["chrom"], r["pos"]): (r["ref"], r["alt"]) for r in genome.records(adjacencies, genome.variants(adjacencies), bases).collect()}
     assert got["1", 150] in {("G", "<DEL>"), ("G", "G[2:301[")} and got["2", 50] == ("TACGTACGTAC", "T") and got["2", 301] == ("C", "]1:150]C") and len(got) == 3
+
+
+def test_the_whole_analysis(spark):
+    seq = "ACGTTGCAGATTACAG" * 7
+    seq = seq[:100]
+    row = lambda i, q, t, pos, c: (i, q, 0, t, pos, 60, c, seq, 0)
+    rows = [
+        row(1, "c1", "chr1", 101, "50M50S"), row(2, "c1", "chr1", 501, "50S50M"),  # a deletion
+        row(3, "c2", "chr3", 5001, "50M50S"), row(4, "c2", "chr4", 701, "50S50M"),  # a break in a bad region
+        row(5, "c3", "chr5", 101, "50M50S"), row(6, "c3", "chr5", 901, "50S50M"),  # at a centromere
+        row(7, "c4", "chr6", 101, "50M50S"), row(8, "c4", "chr6", 901, "50S50M"),  # no reads
+        row(9, "c5", "chr7", 101, "50M50S"), row(10, "c5", "chr7", 901, "50S50M"),  # its probe aligns end to end
+    ]
+    df = spark.createDataFrame(rows, "seq_no bigint, query string, flag int, target string, pos bigint, mapq int, c string, seq string, nm int").withColumn("cigar", C.parse_cigar(F.col("c")))
+    contigs = spark.createDataFrame([(f"c{k}", seq) for k in range(1, 6)], "name string, seq string")
+    reads = spark.createDataFrame([(i, f"{c}r{i}", c, 1 + i, 90, "+", True) for c in ("c1", "c2", "c3", "c5") for i in range(5)], "seq_no bigint, name string, contig string, rstart bigint, rend bigint, strand string, whole boolean")
+    fragments = spark.createDataFrame([("c1", 40, 70)], "contig string, inner1 bigint, inner2 bigint")
+    bases = spark.createDataFrame([(f"chr{n}", 1, "ACGT" * 400) for n in range(1, 8)], "chrom string, start bigint, seq string")
+    region = lambda *r: spark.createDataFrame([r], "chrom string, start bigint, stop bigint")
+    give = {"reads": reads, "fragments": fragments, "bad": region("chr3", 5040, 5060), "centromeres": region("chr5", 1, 120)}
+    found = genome.analyse(df, contigs, bases, **give)
+    first = {r["contig"]: r for r in found.adjacencies.collect()}
+    assert set(first) == {"c1", "c4", "c5"} and first["c1"]["probe"] == seq[25:75] and (first["c1"]["cb1"], first["c1"]["cb2"]) == ("50", "51")
+    assert sorted((r["chrom"], r["pos"], r["alt"]) for r in found.records.collect()) == [("1", 150, "<DEL>"), ("6", 150, "<DEL>"), ("7", 150, "<DEL>")]
+    kept = {r["contig"]: (r["spanning"], r["flanking"]) for r in found.supported_adjacencies.collect()}
+    assert kept == {"c1": (5, 1), "c5": (5, 0)} and found.supported_variants.count() == 2
+    assert {r["info"].split("SPANNING")[1] for r in found.supported_records.collect()} == {"_READS=5;FLANKING_PAIRS=1", "_READS=5;FLANKING_PAIRS=0"}
+    again = spark.createDataFrame([(f"c5.{first['c5']['adj_id']}", [("M", 50)], False), (f"c1.{first['c1']['adj_id']}", [("M", 25), ("S", 25)], False)], "query string, cigar array<struct<op: string, len: int>>, unmapped boolean")
+    screened = genome.analyse(df, contigs, bases, realignments=again, **{k: give[k] for k in ("bad", "centromeres")})
+    assert sorted(r["contig"] for r in screened.adjacencies.collect()) == ["c1", "c4"] and screened.supported_records is None
+    assert len(tables.genome_bedpe(screened.adjacencies).first()["value"].split("\t")) == 27
+    assert genome.analyse(df.limit(0), contigs, bases, **give).supported_records.count() == 0
