@@ -112,30 +112,63 @@ def edges(segments: DataFrame, most_overlap: float = 0.2, most_gap: float = 0.2)
     are below these shares of both."""
     a = segments.select("query", F.col("seg_id").alias("i"), F.col("qstart").alias("s1"), F.col("qend").alias("e1"))
     b = segments.select(F.col("query").alias("_q"), F.col("seg_id").alias("j"), F.col("qstart").alias("s2"), F.col("qend").alias("e2"))
-    n1, n2 = F.col("e1") - F.col("s1") + 1, F.col("e2") - F.col("s2") + 1
-    shorter = F.least(n1, n2)
-    over, gap = F.greatest(F.lit(0), F.col("e1") - F.col("s2") + 1), F.greatest(F.lit(0), F.col("s2") - F.col("e1") - 1)
-    near = (F.col("s2") > F.col("s1")) & (F.col("e2") > F.col("e1")) & (over / shorter < most_overlap) & (gap / shorter < most_gap)
+    near, over, gap = _follows(*(F.col(c) for c in ("s1", "e1", "s2", "e2")), most_overlap, most_gap)
     return a.join(b, (F.col("query") == F.col("_q")) & near).select("query", "i", "j", over.alias("overlap"), gap.alias("gap"))
 
 
-def paths(segments: DataFrame, from_edge: float = 0.02, least: float | None = 0.95) -> DataFrame:
-    """All chains of segments from one end of a contig to the other: (query, path, targets, covered, overlapped, n), numbered in
-    the order of their segments. Chains grow by a segment in each round until none does; as starts ascend, that ends after as
-    many rounds as a contig has segments at most. A single segment can be a path of its own."""
-    edge = F.greatest(F.lit(1), F.floor(F.col("query_len") * from_edge))
-    rows = segments.withColumns({"_starts": F.col("qstart") <= edge, "_ends": F.col("qend") >= F.col("query_len") - edge + 1})
-    node = F.struct("seg_id", "qstart", "qend", "target")
+def _follows(s1: Column, e1: Column, s2: Column, e2: Column, most_overlap: float = 0.2, most_gap: float = 0.2) -> tuple[Column, Column, Column]:
+    """Whether a segment (s2, e2) can follow another one (s1, e1), and their overlap and gap."""
+    shorter = F.least(e1 - s1 + 1, e2 - s2 + 1)
+    over, gap = F.greatest(F.lit(0), e1 - s2 + 1), F.greatest(F.lit(0), s2 - e1 - 1)
+    return (s2 > s1) & (e2 > e1) & (over / shorter < most_overlap) & (gap / shorter < most_gap), over, gap
+
+
+def _chains_in_rows(segments: DataFrame, node: list[str]) -> DataFrame:
+    """The chains (query, query_len, path, done) of contigs of few segments: each contig is a row, whose segments are added in the order of their
+    starts to all chains that they can follow."""
+    own = lambda x: F.struct(*[x[c].alias(c) for c in node])
+    chain = lambda x: F.struct(F.array(own(x)).alias("path"), x["query_len"].alias("query_len"), x["_ends"].alias("done"))
+    all_of = F.sort_array(F.collect_list(F.struct("qstart", "qend", "seg_id", "target", "query_len", "_starts", "_ends")))
+    rows = segments.groupBy("query").agg(all_of.alias("_all"))
+    none = F.filter(F.array(chain(F.col("_all")[0])), lambda c: F.lit(False))
+
+    def add(found: Column, x: Column) -> Column:
+        last = lambda c: F.element_at(c["path"], -1)
+        before = F.filter(found, lambda c: _follows(last(c)["qstart"], last(c)["qend"], x["qstart"], x["qend"])[0])
+        longer = F.transform(before, lambda c: F.struct(F.array_append(c["path"], own(x)).alias("path"), c["query_len"].alias("query_len"), x["_ends"].alias("done")))
+        return F.concat(found, longer, F.filter(F.array(chain(x)), lambda c: x["_starts"]))
+
+    found = F.filter(F.aggregate("_all", none, add), lambda c: c["done"])
+    return rows.select("query", F.explode(found).alias("_c")).select("query", "_c.query_len", "_c.path", "_c.done")
+
+
+def _chains_in_rounds(segments: DataFrame, node: list[str]) -> DataFrame:
+    """The same for contigs of any number of segments: chains grow by a segment in each round, by joins, until none does; as starts ascend, that
+    ends after as many rounds as a contig has segments at most."""
     links = cut(edges(segments).select("i", "j"))
-    step = rows.where("_starts").select("query", "query_len", F.array(node).alias("path"), F.col("seg_id").alias("at"), F.col("_ends").alias("done"))
+    step = segments.where("_starts").select("query", "query_len", F.array(F.struct(*node)).alias("path"), F.col("seg_id").alias("at"), F.col("_ends").alias("done"))
     found = step
-    nodes = rows.select(F.col("seg_id").alias("j"), node.alias("node"), F.col("_ends").alias("done"))
+    nodes = segments.select(F.col("seg_id").alias("j"), F.struct(*node).alias("node"), F.col("_ends").alias("done"))
     while True:
         step = cut(step.drop("done").join(links, F.col("at") == F.col("i")).join(nodes, "j").select("query", "query_len", F.array_append("path", F.col("node")).alias("path"), F.col("j").alias("at"), "done"))
         if step.isEmpty():
             break
         found = found.union(step)
-    found = found.where("done")
+    return found.where("done").select("query", "query_len", "path", "done")
+
+
+def paths(segments: DataFrame, from_edge: float = 0.02, least: float | None = 0.95, in_row: int = 24) -> DataFrame:
+    """All chains of segments from one end of a contig to the other: (query, path, targets, covered, overlapped, n), numbered in
+    the order of their segments. A single segment can be a path of its own. Contigs of up to ``in_row`` segments are worked out in a row each, with
+    some thousand chains at most; those of more segments grow by rounds of joins, which give the same chains."""
+    edge = F.greatest(F.lit(1), F.floor(F.col("query_len") * from_edge))
+    node = ["seg_id", "qstart", "qend", "target"]
+    rows = segments.select("query", "query_len", *node, (F.col("qstart") <= edge).alias("_starts"), (F.col("qend") >= F.col("query_len") - edge + 1).alias("_ends"))
+    rows = rows.withColumn("_few", F.col("query").isNotNull() & (F.count("*").over(Window.partitionBy("query")) <= in_row))
+    found = _chains_in_rows(rows.where("_few"), node)
+    many = cut(rows.where("not _few"))
+    if not many.isEmpty():
+        found = found.union(_chains_in_rounds(many, node))
     over = F.aggregate(F.sequence(F.lit(1), F.greatest(F.size("path") - 1, F.lit(1))), F.lit(0).cast("bigint"), lambda a, k: a + F.coalesce(F.greatest(F.lit(0), F.get("path", k - 1)["qend"] - F.get("path", k)["qstart"] + 1), F.lit(0)))
     total = F.aggregate("path", F.lit(0).cast("bigint"), lambda a, p: a + p["qend"] - p["qstart"] + 1)
     ids = F.transform("path", lambda p: p["seg_id"])
