@@ -13,7 +13,7 @@ from ..sources.text import fetch
 
 def mapped(segments: DataFrame, transcripts: DataFrame) -> DataFrame:
     """Each segment with its best transcript and the share of it that is covered."""
-    best = E.best_transcript(E.map_alignments(segments, transcripts))
+    best = E.best_transcripts(segments, transcripts)
     return best.withColumn("coverage", E.coverage(F.col("blocks"), F.col("exons")))
 
 
