@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -54,6 +54,44 @@ def copies_after(seq: Column, start: Column, unit: Column, to_end: bool = True)
     return n if to_end else n - F.when((n > 0) & (length == F.length(rest)), 1).otherwise(0)
 
 
+def pieces(rows: DataFrame, first: int, last: Column, step: int, size: int, keep: list[str], seq: str = "seq", most: int = 200) -> DataFrame:
+    """(keep, k, piece): the pieces of ``size`` letters that begin at ``first``, every ``step`` letters, up to the place ``last`` (1-based), which must leave
+    room for them. Sequences are cut into stretches of ``most`` pieces before, so that a piece is looked up in a stretch, not in a whole sequence."""
+    n = F.floor((last - first) / step) + 1
+    held = rows.where(last >= first).withColumn("_n", n)
+    stretch = lambda c: F.substr(F.col(seq), (c * (most * step) + first).cast("int"), F.lit((most - 1) * step + size))
+    cut_up = held.select(*keep, "_n", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / most).cast("int")), stretch)).alias("_c", "_s"))
+    here = F.least(F.lit(most).cast("bigint"), F.col("_n") - F.col("_c") * most).cast("int") - 1
+    each = cut_up.select(*keep, "_c", F.posexplode(F.transform(F.sequence(F.lit(0), here), lambda i: F.substr(F.col("_s"), i * step + 1, F.lit(size)))).alias("_i", "piece"))
+    return each.select(*keep, (F.col("_c").cast("bigint") * (most * step) + F.col("_i") * step + first).alias("k"), "piece")
+
+
+def copies_around(rows: DataFrame, first: int, last: Column, step: int, size: int, keep: list[str], seq: str = "seq", most: int = 200, look: int = 64) -> DataFrame:
+    """(keep, k, before, after): of the unit of ``size`` letters at each of the places of ``pieces``, how many copies end before it and follow it. They are
+    counted within ``look`` letters, and in the whole sequence where they fill these."""
+    held = rows.where(last >= first).withColumn("_n", F.floor((last - first) / step) + 1)
+    begin = lambda c: c * (most * step) + first - look  # noqa: E731 (may lie before the sequence)
+    wide = lambda c: F.substr(F.col(seq), F.greatest(begin(c), F.lit(1)).cast("int"), ((most - 1) * step + size + look + F.least(begin(c) + look - 1, F.lit(look))).cast("int"))
+    cut_up = held.select(*keep, seq, "_n", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / most).cast("int")), wide)).alias("_c", "_s"))
+    cut_up = cut_up.withColumn("_from", F.greatest(F.col("_c") * (most * step) + first - look, F.lit(1)))
+    here = F.least(F.lit(most).cast("bigint"), F.col("_n") - F.col("_c") * most).cast("int") - 1
+    filled = lambda n: n * size > look - size
+
+    def one(i: Column) -> Column:
+        k = F.col("_c") * (most * step) + i * step + first
+        at = k - F.col("_from") + 1
+        unit = F.substr(F.col("_s"), at, F.lit(size))
+        left = F.least(at - 1, F.lit(look))
+        # Most units have no copy next to them, which needs no search.
+        up = F.when(F.substr(F.col("_s"), at - F.least(left, F.lit(size)), F.lit(size)) != unit, 0).otherwise(copies_before(F.substr(F.col("_s"), at - left, left), left, unit))
+        down = F.when(F.substr(F.col("_s"), at + size, F.lit(size)) != unit, 0).otherwise(copies_after(F.substr(F.col("_s"), at + size, F.lit(look)), F.lit(1), unit))
+        return F.struct(
+            k.cast("bigint").alias("k"), F.when(filled(up), copies_before(F.col(seq), k - 1, unit)).otherwise(up).alias("before"), F.when(filled(down), copies_after(F.col(seq), k + size, unit)).otherwise(down).alias("after"),
+        )
+
+    return cut_up.select(*keep, F.explode(F.transform(F.sequence(F.lit(0), here), one)).alias("_p")).select(*keep, "_p.*")
+
+
 def is_low_complexity(seq: Column, share: float = 0.9) -> Column:
     """Whether one base, or one pair of different bases in the order A, G, T, C, makes up more than ``share``."""
     bases = "AGTC"
