@@ -6,15 +6,22 @@ reverse strand query positions run down.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schemas import BLOCKS
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with ``value`` worked out once however often ``use`` names it: Spark works out an expression on arrays at each place where it stands."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def parse_cigar(text: Column) -> Column:
     parts = F.regexp_extract_all(text, F.lit("([0-9]+[MIDNSHPX=])"), F.lit(1))
-    return F.transform(parts, lambda p: F.struct(F.translate(F.right(p, F.lit(1)), "=X", "MM").alias("op"), F.regexp_extract(p, "[0-9]+", 0).cast("int").alias("len")))
+    return F.transform(parts, lambda p: F.struct(F.translate(F.right(p, F.lit(1)), "=X", "MM").alias("op"), F.left(p, F.length(p) - 1).cast("int").alias("len")))
 
 
 def _total(cigar: Column, ops: str, other: bool = False) -> Column:
@@ -47,6 +54,10 @@ def effective_edits(nm: Column, cigar: Column) -> Column:
 def blocks(cigar: Column, pos: Column, strand: Column) -> Column:
     """The matched blocks. Introns shorter than 3 are skipped and do not move the target; an alignment whose first operation
     (after a clip) is no match has no blocks."""
+    return once(cigar, lambda c: _blocks(c, pos, strand))
+
+
+def _blocks(cigar: Column, pos: Column, strand: Column) -> Column:
     forward = strand == "+"
     q0 = F.when(forward, F.lit(1)).otherwise(query_length(cigar)).cast("bigint")
     head = F.get(cigar, F.lit(0))
@@ -67,8 +78,8 @@ def blocks(cigar: Column, pos: Column, strand: Column) -> Column:
             F.when(match, F.concat(out, F.array(block))).otherwise(out).cast(BLOCKS).alias("out"),
         )
 
-    made = F.aggregate(body, zero, step, lambda acc: acc["out"])
-    return F.when(F.get(body, F.lit(0))["op"] == "M", made).otherwise(F.array().cast(BLOCKS))
+    made = lambda body: F.aggregate(body, zero, step, lambda acc: acc["out"])
+    return once(body, lambda b: F.when(F.get(b, F.lit(0))["op"] == "M", made(b)).otherwise(F.array().cast(BLOCKS)))
 
 
 def span(blocks_: Column) -> Column:
@@ -85,11 +96,15 @@ def is_valid(qstart: Column, qend: Column, tstart: Column, tend: Column) -> Colu
 def lift(blocks_: Column, strand: Column, qpos: Column) -> Column:
     """The target position of a query position; null outside the blocks."""
     hit = F.get(F.filter(blocks_, lambda b: qpos.between(F.least(b["qs"], b["qe"]), F.greatest(b["qs"], b["qe"]))), F.lit(0))
-    return F.when(strand == "+", hit["ts"] + qpos - hit["qs"]).otherwise(hit["ts"] + hit["qs"] - qpos)
+    return once(hit, lambda h: F.when(strand == "+", h["ts"] + qpos - h["qs"]).otherwise(h["ts"] + h["qs"] - qpos))
 
 
 def gaps(blocks_: Column) -> Column:
     """Between consecutive blocks: (i, before, after, tgap, qgap)."""
+    return once(blocks_, _gaps)
+
+
+def _gaps(blocks_: Column) -> Column:
     pairs = F.arrays_zip(F.slice(blocks_, 1, F.greatest(F.size(blocks_) - 1, F.lit(0))).alias("a"), F.slice(blocks_, 2, F.greatest(F.size(blocks_) - 1, F.lit(0))).alias("b"))
     return F.transform(
         pairs,
