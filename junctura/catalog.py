@@ -449,7 +449,8 @@ def block_gaps(spark, d):
 @query(_BLOCK_SQL + "SELECT seg_id, CASE WHEN strand = '+' THEN pos + 20 - q ELSE pos + q - 20 END AS lifted FROM b WHERE CASE WHEN strand = '+' THEN 20 BETWEEN q AND q + 39 ELSE 20 BETWEEN q - 39 AND q END UNION ALL SELECT seg_id, CASE WHEN strand = '+' THEN NULL ELSE pos + 40 + tg + q - 40 - qg - 20 END FROM b WHERE strand = '-' AND 20 BETWEEN q - 69 - qg AND q - 40 - qg UNION ALL SELECT seg_id, pos + 73 + tg + q - 74 - qg - 20 FROM b WHERE strand = '-' AND third AND 20 BETWEEN q - 93 - qg AND q - 74 - qg")
 def query_position_lift(spark, d):
     lifted = C.lift(C.blocks(F.col("cigar"), F.col("pos"), F.col("strand")), F.col("strand"), F.lit(20))
-    return _cigars(spark, d).select("seg_id", lifted.alias("lifted")).where("lifted is not null")
+    # Exploded, not filtered: Spark moves a filter below the CIGARs and works all of them out twice.
+    return _cigars(spark, d).select("seg_id", F.explode(F.filter(F.array(lifted), lambda x: x.isNotNull())).alias("lifted"))
 
 
 @query(
