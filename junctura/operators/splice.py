@@ -145,9 +145,12 @@ def split_in_two(events: DataFrame) -> DataFrame:
 
 
 def supported(events: DataFrame, least: int = 4) -> DataFrame:
-    """Events with at least ``least`` spanning reads; one that fails takes its linked partner along."""
-    failed = events.where((F.col("spanning") < least) & F.col("link_id").isNotNull()).select("link_id").distinct()
-    return events.where(F.col("spanning") >= least).join(failed, "link_id", "left_anti").select(*events.columns)
+    """Events with at least ``least`` spanning reads; one that fails takes its linked partner along. Events without a link get a second key that
+    spreads them, else all of them would meet in one task of the join."""
+    spread = F.xxhash64("link_id")
+    failed = events.where((F.col("spanning") < least) & F.col("link_id").isNotNull()).select("link_id").distinct().withColumn("_spread", spread)
+    rows = events.where(F.col("spanning") >= least).withColumn("_spread", F.when(F.col("link_id").isNotNull(), spread).otherwise(F.xxhash64(*events.columns)))
+    return rows.join(failed, ["link_id", "_spread"], "left_anti").select(*events.columns)
 
 
 def without_intron_sites(events: DataFrame) -> DataFrame:
