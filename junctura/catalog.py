@@ -72,6 +72,11 @@ def _merged(spark: SparkSession, d: str) -> DataFrame:
     return A.merge(_classified(spark, d).withColumn("seq_no", F.col("seg1")))
 
 
+def _places(spark: SparkSession, d: str) -> DataFrame:
+    """Ids and places of ``_merged`` alone."""
+    return A.places(_classified(spark, d))
+
+
 @query(_PAIRS + "SELECT * FROM classified")
 def classify_split_pairs(spark, d):
     return _classified(spark, d)
@@ -98,7 +103,7 @@ def microhomology_untemplated(spark, d):
 def event_sizes(spark, d):
     c = F.col
     n = A.size(c("rearrangement"), c("break1"), c("break2"), F.lit(None).cast("string"), F.lit(False))
-    return _merged(spark, d).select("adj_id", "rearrangement", n.alias("size"))
+    return _places(spark, d).select("adj_id", "rearrangement", n.alias("size"))
 
 
 @query(_PAIRS + "SELECT adj_id, size FROM (SELECT adj_id, CASE WHEN rearrangement = 'del' THEN break2 - break1 - 1 WHEN rearrangement NOT IN ('trl', 'ins') THEN break2 - break1 + 1 END AS size FROM merged) WHERE (size IS NULL OR size >= 50) AND size <= 40000")
@@ -115,7 +120,7 @@ h AS (SELECT *, row_number() OVER (PARTITION BY chrom1, run ORDER BY rn) AS k FR
 SELECT chrom1, CASE WHEN o = 'LL' THEN adj_id ELSE nid END AS adj1, CASE WHEN o = 'LL' THEN nid ELSE adj_id END AS adj2 FROM h WHERE k % 2 = 1"""
 )
 def pair_inversions(spark, d):
-    return A.pair_inversions(_merged(spark, d))
+    return A.pair_inversions(_places(spark, d))
 
 
 @query(
@@ -127,7 +132,7 @@ h AS (SELECT *, row_number() OVER (PARTITION BY chrom1, run ORDER BY rn) AS k FR
 SELECT chrom1, adj_id AS adj1, nid AS adj2 FROM h WHERE k % 2 = 1"""
 )
 def pair_reciprocal_trls(spark, d):
-    return A.pair_translocations(_merged(spark, d).withColumn("dubious", F.lit(False)))
+    return A.pair_translocations(_places(spark, d).withColumn("dubious", F.lit(False)))
 
 
 def _with_spans(spark, d):
@@ -353,7 +358,7 @@ def acen_anti_join(spark, d):
 @query(_PAIRS + f", r AS ({_REGIONS}) SELECT adj_id FROM merged m WHERE NOT EXISTS (SELECT 1 FROM r WHERE (chrom = chrom1 AND break1 BETWEEN start AND stop) OR (chrom = chrom2 AND break2 BETWEEN start AND stop))")
 def bad_region_anti_join(spark, d):
     regions = spark.sql(_REGIONS.replace("FROM supplier", "FROM {supplier}"), supplier=spark_view(spark, d, "supplier"))
-    ends = _merged(spark, d).select("adj_id", F.explode(F.array(*[F.struct(F.col(f"chrom{k}").alias("c"), F.col(f"break{k}").alias("b")) for k in (1, 2)])).alias("x")).select("adj_id", F.col("x.c").alias("c"), F.col("x.b").alias("b"), F.col("x.b").alias("b2"))
+    ends = _places(spark, d).select("adj_id", F.explode(F.array(*[F.struct(F.col(f"chrom{k}").alias("c"), F.col(f"break{k}").alias("b")) for k in (1, 2)])).alias("x")).select("adj_id", F.col("x.c").alias("c"), F.col("x.b").alias("b"), F.col("x.b").alias("b2"))
     return I.without_overlap(ends, regions, [("c", "chrom")], ("b", "b2"), ("start", "stop"), ["adj_id"]).select("adj_id").distinct()
 
 
@@ -547,13 +552,13 @@ def support_join_filter(spark, d):
 
 @query(_PAIRS + ", n AS (SELECT DISTINCT rearrangement, chrom1, break1 FROM merged WHERE adj_id % 3 = 0) SELECT adj_id, n.break1 IS NULL AS somatic FROM merged m LEFT JOIN n USING (rearrangement, chrom1, break1)")
 def somatic_subtract(spark, d):
-    rows = _merged(spark, d)
+    rows = _places(spark, d)
     return R.somatic(rows, rows.where("adj_id % 3 = 0"), ["rearrangement", "chrom1", "break1"]).select("adj_id", "somatic")
 
 
 @query(_PAIRS + ", v AS (SELECT adj_id // 2 AS v, min(adj_id % 7) AS spanning, min(adj_id % 3) AS flanking FROM merged GROUP BY 1) SELECT v::VARCHAR AS variant_id, spanning, flanking FROM v WHERE spanning >= 2")
 def variant_min_support(spark, d):
-    rows = _merged(spark, d).select("adj_id", (F.col("adj_id") % 7).alias("spanning"), (F.col("adj_id") % 3).alias("flanking"))
+    rows = _places(spark, d).select("adj_id", (F.col("adj_id") % 7).alias("spanning"), (F.col("adj_id") % 3).alias("flanking"))
     variants = rows.groupBy(F.floor(F.col("adj_id") / 2).cast("string").alias("variant_id")).agg(F.collect_list("adj_id").alias("adj_ids"))
     return R.variant_support(variants, rows)
 

@@ -67,6 +67,11 @@ def merge(events: DataFrame, order: str = "seq_no", extra: list[str] | None = No
     return number(rows, KEY, "adj_id")
 
 
+def places(events: DataFrame) -> DataFrame:
+    """The merged events with their ids, as in ``merge``, without their contigs: equal events meet as one row before they are shuffled."""
+    return number(events.select(*KEY).distinct(), KEY, "adj_id")
+
+
 def number(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     """Ids 1 to n in the order of the columns: rows are sorted in ranges, and each range is offset by the sizes of those before."""
     placed = cut(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))  # cut, so that both uses see the same ranges
@@ -78,16 +83,23 @@ def number(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     return placed.withColumn("_nth", nth).join(offsets, "_part").select((F.col("_before") + F.col("_nth")).alias(name), *rows.columns)
 
 
-def pair_neighbours(events: DataFrame, by: list[str], order: list[str], pairable: Column, id_col: str = "adj_id", width: int = 1_000_000) -> DataFrame:
+def pair_neighbours(events: DataFrame, by: list[str], order: list[str], pairable: Column, id_col: str = "adj_id", width: int = 1_000_000, most: int = 200_000) -> DataFrame:
     """Pairs of neighbours, taken greedily from the left: (partition columns, first, second).
 
     ``pairable`` is a condition over this row and the next, whose columns have the prefix ``next_``. Greedy pairing takes, in each
-    run of pairable neighbours, the first, third and so on. Rows are ordered in bins of ``width`` bases of the first of ``order``. What crosses
-    bins, the next bin's first row and how far a run has come, is a row for each bin, so no window holds more than a chromosome's bins.
+    run of pairable neighbours, the first, third and so on. Rows are ordered in bins of ``width`` bases of the first of ``order``, which are cut into places of
+    about ``most`` rows where rows lie densely. What crosses bins, the next bin's first row and how far a run has come, is a row for each bin, so no window
+    holds more than a chromosome's bins.
     """
     others = [c for c in events.columns if c not in by]
     this, key = F.struct(*others), F.struct(*order, id_col)
-    rows = cut(events.withColumn("_bin", F.floor(F.col(order[0]) / width)))
+    rows = cut(events.withColumn("_wide", F.floor(F.col(order[0]) / width)))
+    parts = max(1, -(-rows.count() // most))
+    if parts > 1:  # ranges of the whole order: a bin's rows in one range are next to each other
+        rows = cut(rows.repartitionByRange(parts, *by, *order, id_col).withColumn("_bin", F.struct("_wide", F.spark_partition_id().alias("part"))))
+    else:
+        rows = rows.withColumn("_bin", F.struct("_wide", F.lit(0).alias("part")))
+    rows = rows.drop("_wide")
     bins = Window.partitionBy(*by).orderBy("_bin")
     following = rows.groupBy(*by, "_bin").agg(F.min_by(this, key).alias("_first")).select(*by, "_bin", F.lead("_first").over(bins).alias("_then"))
     own = Window.partitionBy(*by, "_bin").orderBy(*order, id_col)
