@@ -1,18 +1,18 @@
 """Doubt about chimeric contigs: whether other alignments of a contig explain it as well as those that make up its chimera.
 
-Chains from one end of a contig to the other are never enumerated. A table holds, for each segment, the best chain that reaches it in so many
-steps; a step joins it with the edges and keeps one row for each segment, so its rows never exceed the segments, while the number of
-chains may be exponential. Edges lead to later starts, so this ends.
+Chains from one end of a contig to the other are never enumerated, as their number may be exponential. What is kept is the best chain that reaches each
+segment: contigs of few segments do so in a row each, those of more in a table, where a step joins it with the edges and keeps one row for each segment.
+Edges lead to later starts, so this ends.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.coords import is_alternative
 from ..lineage import cut
-from .segments import edges
+from .segments import _follows, edges
 
 NODE = ["query", "seg_id", "query_len", "target", "qstart", "qend", "tstart", "edits"]
 
@@ -23,10 +23,47 @@ def _nodes(segments: DataFrame, from_edge: float) -> DataFrame:
     return segments.select("query", "seg_id", "qstart", "qend", edits.alias("edits"), (F.col("qstart") <= edge).alias("starts"), (F.col("qend") >= F.col("query_len") - edge + 1).alias("ends"))
 
 
-def end_to_end(segments: DataFrame, from_edge: float = 0.02) -> DataFrame:
+def end_to_end(segments: DataFrame, from_edge: float = 0.02, in_row: int = 40) -> DataFrame:
     """(query, covered, edits): of each contig that segments chain from end to end, the chain that covers most of it and, of those, has
-    the fewest edits. ``query`` may be of any type. Edges leave no overlap but between neighbours, so what a chain covers is a sum."""
-    rows = cut(_nodes(segments, from_edge))
+    the fewest edits. ``query`` may be of any type. Edges leave no overlap but between neighbours, so what a chain covers is a sum.
+
+    Contigs of up to ``in_row`` segments are worked out in a row each, in one shuffle; those of more by rounds of joins, and of these no row is made."""
+    nodes = _nodes(segments, from_edge).where(F.col("query").isNotNull())
+    nth = F.row_number().over(Window.partitionBy("query").orderBy("qstart", "qend", "seg_id"))
+    node = F.when(F.col("_nth") <= in_row, F.struct("qstart", "qend", "seg_id", "edits", "starts", "ends"))
+    rows = nodes.withColumn("_nth", nth).groupBy("query").agg(F.sort_array(F.collect_list(node)).alias("_all"), (F.max("_nth") > in_row).alias("_many"))
+    done = rows.select("query", "_many", F.when(~F.col("_many"), _best_in_row(F.col("_all"))).alias("v"))
+    done = cut(done.where("_many or v is not null"))
+    found = done.where("not _many").select("query", F.col("v.covered").alias("covered"), (-F.col("v.less")).alias("edits"))
+    many = done.where("_many").select("query")
+    return found if many.isEmpty() else found.union(_best_in_rounds(nodes.join(many, "query", "left_semi")))
+
+
+def _best_in_row(nodes: Column) -> Column:
+    """(covered, less) of the best chain of a contig's segments, in the order of their starts; null where none is from end to end. Each segment takes
+    the best chain that it can follow, as the rest of a chain adds the same to all that reach a segment."""
+    value = "struct<covered: bigint, less: bigint>"
+    kind = f"array<struct<qstart: bigint, qend: bigint, ends: boolean, best: {value}>>"
+    pair = lambda covered, less: F.struct(covered.cast("bigint").alias("covered"), less.cast("bigint").alias("less"))
+
+    def add(found: Column, x: Column) -> Column:
+        own = x["qend"] - x["qstart"] + 1
+
+        def grown(y: Column) -> Column:
+            follows, over, _ = _follows(y["qstart"], y["qend"], x["qstart"], x["qend"])
+            return F.when(follows, pair(y["best"]["covered"] + own - over, y["best"]["less"] - x["edits"]))
+
+        ways = F.concat(F.transform(found, grown), F.array(F.when(x["starts"], pair(own, -x["edits"]))))
+        node = lambda best: F.struct(x["qstart"].cast("bigint").alias("qstart"), x["qend"].cast("bigint").alias("qend"), x["ends"].alias("ends"), best.alias("best"))
+        return F.concat(found, F.filter(F.transform(F.array(F.array_max(ways)), node), lambda n: n["best"].isNotNull()))
+
+    found = F.aggregate(nodes, F.array().cast(kind), add)
+    return F.array_max(F.transform(F.filter(found, lambda n: n["ends"]), lambda n: n["best"]))
+
+
+def _best_in_rounds(nodes: DataFrame) -> DataFrame:
+    """The same for contigs of any number of segments."""
+    rows = cut(nodes)
     links = cut(edges(rows).select("query", "i", "j", "overlap"))
     value = F.struct(F.col("covered"), (-F.col("edits")).alias("less"))
     step = rows.where("starts").select("query", "seg_id", (F.col("qend") - F.col("qstart") + 1).alias("covered"), "edits", "ends")
