@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..lineage import cut
 from .intervals import overlap_join
 
 
@@ -27,6 +28,11 @@ def fully_mapped(cigar: Column, pos: Column, contig_len: Column, clip_share: flo
 def accepted(reads: Column) -> Column:
     """How many of (seq_no, key, name), in order, are accepted: each reserves its key and its name, and one that finds either taken is
     not accepted."""
+    return F.size(_accepted(reads))
+
+
+def _accepted(reads: Column) -> Column:
+    """Keys of the accepted reads."""
     kind = "array<string>"
     zero = F.struct(F.array().cast(kind).alias("keys"), F.array().cast(kind).alias("names"))
 
@@ -35,17 +41,43 @@ def accepted(reads: Column) -> Column:
         add = lambda old, new: F.when(free, F.array_append(old, new)).otherwise(old).cast(kind)
         return F.struct(add(a["keys"], x["key"]).alias("keys"), add(a["names"], x["name"]).alias("names"))
 
-    return F.aggregate(F.sort_array(reads), zero, step, lambda a: F.size(a["keys"]))
+    return F.aggregate(F.sort_array(reads), zero, step, lambda a: a["keys"])
 
 
-def spanning(spans: DataFrame, reads: DataFrame, buffer: int = 1, width: int = 500, contigs: DataFrame | None = None) -> DataFrame:
+def spanning(spans: DataFrame, reads: DataFrame, buffer: int = 1, width: int = 500, contigs: DataFrame | None = None, layers: int = 3) -> DataFrame:
     """(contig, span1, span2, spanning): reads that reach ``buffer`` bases past both ends of a span and are fully mapped, of each start
     and strand and of each name the first one in file order.
 
     ``reads``: seq_no, name, contig, rstart, rend, strand, whole (fully mapped) and, to compare bases, seq and clip (clipped bases before
     its start). With ``contigs`` (name, seq) a read must equal the contig over the span. The order matters, so a span's reads are
-    folded in order; reads that cannot change the count are dropped before, which leaves about one for each start and strand.
+    folded in order. Without ``contigs``, few reads of a start and strand are tried first (see ``_first_reads``): once one of them is accepted, the others of
+    its key are refused. Only spans where none of a key's first ones is accepted look at all reads.
     """
+    own = ["contig", "span1", "span2"]
+    if contigs is None and "clip" not in reads.columns:
+        found = cut(_spanning(spans, _first_reads(reads, layers), buffer, width, first=layers).where("spanning is not null"))
+        rest = spans.select(*own).distinct().join(found.where("not sure").select(*own), own, "left_semi")
+        found = found.where("sure").select(*own, "spanning")
+        again = cut(rest)
+        return found if again.isEmpty() else found.union(_spanning(again, reads, buffer, width).select(*own, "spanning"))
+    return _spanning(spans, reads, buffer, width, contigs).select(*own, "spanning")
+
+
+def _first_reads(reads: DataFrame, layers: int) -> DataFrame:
+    """Of whole reads of one contig, start and strand, those that few earlier ones outreach, and ``more``: whether others of that key are left out. A read of a
+    layer ends after all earlier ones of that layer and those behind it; so what is left out has at least ``layers`` earlier reads in every span that it is in."""
+    key = Window.partitionBy("contig", "rstart", "strand")
+    before = key.orderBy("seq_no", "name").rowsBetween(Window.unboundedPreceding, -1)
+    rows = reads.where("whole and seq_no is not null and rstart <= rend").withColumn("_layer", F.lit(layers + 1))
+    for k in range(1, layers + 1):
+        behind = F.max(F.when(F.col("_layer") > layers, F.col("rend"))).over(before)
+        rows = rows.withColumn("_reach", behind).withColumn("_layer", F.when((F.col("_layer") > layers) & (F.col("_reach").isNull() | (F.col("rend") > F.col("_reach"))), k).otherwise(F.col("_layer")))
+    return rows.withColumn("more", F.max(F.col("_layer") > layers).over(key)).where(F.col("_layer") <= layers).drop("_layer", "_reach")
+
+
+def _spanning(spans: DataFrame, reads: DataFrame, buffer: int, width: int, contigs: DataFrame | None = None, first: int | None = None) -> DataFrame:
+    """``spanning`` over all of ``reads``, and ``sure``: whether of each key that has ``more`` reads one is accepted. Of such
+    keys only the ``first`` reads in a span count, which come before all that are left out."""
     wide = spans.select("contig", "span1", "span2", (F.col("span1") - buffer).alias("_s"), (F.col("span2") + buffer).alias("_e")).distinct()
     seen = reads.where("whole").withColumnRenamed("contig", "_contig")
     pairs = overlap_join(wide, seen, [("contig", "_contig")], ("_s", "_e"), ("rstart", "rend"), width).where("rstart <= _s and rend >= _e")
@@ -55,17 +87,23 @@ def spanning(spans: DataFrame, reads: DataFrame, buffer: int = 1, width: int = 5
         own = F.substr(F.col("seq"), (F.col("_s") - F.col("rstart") + 1 + F.coalesce("clip", F.lit(0))).cast("int"), n)
         pairs = pairs.where(F.lower(own) == F.lower(F.substr(F.col("_cseq"), F.col("_s").cast("int"), n)))
     key = F.concat(F.when(F.coalesce("clip", F.lit(0)) > 0, -F.col("clip")).otherwise(F.col("rstart")), F.col("strand")) if "clip" in reads.columns else F.concat("rstart", "strand")
-    rows = pairs.select("contig", "span1", "span2", "seq_no", key.alias("key"), "name")
+    more = F.coalesce(F.col("more"), F.lit(False)) if "more" in reads.columns else F.lit(False)
+    rows = pairs.select("contig", "span1", "span2", "seq_no", key.alias("key"), "name", more.alias("more"))
+    if first is not None:
+        nth = F.row_number().over(Window.partitionBy("contig", "span1", "span2", "key").orderBy("seq_no", "name"))
+        rows = rows.withColumn("_nth", nth).where(~F.col("more") | (F.col("_nth") <= first)).drop("_nth")
     # Of one name at one place only the first can be accepted.
-    rows = rows.groupBy("contig", "span1", "span2", "key", "name").agg(F.min("seq_no").alias("seq_no"))
+    rows = rows.groupBy("contig", "span1", "span2", "key", "name").agg(F.min("seq_no").alias("seq_no"), F.max("more").alias("more"))
     # A read whose name lies under no other key of its span can be refused only for its key, and once such a read has come, its key
     # is taken; so all reads of the key after the first such one change nothing and go.
     own = ["contig", "span1", "span2"]
     alone = F.count("*").over(Window.partitionBy(*own, "name")) == 1
     taken = F.min(F.when(F.col("_alone"), F.col("seq_no"))).over(Window.partitionBy(*own, "key"))
     rows = rows.withColumn("_alone", alone).withColumn("_taken", taken).where("_taken is null or seq_no <= _taken")
-    folded = rows.groupBy("contig", "span1", "span2").agg(F.collect_list(F.struct("seq_no", "key", "name")).alias("reads"))
-    return folded.select("contig", "span1", "span2", accepted(F.col("reads")).alias("spanning"))
+    one = F.struct("seq_no", "key", "name")
+    folded = rows.groupBy("contig", "span1", "span2").agg(F.collect_list(one).alias("reads"), F.collect_set(F.when(F.col("more"), F.col("key"))).alias("open"))
+    folded = folded.select("contig", "span1", "span2", "open", F.explode(F.array(_accepted(F.col("reads")))).alias("keys"))
+    return folded.select("contig", "span1", "span2", F.size("keys").alias("spanning"), (F.size(F.array_except("open", "keys")) == 0).alias("sure"))
 
 
 def flanking(spans: DataFrame, fragments: DataFrame, buffer: int = 1, width: int = 500, enclose: bool = True) -> DataFrame:
