@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,8 +46,12 @@ def within_size(events: DataFrame, least: int | None = None, most: int | None =
 def same_event_twice(events: DataFrame) -> DataFrame:
     """Adds twice: whether a neighbour in the order of the contig is the same event at other contig breaks."""
     own = Window.partitionBy("query").orderBy("cb1", "cb2", *KEY)
-    key, at = F.struct(*KEY), F.struct("cb1", "cb2")
-    same = lambda step: F.coalesce(step(key).over(own).eqNullSafe(key) & (step(at).over(own) != at), F.lit(False))
+
+    # Column by column: structs of them would be laid beside the columns in every row that is shuffled and sorted.
+    def same(step: Callable[..., Column]) -> Column:
+        equal = lambda names: reduce(Column.__and__, [step(c).over(own).eqNullSafe(F.col(c)) for c in names])
+        return step(F.lit(True)).over(own).isNotNull() & equal(KEY) & ~equal(["cb1", "cb2"])
+
     return events.withColumn("twice", same(F.lag) | same(F.lead))
 
 

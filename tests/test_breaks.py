@@ -159,3 +159,13 @@ def test_read_through_of_one_alignment(spark):
     ]
     mapped = spark.createDataFrame(rows, f"seg_id bigint, query string, gene string, tid string, codes {codes}, blocks {BLOCK}")
     assert [tuple(r) for r in U.read_through_alignments(mapped).collect()] == [(1, "k", "A", "B", 150, 501)]
+
+
+def test_rows_of_same_event_twice_hold_no_copies_of_their_columns(spark):
+    """What is shuffled and sorted are the columns alone; an edge of a contig is no neighbour, not even of an event of nulls."""
+    from junctura.operators import adjacency as A
+
+    rows = [("q", *["x"] * 7, 1, 9), ("q", *["x"] * 7, 2, 9), ("q", *["x"] * 7, 2, 9), ("r", *["x"] * 7, 1, 9), ("r", *["y"] + ["x"] * 6, 2, 9), ("s", *[None] * 7, 1, 9), ("t", *[None] * 7, 1, 9), ("t", *[None] * 7, None, 9)]
+    got = A.same_event_twice(spark.createDataFrame(rows, "query string, " + ", ".join(f"{c} string" for c in A.KEY) + ", cb1 int, cb2 int"))
+    assert "struct(" not in got._jdf.queryExecution().optimizedPlan().toString() and "named_struct" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((x.query, x.cb1 or 0, x.twice) for x in got.collect()) == [("q", 1, True), ("q", 2, False), ("q", 2, True), ("r", 1, False), ("r", 2, False), ("s", 1, False), ("t", 0, True), ("t", 1, True)]
