@@ -635,9 +635,7 @@ _TWO = (
 
 @query(_TWO + "SELECT seg_id, tid, string_agg(b || ':' || i || code, ',' ORDER BY b, i) AS codes FROM m JOIN ok USING (seg_id, tid) GROUP BY seg_id, tid")
 def block_exon_codes(spark, d):
-    rows = E.map_alignments(_two_blocks(spark, d), _transcripts(spark, d))
-    text = F.flatten(F.transform("codes", lambda m, b: F.coalesce(F.transform(m, lambda x: F.concat(b, F.lit(":"), x["exon"], x["code"])), F.array().cast("array<string>"))))
-    return rows.select("seg_id", "tid", F.array_join(text, ",").alias("codes"))
+    return E.mapping_codes(_two_blocks(spark, d), _transcripts(spark, d))
 
 
 @query(
