@@ -1,0 +1,29 @@
+"""Insertions between two breaks: each second tries firsts in the order of ids, in steps of any size; no join lists pairs."""
+
+import pytest
+from test_insertions_direct import COLUMNS, _events, _plain
+
+from junctura.operators import adjacency
+
+
+@pytest.mark.parametrize(("step", "cells"), [(1, 1), (2, 7), (16, 1_000_000)])
+@pytest.mark.parametrize("first", [True, False])
+def test_steps_of_any_size(spark, monkeypatch, first, step, cells):
+    monkeypatch.setattr(adjacency._smallest_first, "__defaults__", (step, cells))
+    events = _events(150)
+    for most in (0, 13):
+        got = sorted(map(tuple, adjacency.insertions_between(spark.createDataFrame(events, COLUMNS), first, most).collect()))
+        assert got == _plain(events, first, most)
+
+
+def test_no_join_makes_pairs(spark):
+    """Before, a join by bins made every pair within reach and kept the least of each."""
+    plan = adjacency.insertions_between(spark.createDataFrame(_events(20), COLUMNS))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_stretches_of_the_genome(spark):
+    """Breaks on both sides of a border of two stretches meet, once."""
+    events = [(k, f"c{k}", "chr1", 4000 * k // 2 - 10 + 20 * (k % 2), "LR"[k % 2], "chr2", 100 + 500 * (k % 2), "RL"[k % 2], 1, 2, 100 + 400 * (k % 2), 200 + 400 * (k % 2), False) for k in range(4, 20)]
+    got = sorted(map(tuple, adjacency.insertions_between(spark.createDataFrame(events, COLUMNS), True, 2100).collect()))
+    assert got == _plain(events, True, 2100) and got
