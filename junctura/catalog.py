@@ -399,7 +399,7 @@ def homopolymers(spark, d):
     SELECT name, k, (length(regexp_extract(up, '^(?:' || reverse(unit) || ')*')) // 2)::INT AS before, (length(regexp_extract(down, '^(?:' || unit || ')*')) // 2)::INT AS after FROM r"""
 )
 def flanking_copy_count(spark, d):
-    return Q.copies_around(spark_view(spark, d, "sequences").where("length(seq) >= 40"), 11, F.length("seq") - 2, 10, 2, ["name"])
+    return Q.copies_around(spark_view(spark, d, "sequences"), 11, F.when(F.length("seq") >= 40, F.length("seq") - 2), 10, 2, ["name"])
 
 
 def _share(base: str) -> str:

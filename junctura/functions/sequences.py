@@ -66,30 +66,33 @@ def pieces(rows: DataFrame, first: int, last: Column, step: int, size: int, keep
     return each.select(*keep, (F.col("_c").cast("bigint") * (most * step) + F.col("_i") * step + first).alias("k"), "piece")
 
 
-def copies_around(rows: DataFrame, first: int, last: Column, step: int, size: int, keep: list[str], seq: str = "seq", most: int = 200, look: int = 64) -> DataFrame:
-    """(keep, k, before, after): of the unit of ``size`` letters at each of the places of ``pieces``, how many copies end before it and follow it. They are
-    counted within ``look`` letters, and in the whole sequence where they fill these."""
-    held = rows.where(last >= first).withColumn("_n", F.floor((last - first) / step) + 1)
-    begin = lambda c: c * (most * step) + first - look  # noqa: E731 (may lie before the sequence)
-    wide = lambda c: F.substr(F.col(seq), F.greatest(begin(c), F.lit(1)).cast("int"), ((most - 1) * step + size + look + F.least(begin(c) + look - 1, F.lit(look))).cast("int"))
-    cut_up = held.select(*keep, seq, "_n", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / most).cast("int")), wide)).alias("_c", "_s"))
-    cut_up = cut_up.withColumn("_from", F.greatest(F.col("_c") * (most * step) + first - look, F.lit(1)))
-    here = F.least(F.lit(most).cast("bigint"), F.col("_n") - F.col("_c") * most).cast("int") - 1
-    filled = lambda n: n * size > look - size
-
-    def one(i: Column) -> Column:
-        k = F.col("_c") * (most * step) + i * step + first
-        at = k - F.col("_from") + 1
-        unit = F.substr(F.col("_s"), at, F.lit(size))
-        left = F.least(at - 1, F.lit(look))
-        # Most units have no copy next to them, which needs no search.
-        up = F.when(F.substr(F.col("_s"), at - F.least(left, F.lit(size)), F.lit(size)) != unit, 0).otherwise(copies_before(F.substr(F.col("_s"), at - left, left), left, unit))
-        down = F.when(F.substr(F.col("_s"), at + size, F.lit(size)) != unit, 0).otherwise(copies_after(F.substr(F.col("_s"), at + size, F.lit(look)), F.lit(1), unit))
-        return F.struct(
-            k.cast("bigint").alias("k"), F.when(filled(up), copies_before(F.col(seq), k - 1, unit)).otherwise(up).alias("before"), F.when(filled(down), copies_after(F.col(seq), k + size, unit)).otherwise(down).alias("after"),
-        )
-
-    return cut_up.select(*keep, F.explode(F.transform(F.sequence(F.lit(0), here), one)).alias("_p")).select(*keep, "_p.*")
+def copies_around(rows: DataFrame, first: int, last: Column, step: int, size: int, keep: list[str], seq: str = "seq", most: int = 100_000) -> DataFrame:
+    """(keep, k, before, after): of the unit of ``size`` letters at each of the places of ``pieces``, how many copies end before it and follow it. A letter that equals the one ``size`` places on
+    continues a run of copies, so the lengths of such runs give both counts at every place of a sequence at once, in time that grows with its length. Up to ``most`` places are sent on at a time."""
+    kind = {f.name: f.dataType.simpleString() for f in rows.schema}
+    held = rows.select(*keep, F.col(seq).alias("_seq"), last.cast("bigint").alias("_last"))  # no filter here: it would work a derived sequence out once more
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            texts, lasts = batch.column("_seq"), batch.column("_last").to_pylist()
+            for row, end in enumerate(lasts):
+                if end is None or end < first:
+                    continue
+                text = texts[row].as_py()
+                letters = np.frombuffer(text.encode("utf-32-le"), np.uint32) if not text.isascii() else np.frombuffer(text.encode(), np.uint8)
+                letters, n = np.where((letters > 96) & (letters < 123), letters - 32, letters), len(letters)  # any case
+                breaks = np.flatnonzero(letters[: n - size] != letters[size:])  # where a letter differs from the one ``size`` on
+                bounds = np.concatenate([[-1], breaks, [max(n - size, 0)]])
+                for at in range(first, end + 1, step * most):
+                    k = np.arange(at, min(end + 1, at + step * most), step)
+                    nth = np.searchsorted(bounds, k - 1)
+                    after, before = (bounds[nth] - k + 1) // size, (k - 2 - bounds[nth - 1]) // size
+                    yield pa.RecordBatch.from_arrays([*(pa.repeat(batch.column(c)[row], len(k)) for c in keep), pa.array(k, pa.int64()), pa.array(before.astype(np.int32)), pa.array(after.astype(np.int32))], names=[*keep, "k", "before", "after"])
+
+    return held.mapInArrow(run, ", ".join([*(f"`{c}` {kind[c]}" for c in keep), "k bigint", "before int", "after int"]))
 
 
 def is_low_complexity(seq: Column, share: float = 0.9) -> Column:
